@@ -76,22 +76,27 @@ def components(nodes_edges: DataFrame, label: str = "components") -> DataFrame:
     A node with many neighbours is no trouble: minima combine before the shuffle and the join is
     an ordinary one that Spark can split.
     """
+    def stated(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first())
+
     edges = park(
         nodes_edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label
     )
-    while True:
+    state = stated(edges.df)
+    while state[0]:
         # large star: every larger neighbour of a node moves to the node's smallest neighbour or itself
         both = edges.df.unionByName(edges.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: smaller neighbours and the node itself move to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y")))).alias("e"))
+        pair = lambda x: F.struct(F.col(x).alias("x"), F.col("m").alias("y"))
+        moved = large.join(low, "a").select(F.explode(F.array(pair("a"), pair("b"))).alias("e"))
         new = park(moved.select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).where("a <> b").distinct(), label)
-        changed = new.df.exceptAll(edges.df).limit(1).count() or edges.df.exceptAll(new.df).limit(1).count()
         edges.drop()
-        edges = new
-        if not changed:
+        edges, before = new, state
+        state = stated(edges.df)
+        if state == before:  # the same edges again: every component is a star around its smallest node
             break
     stars = edges.df.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(edges.df.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

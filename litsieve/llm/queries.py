@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litsieve.llm import media, url_filters
+from litsieve.llm import media, simhash, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_simhash": simhash.op5_simhash,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_media_columns": media.op10_media_columns,
 }
