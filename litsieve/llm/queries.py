@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litsieve.llm import media, simhash, url_filters
+from litsieve.llm import embeddings, media, simhash, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_embedding_neardup": embeddings.op4_embedding_neardup,
     "op5_simhash": simhash.op5_simhash,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_media_columns": media.op10_media_columns,
