@@ -28,12 +28,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def words64(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position on as one word; zeros stand past the end."""
-    padded = np.zeros(len(data) + 7, dtype=np.uint8)
-    padded[: len(data)] = data
-    return np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view("<u8").ravel()
+    x = np.zeros(len(data) + 7, dtype=np.uint64)
+    x[: len(data)] = data
+    for step in (1, 2, 4):
+        x = x[: len(x) - step] | (x[step:] << np.uint64(8 * step))
+    return x
+
+
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers modulo 2**64; kept from call to call."""
+    out = _POWERS.get(base)
+    if out is None or len(out) < n:
+        out = _POWERS[base] = _more_powers(base, max(n, 1 << 16))
+    return out[:n]
+
+
+def _more_powers(base: int, n: int) -> np.ndarray:
     out = np.empty(max(n, 1), dtype=np.uint64)
     out[0] = 1
     done, step = 1, base
@@ -86,7 +99,6 @@ def window_anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, leng
         return empty, empty, empty, empty
     key = mix64(words64(data) * _MIX) >> np.uint64(32)
     pick = sliding_argmin(key, width)
-    # the last bytes of the 8-byte hash may lie beyond a window of the text only if width > length - 7
     count = np.maximum(sizes - length + 1, 0)
     has = count > 0
     text = np.flatnonzero(has)
@@ -98,7 +110,6 @@ def window_anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, leng
     a = pick[pos]
     cut = np.ones(len(pos), dtype=bool)
     cut[1:] = (a[1:] != a[:-1]) | (pos[1:] != pos[:-1] + 1)
-    # two texts may touch: the window before a text's start is never valid unless length is 1
     first = np.flatnonzero(cut)
     lo = pos[first]
     hi = pos[np.append(first[1:] - 1, len(pos) - 1)]
