@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litsieve.llm import embeddings, media, simhash, suffix_dedup, toxicity, url_filters
+from litsieve.llm import embeddings, media, packing, simhash, suffix_dedup, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_embedding_neardup": embeddings.op4_embedding_neardup,
     "op5_simhash": simhash.op5_simhash,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_media_columns": media.op10_media_columns,
 }
