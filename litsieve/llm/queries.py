@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litsieve.llm import embeddings, media, packing, sharding, simhash, suffix_dedup, toxicity, url_filters
+from litsieve.llm import embeddings, media, packing, pieces, preferences, sharding, simhash, suffix_dedup, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_embedding_neardup": embeddings.op4_embedding_neardup,
     "op5_simhash": simhash.op5_simhash,
+    "op6_preference_formatting": preferences.op6_preference_formatting,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_label_propagation_sharding": sharding.op8_label_propagation_sharding,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_media_columns": media.op10_media_columns,
 }
 
-ORACLES: dict[str, str] = {"op9_url_filters": url_filters.ORACLE}
+ORACLES: dict[str, str] = {
+    "op6_preference_formatting": preferences.ORACLE,
+    "op9_url_filters": url_filters.ORACLE,
+}
