@@ -1 +1 @@
-
+"""Part of the screening plans."""
