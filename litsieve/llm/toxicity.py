@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litsieve.llm.common import park
+
 #: n-gram orders; hash buckets (a power of two); kept features; characters worked on at once.
 ORDERS, BUCKETS, FEATURES, BLOCK = (5, 6, 7, 8), 1 << 21, 1536, 1 << 20
 #: About so many labelled rows, drawn by a hash of their id, are learned from at most.
@@ -80,7 +82,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for codes, owner, left in _blocks(batch.column("text").to_pylist()):
             keys = [owner[: len(bucket)][fits] * np.int64(BUCKETS) + bucket[fits] for bucket, fits in _grams(codes, left)]
             held = np.unique(np.concatenate(keys))
-            np.add.at(counts, (toxic[held // BUCKETS], held % BUCKETS), 1)
+            classes, bucket = toxic[held // BUCKETS], held % BUCKETS
+            for label in (0, 1):
+                counts[label] += np.bincount(bucket[classes == label], minlength=BUCKETS).astype(np.int32)
     cut = range(0, BUCKETS, SLICE)
     yield pa.RecordBatch.from_arrays(
         [pa.array([at // SLICE for at in cut], pa.int64()), pa.array([zlib.compress(counts[:, at : at + SLICE].tobytes(), 1) for at in cut], pa.binary())],
@@ -158,7 +162,10 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mo
     total = known.count()
     if total > rows:
         known = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
-    learned = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id").select("text", "toxic")
+    # ``rows`` bounds what is broadcast; so the texts of all other documents stay where they are
+    learned = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic")
+    sampled = park(learned, "toxicity")
+    learned = sampled.df
     classes = {r[0]: r[1] for r in learned.groupBy("toxic").count().collect()}
     n0, n1 = classes.get(False, 0), classes.get(True, 0)
     nothing = np.full(BUCKETS, -1, dtype=np.int16)
@@ -190,6 +197,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mo
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([f.astype(np.int16).tobytes() for f in found], pa.binary())], names=["toxic", "found"])
 
     sample = learned.mapInArrow(held, "toxic boolean, found binary").collect()  # about ``rows`` short rows
+    sampled.drop()
     x, y = np.zeros((len(sample), len(best)), dtype=np.float32), np.zeros(len(sample), dtype=np.float32)
     scale = ratio[best].astype(np.float32)
     for i, r in enumerate(sample):
