@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 MODEL = "piece_bpe_32k.model"
 #: Characters indexed at once; characters from which a stretch is relaxed alone; remembered stretches.
-BATCH, LONG, CACHE = 1 << 18, 192, 400_000
+BATCH, LONG, CACHE = 1 << 18, 192, 1_000_000
 SPACE = "▁"
 _NONE = np.iinfo(np.int64).max
 
@@ -68,6 +69,32 @@ class Pieces:
             elif model.is_control(i) or model.is_unknown(i):
                 self.raw[i] = b""
         self.letters = sorted({c for i in plain for c in texts[i]})
+        self._points = np.array([ord(c) for c in self.letters], dtype=np.uint32)
+        self._alphabet = np.empty(0, dtype=np.uint32)
+        self._probe: tuple | None = None
+
+    def coding(self, letters: np.ndarray) -> tuple[np.ndarray, bool, tuple]:
+        """Which of ``letters`` (sorted code points) stand in pieces, whether one byte a character will do,
+        and the pieces to look up: their numbers, texts and upper ends in that coding.
+
+        The one-byte alphabet grows with what batches hold, up to 253 letters, so it is seldom coded anew.
+        """
+        inside = np.isin(letters, self._points)
+        known = letters[inside]
+        if len(known) > 253:
+            probe = [self.texts[i] for i in self.plain]
+            top = ["\U0010ffff" * (self.longest - len(p)) for p in probe]
+            kind = f"U{self.longest}"
+            return inside, False, (np.arange(len(probe)), np.array(probe, dtype=kind), np.array([a + b for a, b in zip(probe, top, strict=True)], dtype=kind))
+        if self._probe is None or not np.isin(known, self._alphabet).all():
+            grown = np.union1d(self._alphabet, known)
+            self._alphabet = (grown if len(grown) <= 253 else known).astype(np.uint32)
+            table = {chr(int(c)): i + 1 for i, c in enumerate(self._alphabet)}
+            usable = [k for k, i in enumerate(self.plain) if table.keys() >= set(self.texts[i])]
+            probe = [bytes(map(table.__getitem__, self.texts[self.plain[k]])) for k in usable]
+            kind = f"S{self.longest}"
+            self._probe = (np.array(usable), np.array(probe, dtype=kind), np.array([p.ljust(self.longest, b"\xff") for p in probe], dtype=kind))
+        return inside, True, self._probe
 
 
 def suffix_index(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,35 +123,27 @@ def lattice(text: str, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     U+10FFFF separates stretches and stands in no piece.
     """
     points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-    letters = np.unique(points)
-    known = letters[np.isin(letters, np.array([ord(c) for c in pieces.letters], dtype=np.uint32))]
-    if len(known) <= 253:  # one byte a character: 1.. for those in pieces, 254 for all others
-        table = {int(c): i + 1 for i, c in enumerate(known)}
-        code = np.full(len(letters), 254, dtype=np.uint8)
-        code[np.isin(letters, known)] = np.arange(1, len(known) + 1)
-        codes = code[np.searchsorted(letters, points)]
-        low = pieces.texts
-        usable = [k for k, i in enumerate(pieces.plain) if all(ord(c) in table for c in low[i])]
-        probe = [bytes(table[ord(c)] for c in low[pieces.plain[k]]) for k in usable]
-        top, kind = b"\xff", f"S{pieces.longest}"
+    letters, which = np.unique(points, return_inverse=True)
+    inside, one_byte, (usable, low, high) = pieces.coding(letters)
+    if one_byte:  # 1.. for letters of pieces, 254 for all others
+        code = np.where(inside, np.searchsorted(pieces._alphabet, letters) + 1, 254).astype(np.uint8)
+        codes = code[which]
     else:
-        codes = np.where(np.isin(points, known), points, 0x10FFFE).astype(np.uint32)
-        usable = list(range(len(pieces.plain)))
-        probe = [pieces.texts[i] for i in pieces.plain]
-        top, kind = "\U0010ffff", f"U{pieces.longest}"
+        codes = np.where(inside, letters, 0x10FFFE).astype(np.uint32)[which]
     order, keys = suffix_index(codes, pieces.longest)
-    first = np.searchsorted(keys, np.array(probe, dtype=kind), side="left")
-    last = np.searchsorted(keys, np.array([p + top * (pieces.longest - len(p)) for p in probe], dtype=kind), side="right")
+    first = np.searchsorted(keys, low, side="left")
+    last = np.searchsorted(keys, high, side="right")
     times = last - first
-    which = np.repeat(np.array(usable), times)
+    which = np.repeat(usable, times)
     place = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
     at = order[place]
     by = np.argsort(at, kind="stable")
     return at[by], which[by]
 
 
-def relax(text: str, starts: np.ndarray, sizes: np.ndarray, pieces: Pieces) -> list[np.ndarray]:
-    """Ids of each stretch text[start : start + size] by merging best edges first, all stretches in step."""
+def relax(text: str, starts: np.ndarray, sizes: np.ndarray, pieces: Pieces) -> list[bytes]:
+    """Ids (32-bit words) of each stretch text[start : start + size] by merging best
+    edges first, all stretches in step."""
     at, which = lattice(text, pieces)
     width = pieces.longest + 1
     edge = np.full(len(text) * width, -1, dtype=np.int32)  # piece by (position, length)
@@ -162,16 +181,20 @@ def relax(text: str, starts: np.ndarray, sizes: np.ndarray, pieces: Pieces) -> l
             pos, owner = pos[stay], owner[stay]
     for i in np.flatnonzero(sizes > LONG):
         _relax_one(int(starts[i]), int(sizes[i]), ends, symbol, cost)
-    out = []
     at = np.flatnonzero(symbol)
     found = edge[at * width + np.minimum(ends[at] - at, width - 1)]
     bounds = np.searchsorted(at, np.stack([starts, starts + sizes]))
-    for a, b in bounds.T.tolist():
-        ids = found[a:b]
-        if len(ids) and ids.min() < 0:  # characters in no piece
-            parts = [[int(x)] if x >= 0 else pieces.byte_ids[list(text[p].encode("utf-8"))].tolist() for x, p in zip(ids, at[a:b].tolist(), strict=True)]
-            ids = np.array([x for p in parts for x in p], dtype=np.int32)
-        out.append(ids)
+    unknown = np.concatenate([[0], np.cumsum(found < 0)])
+    odd = (unknown[bounds[1]] > unknown[bounds[0]]).tolist()
+    flat = found.astype("<u4").tobytes()
+    out = []
+    for (a, b), some in zip((bounds.T * 4).tolist(), odd, strict=True):
+        if not some:
+            out.append(flat[a:b])
+            continue
+        span = slice(a // 4, b // 4)  # characters in no piece are given by their bytes
+        parts = [[x] if x >= 0 else pieces.byte_ids[list(text[p].encode("utf-8"))].tolist() for x, p in zip(found[span].tolist(), at[span].tolist(), strict=True)]
+        out.append(np.array([x for p in parts for x in p], dtype="<u4").tobytes())
     return out
 
 
@@ -231,7 +254,7 @@ class Encoder:
             starts = np.cumsum(sizes + 1) - sizes - 1
             text = "\U0010ffff".join(t for _, t in some) + "\U0010ffff"
             for (key, _), ids in zip(some, relax(text, starts, sizes, self.pieces), strict=True):
-                into[key] = ids.astype("<u4").tobytes()
+                into[key] = ids
             at = stop
 
     @staticmethod
@@ -257,9 +280,7 @@ class Encoder:
             self._bare.clear()
         known, bare = self._known, self._bare
         split = [self.stretches(t.replace(SPACE, " ").encode("utf-8")) for t in texts]
-        missing: set[bytes] = set()
-        for chunks in split:
-            missing.update(c for c in chunks if c not in known)
+        missing = set(chain.from_iterable(split)).difference(known)
         if missing:
             heads, tails, joined = set(), set(), []
             for c in missing:
@@ -274,7 +295,7 @@ class Encoder:
             self._learn([(c, c.decode("utf-8").replace(" ", SPACE)) for c in tails if c not in bare], bare)
             for c, first, rest in joined:
                 known[c] = known[first] + b"".join([self._feed + bare[r] for r in rest])
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids (32-bit words): pieces end to end, without the space that encoding adds."""
