@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ SOLVES, SLACK = 2, 2
 #: Part of each configuration that is rounded.
 ROUNDED = 0.9
 #: Pieces that one bucket ranks, about; entries of the word cache of a Python worker.
-BUCKET_ROWS, CACHE = 20_000, 400_000
+BUCKET_ROWS, CACHE = 20_000, 1_000_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -96,9 +97,7 @@ class WordIds:
             # bytes know ASCII white space and letters alone, which the tokenizer treats alike;
             # the strings of special tokens tell cases apart
             split.append((raw if b"<|" in raw else raw.lower()).split())
-        missing: set[bytes] = set()
-        for chunks in split:
-            missing.update(c for c in chunks if c not in known)
+        missing = set(chain.from_iterable(split)).difference(known)
         if missing:
             tails, cores = [], set()
             for c in missing:
@@ -111,7 +110,7 @@ class WordIds:
             self._learn([c for c in cores if c not in known])
             for c, core, tail in tails:
                 known[c] = known[core] + known[tail]
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
 _WORDS: dict[str, WordIds] = {}
