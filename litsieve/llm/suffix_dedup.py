@@ -295,10 +295,13 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, width: int = WIDTH, h
     of ``texts`` (column text, not null) that holds a string of ``length`` bytes which repeats."""
     keyed = texts.select(*text_key(F.col("text")), "text").where(F.col("n") >= length)
     anchors = park(keyed.mapInArrow(_anchored(length, width), "k long, n int, h long, c long, lo int, m int"), "anchors")
-    twice = anchors.df.groupBy("h").count().where("count > 1").select("h")
-    matched = park(anchors.df.join(twice, "h").groupBy("k", "n", "h", "c", "lo", "m").agg(F.count("*").alias("copies")), "matched")
+    twice = park(anchors.df.groupBy("h").count().where("count > 1").select("h"), "twice")
+    # no grouping below or on top of the join: Spark may then split the rows of a core that a large part
+    # of the corpus holds
+    matched = park(anchors.df.join(twice.df, "h"), "matched")
     anchors.drop()
-    contexts = matched.df.groupBy("h", "c").agg(F.sum("copies").alias("times"), F.min(F.struct("k", "n", "lo", "m")).alias("at"))
+    twice.drop()
+    contexts = matched.df.groupBy("h", "c").agg(F.count("*").alias("times"), F.min(F.struct("k", "n", "lo", "m")).alias("at"))
     contexts = park(contexts, "contexts")
     cores = contexts.df.groupBy("h").agg(F.count("*").alias("different"), F.count_if(F.col("times") == 1).alias("singles")).where("different > 1 and singles > 0")
     whole = matched.df.join(contexts.df.where("times > 1").select("h", "c"), ["h", "c"]).select("k", "n", "lo", "m")
