@@ -48,41 +48,65 @@ def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, code in zip(at, sign_codes(np.array([rows[i] for i in at], dtype=np.float64), planes(int(dims))), strict=True):
                 made[i] = code.tobytes()
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("cid", "label", "copies")), pa.array([np.array(r, dtype=np.float64).tobytes() for r in rows], pa.binary()), pa.array(made, pa.binary())],
-            names=["cid", "label", "copies", "vector", "codes"],
+            [*(batch.column(c) for c in ("cid", "label", "copies")), pa.array(sizes, pa.int32()), pa.array([_packed(r) for r in rows], pa.binary()), pa.array(made, pa.binary())],
+            names=["cid", "label", "copies", "dims", "vector", "codes"],
         )
 
 
+def _packed(row: list[float]) -> bytes:
+    """Single precision where that is exact, else double."""
+    wide = np.array(row, dtype=np.float64)
+    with np.errstate(over="ignore"):
+        short = wide.astype(np.float32)
+    return short.tobytes() if (short == wide).all() else wide.tobytes()
+
+
+def _opened(rows: list[bytes], dims: int) -> np.ndarray:
+    if all(len(r) == 4 * dims for r in rows):
+        return np.frombuffer(b"".join(rows), dtype=np.float32).reshape(-1, dims).astype(np.float64)
+    return np.array([np.frombuffer(r, dtype=np.float32 if len(r) == 4 * dims else np.float64) for r in rows], dtype=np.float64)
+
+
 def _compare_all(frame: pd.DataFrame) -> pd.DataFrame:
     """Many small buckets in one call: each run of equal keys is compared on its own."""
-    keys = frame[["table", "code", "dims", "left", "right"]].to_numpy()
-    labels = pd.factorize(frame["label"])[0]
-    order = np.lexsort((*keys.T, labels))
-    frame, keys, labels = frame.iloc[order].reset_index(drop=True), keys[order], labels[order]
-    cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1) | (labels[1:] != labels[:-1])) + 1
+    names = ["table", "code", "dims", "left", "right"]
+    keys = np.column_stack([frame[names].to_numpy(), pd.factorize(frame["label"])[0]])
+    order = np.lexsort(keys.T)
+    keys = keys[order]
+    cids, copies, block = (frame[c].to_numpy()[order] for c in ("cid", "copies", "block"))
+    vectors, codes = (frame[c].to_numpy()[order] for c in ("vector", "codes"))
+    cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
     edges = [0, *cut.tolist(), len(frame)]
-    parts = [_compare(frame.iloc[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > 1]
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: np.empty(0, dtype=np.int64) for c in ("cid", "links", "root")})
-
-
-def _compare(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links between the two blocks of a bucket, or inside its block if both are one."""
-    table = int(frame["table"].iloc[0])
-    same = frame["left"].iloc[0] == frame["right"].iloc[0]
-    cids, copies = frame["cid"].to_numpy(), frame["copies"].to_numpy()
-    x = np.frombuffer(b"".join(frame["vector"]), dtype=np.float64).reshape(len(frame), -1)
+    out = []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b - a > 1:
+            table, _, dims, left, right, _ = keys[a].tolist()
+            x = _opened(vectors[a:b].tolist(), dims)
+            signs = np.frombuffer(b"".join(codes[a:b].tolist()), dtype=np.uint16).reshape(b - a, TABLES)[:, :table]
+            side = None if left == right else block[a:b] == left
+            hit, links, root = _compare(x, copies[a:b], signs, side)
+            out.append((cids[a:b][hit], links, cids[a:b][root]))
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, dtype=np.int64)] * 3
+    return pd.DataFrame(dict(zip(("cid", "links", "root"), cols, strict=True)))
+
+
+def _compare(x: np.ndarray, copies: np.ndarray, codes: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(linked rows, their links, roots) among the rows of one block, or between two (``side``: in the left one).
+
+    ``codes`` are those of earlier tables; a pair that shares one was counted there.
+    """
     norm = np.sqrt((x * x).sum(axis=1))
-    codes = np.frombuffer(b"".join(frame["codes"]), dtype=np.uint16).reshape(len(frame), TABLES)[:, :table]
-    rows = np.arange(len(frame))
-    a = rows if same else rows[(frame["block"] == frame["left"]).to_numpy()]
-    b = rows if same else rows[(frame["block"] == frame["right"]).to_numpy()]
-    links, forest = np.zeros(len(frame), dtype=np.int64), Forest(len(frame))
+    rows = np.arange(len(x))
+    a, b = (rows, rows) if side is None else (rows[side], rows[~side])
+    links, forest = np.zeros(len(x), dtype=np.int64), Forest(len(x))
     for at in range(0, len(a), 256):
         part = a[at : at + 256]
         i, j = np.nonzero((x[part] @ x[b].T) >= COSINE * np.outer(norm[part], norm[b]) * (1 - 1e-12))
         i, j = part[i], b[j]
-        near = i < j if same else np.ones(len(i), dtype=bool)
-        i, j = i[near], j[near]
+        if side is None:
+            i, j = i[i < j], j[i < j]
+        if not len(i):
+            continue
         new = ~(codes[i] == codes[j]).any(axis=1)
         i, j = i[new], j[new]
         exact = (x[i] * x[j]).sum(axis=1) / (norm[i] * norm[j]) >= COSINE
@@ -91,7 +115,7 @@ def _compare(frame: pd.DataFrame) -> pd.DataFrame:
         np.add.at(links, j, copies[i])
         forest.join(i, j)
     hit = np.flatnonzero(links)
-    return pd.DataFrame({"cid": cids[hit], "links": links[hit], "root": cids[forest.root[hit]]})
+    return hit, links[hit], forest.root[hit]
 
 
 def embedding_links(embeddings: DataFrame) -> DataFrame:
@@ -108,12 +132,12 @@ def embedding_links(embeddings: DataFrame) -> DataFrame:
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("vector", F.when(F.col("usable"), F.transform("vector", lambda x: x + F.lit(0.0))))
     classes = rows.where("usable").groupBy("label", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
     classes = park(classes.withColumn("cid", F.monotonically_increasing_id()), "embeddings")
-    coded = classes.df.select("cid", "label", "copies", "vector").mapInArrow(_codes, "cid long, label string, copies long, vector binary, codes binary")
+    coded = classes.df.select("cid", "label", "copies", "vector").mapInArrow(_codes, "cid long, label string, copies long, dims int, vector binary, codes binary")
     coded = park(coded, "embeddings-coded")
     # two bytes of ``codes`` per table, little-endian
     byte = lambda i: F.conv(F.hex(F.substr("codes", i, F.lit(1))), 16, 10).cast("int")
     tables = F.sequence(F.lit(0), F.lit(TABLES - 1))
-    placed = coded.df.select("cid", "label", F.length("vector").alias("dims"), "codes", F.explode(tables).alias("table"))
+    placed = coded.df.select("cid", "label", "dims", "codes", F.explode(tables).alias("table"))
     placed = placed.select("cid", "label", "dims", "table", (byte(F.col("table") * 2 + 1) + 256 * byte(F.col("table") * 2 + 2)).alias("code"))
     bucket = ["label", "dims", "table", "code"]
     sizes = placed.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")

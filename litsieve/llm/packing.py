@@ -30,7 +30,7 @@ SOLVES, SLACK = 2, 2
 #: Part of each configuration that is rounded.
 ROUNDED = 0.9
 #: Pieces that one bucket ranks, about; entries of the word cache of a Python worker.
-BUCKET_ROWS, CACHE = 20_000, 1_000_000
+BUCKET_ROWS, CACHE = 20_000, 600_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -55,6 +55,7 @@ class WordIds:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}  # the generation before, from which words in use come back
         self._room = room
         vocab = self._tokenizer.get_vocab()
         self._final = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -87,9 +88,16 @@ class WordIds:
             some = rest[at : at + 4096]
             self._known.update((raw, np.array(i, dtype="<u4").tobytes()) for (raw, _), i in zip(some, self._encode([c for _, c in some]), strict=True))
 
+    def _unknown(self, chunks: set[bytes]) -> set[bytes]:
+        """Those of ``chunks`` that are to be encoded, once the older generation has given up what it has."""
+        missing = chunks.difference(self._known)
+        back = missing.intersection(self._older)
+        self._known.update((c, self._older[c]) for c in back)
+        return missing - back
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self._known) > self._room:
-            self._known.clear()
+        if len(self._known) > self._room // 2:
+            self._older, self._known = self._known, {}
         known = self._known
         split = []
         for text in texts:
@@ -97,7 +105,7 @@ class WordIds:
             # bytes know ASCII white space and letters alone, which the tokenizer treats alike;
             # the strings of special tokens tell cases apart
             split.append((raw if b"<|" in raw else raw.lower()).split())
-        missing = set(chain.from_iterable(split)).difference(known)
+        missing = self._unknown(set(chain.from_iterable(split)))
         if missing:
             tails, cores = [], set()
             for c in missing:
@@ -107,7 +115,7 @@ class WordIds:
                     cores.update((core, c[len(core) :]))
                 else:
                     cores.add(c)
-            self._learn([c for c in cores if c not in known])
+            self._learn(list(self._unknown(cores)))
             for c, core, tail in tails:
                 known[c] = known[core] + known[tail]
         return [b"".join(map(known.__getitem__, chunks)) for chunks in split]

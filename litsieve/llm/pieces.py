@@ -17,7 +17,6 @@ spaces as U+2581 and unknown characters as bytes; other models are refused.
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 MODEL = "piece_bpe_32k.model"
 #: Characters indexed at once; characters from which a stretch is relaxed alone; remembered stretches.
-BATCH, LONG, CACHE = 1 << 18, 192, 1_000_000
+BATCH, LONG, CACHE = 1 << 18, 192, 600_000
 SPACE = "▁"
 _NONE = np.iinfo(np.int64).max
 
@@ -239,6 +238,7 @@ class Encoder:
         self._room = room
         self._known: dict[bytes, bytes] = {}  # stretch after its first space -> ids as 32-bit words
         self._bare: dict[bytes, bytes] = {}  # parts that follow a line feed
+        self._older: dict[bytes, bytes] = {}  # the generation of stretches before, from which those in use come back
         self._cut = "\n" not in self.pieces.letters
         self._feed = self.pieces.byte_ids[10:11].astype("<u4").tobytes()
 
@@ -257,6 +257,13 @@ class Encoder:
                 into[key] = ids
             at = stop
 
+    def _unknown(self, stretches: set[bytes]) -> set[bytes]:
+        """Those of ``stretches`` that are to be relaxed, once the older generation has given up what it has."""
+        missing = stretches.difference(self._known)
+        back = missing.intersection(self._older)
+        self._known.update((c, self._older[c]) for c in back)
+        return missing - back
+
     @staticmethod
     def stretches(raw: bytes) -> list[bytes]:
         """The stretches of a text, each without its first space (the text's own is the one added)."""
@@ -275,12 +282,13 @@ class Encoder:
         return out + [b" " * (spaces - 1)] if spaces else out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self._known) + len(self._bare) > self._room:
-            self._known.clear()
+        if len(self._known) > self._room // 2:
+            self._older, self._known = self._known, {}
+        if len(self._bare) > self._room // 4:
             self._bare.clear()
         known, bare = self._known, self._bare
         split = [self.stretches(t.replace(SPACE, " ").encode("utf-8")) for t in texts]
-        missing = set(chain.from_iterable(split)).difference(known)
+        missing = self._unknown(set(chain.from_iterable(split)))
         if missing:
             heads, tails, joined = set(), set(), []
             for c in missing:
@@ -291,7 +299,7 @@ class Encoder:
                     joined.append((c, first, rest))
             tails.discard(b"")
             bare[b""] = b""
-            self._learn([(c, SPACE + c.decode("utf-8").replace(" ", SPACE)) for c in heads if c not in known], known)
+            self._learn([(c, SPACE + c.decode("utf-8").replace(" ", SPACE)) for c in self._unknown(heads)], known)
             self._learn([(c, c.decode("utf-8").replace(" ", SPACE)) for c in tails if c not in bare], bare)
             for c, first, rest in joined:
                 known[c] = known[first] + b"".join([self._feed + bare[r] for r in rest])
@@ -355,17 +363,13 @@ def decode_pieces(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(_decode(path or model_path()), "doc_id long, ids array<int>, decoded string")
 
 
-def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column("ids")
-        values, offsets = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-        crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        texts = [t.encode("utf-8") for t in batch.column("decoded").to_pylist()]
-        cols = [np.diff(offsets), crc, [len(t) for t in texts], [zlib.crc32(t) for t in texts]]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "n_ids", "ids_crc32", "decoded_bytes", "decoded_crc32"])
-
-
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document encoded and decoded again: numbers of ids and bytes, and their checksums."""
+    """Every document encoded and decoded again: numbers of ids and bytes, and their digests."""
     decoded = decode_pieces(encode_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    return decoded.mapInArrow(_report, "doc_id long, n_ids long, ids_crc32 long, decoded_bytes long, decoded_crc32 long")
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.xxhash64("ids").alias("ids_xxhash64"),
+        F.octet_length("decoded").cast("long").alias("decoded_bytes"),
+        F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
+    )

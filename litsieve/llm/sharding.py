@@ -102,8 +102,9 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.xxhash64(text, F.octet_length(text)).alias("text_key"),
     )
     rows = park(rows.withColumn("node", F.monotonically_increasing_id()), "documents")
-    copies = rows.df.groupBy("text_key").count().where("count > 1").select("text_key", F.col("text_key").alias("link"))
-    nodes = rows.df.select("node", "text_key").join(copies, "text_key", "left").select("node", "link")
+    # written first, so that the join below has no grouping in its stage and Spark may split a hot text
+    copies = park(rows.df.groupBy("text_key").count().where("count > 1").select("text_key", F.col("text_key").alias("link")), "copies")
+    nodes = rows.df.select("node", "text_key").join(copies.df, "text_key", "left").select("node", "link")
     placed = park(propagate(nodes, shards), "placed")
     buckets = max(1, placed.df.count() // BUCKET_ROWS)
     slots = ranked(placed.df.select("node", "shard"), ["shard"], [F.col("node")], "slot", buckets, F.col("node"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from litsieve.llm.common import park
 
 #: n-gram orders; hash buckets (a power of two); kept features; characters worked on at once.
-ORDERS, BUCKETS, FEATURES, BLOCK = (5, 6, 7, 8), 1 << 21, 1536, 1 << 20
+ORDERS, BUCKETS, FEATURES, BLOCK = (5, 6, 7, 8), 1 << 21, 1536, 1 << 18
 #: About so many labelled rows, drawn by a hash of their id, are learned from at most.
 TRAIN_ROWS = 20_000
 #: Scores from here on predict toxicity.
