@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,6 +50,16 @@ def park(df: DataFrame, label: str) -> Parked:
     return Parked(df, label)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, for ``mapInArrow``, that hands unused Arrow memory back when its task ends: Python workers go on to other stages."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return tidied
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str, buckets: int, spread: Column) -> DataFrame:
     """Add ``name``: a gapless number from 0 within ``keys``, however large a key is.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import park, ranked
+from litsieve.llm.common import park, ranked, tidy
 
 #: Tokens of a sequence; end-of-document id; rounds of multiplicative weights and their learning rate.
 CAPACITY, END, ROUNDS, RATE = 4096, 1, 120, 0.5
@@ -152,7 +152,7 @@ def token_pieces(documents: DataFrame, path: str | None = None, capacity: int =
     A null text counts as empty and is ``end`` alone; rows that repeat stay.
     """
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_pieces(path or vocabulary_path(), capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidy(_pieces(path or vocabulary_path(), capacity, end)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # ---- the plan ----------------------------------------------------------------------------------------

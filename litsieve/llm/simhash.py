@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import components, park
+from litsieve.llm.common import components, park, tidy
 
 #: Hash seed and words a shingle of the query's fingerprints, and its largest distance.
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -104,7 +104,7 @@ def fingerprints(documents: DataFrame, width: int = SHINGLE, signed: bool = Fals
     shingles and their signature.  A null text counts as empty."""
     schema = "doc_id long, fp long" + ", size long, marks binary" * signed
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_fingerprints(width, signed), schema)
+    return rows.mapInArrow(tidy(_fingerprints(width, signed)), schema)
 
 
 # ---- the tree -------------------------------------------------------------------------------

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsieve.llm.anchors import RangeHash, window_anchors
-from litsieve.llm.common import park
+from litsieve.llm.common import park, tidy
 
 #: Bytes of a repeated string; positions that a window's anchor is chosen from.
 LENGTH, WIDTH = 400, 256
@@ -294,7 +294,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, width: int = WIDTH, h
     """k, n, spans (array of struct start, stop; windows' bytes, unsorted, overlapping) of each text
     of ``texts`` (column text, not null) that holds a string of ``length`` bytes which repeats."""
     keyed = texts.select(*text_key(F.col("text")), "text").where(F.col("n") >= length)
-    anchors = park(keyed.mapInArrow(_anchored(length, width), "k long, n int, h long, c long, lo int, m int"), "anchors")
+    anchors = park(keyed.mapInArrow(tidy(_anchored(length, width)), "k long, n int, h long, c long, lo int, m int"), "anchors")
     twice = park(anchors.df.groupBy("h").count().where("count > 1").select("h"), "twice")
     # no grouping below or on top of the join: Spark may then split the rows of a core that a large part
     # of the corpus holds
@@ -308,7 +308,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, width: int = WIDTH, h
     need = contexts.df.join(cores, "h").select("at.*", F.struct("h", "at.lo", "at.m", (F.col("times") == 1).alias("single"), (F.col("different") > hot).alias("hot")).alias("x"))
     need = need.groupBy("k", "n").agg(F.collect_list("x").alias("need"))
     once = keyed.dropDuplicates(["k", "n"])
-    cut = once.join(need, ["k", "n"]).select("k", "n", "text", "need").mapInArrow(_cut(length), "k long, n int, h long, lo int, m int, single boolean, context binary, digests array<binary>")
+    cut = once.join(need, ["k", "n"]).select("k", "n", "text", "need").mapInArrow(tidy(_cut(length)), "k long, n int, h long, lo int, m int, single boolean, context binary, digests array<binary>")
     cut = park(cut, "cut")
     slots = max(1, cut.df.where("context is not null").count() // SLOT_CONTEXTS)
     slot = F.pmod(F.xxhash64("h"), F.lit(slots))
@@ -371,7 +371,7 @@ def removal_report(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     they have ``length`` bytes.
     """
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_spans(slim, length).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(slim, length).mapInArrow(tidy(_digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import park
+from litsieve.llm.common import park, tidy
 
 #: n-gram orders; hash buckets (a power of two); kept features; characters worked on at once.
 ORDERS, BUCKETS, FEATURES, BLOCK = (5, 6, 7, 8), 1 << 21, 1536, 1 << 18
@@ -27,8 +27,8 @@ ORDERS, BUCKETS, FEATURES, BLOCK = (5, 6, 7, 8), 1 << 21, 1536, 1 << 18
 TRAIN_ROWS = 20_000
 #: Scores from here on predict toxicity.
 THRESHOLD = 0.3
-#: Rows of the counted buckets that travel together.
-SLICE = 1 << 13
+#: Rows of the counted buckets that travel together; texts that are scored together.
+SLICE, TEXTS = 1 << 13, 256
 
 
 @dataclass
@@ -172,7 +172,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mo
     if not n0 or not n1:
         rate = min(max(n1 / (n0 + n1), 1e-6), 1 - 1e-6) if n0 + n1 else 0.5
         return Model(nothing, np.zeros(0), float(np.log(rate / (1 - rate))))
-    counted = learned.mapInArrow(_count, "slice long, counts binary").groupBy("slice").applyInPandas(_add, "slice long, counts binary")
+    counted = learned.mapInArrow(tidy(_count), "slice long, counts binary").groupBy("slice").applyInPandas(_add, "slice long, counts binary")
     counts = np.zeros((2, BUCKETS))
     for r in counted.collect():  # BUCKETS / SLICE rows
         counts[:, r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = _opened(r["counts"])
@@ -196,7 +196,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mo
             found = _present(shared.value, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([f.astype(np.int16).tobytes() for f in found], pa.binary())], names=["toxic", "found"])
 
-    sample = learned.mapInArrow(held, "toxic boolean, found binary").collect()  # about ``rows`` short rows
+    sample = learned.mapInArrow(tidy(held), "toxic boolean, found binary").collect()  # about ``rows`` short rows
     sampled.drop()
     x, y = np.zeros((len(sample), len(best)), dtype=np.float32), np.zeros(len(sample), dtype=np.float32)
     scale = ratio[best].astype(np.float32)
@@ -208,6 +208,14 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mo
     return Model(place, weight * scale, bias)
 
 
+def _rates(model: Model, texts: pa.Array) -> np.ndarray:
+    """The score of each text; a part of the batch at a time is held as Python strings."""
+    sums: list[float] = []
+    for at in range(0, len(texts), TEXTS):
+        sums += [model.bias + float(model.weight[f].sum()) for f in _present(model.place, texts.slice(at, TEXTS).to_pylist())]
+    return 1 / (1 + np.exp(-np.clip(np.array(sums, dtype=np.float64), -40, 40)))
+
+
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of every row of ``documents`` (doc_id, text); a null text counts as empty."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -215,13 +223,11 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            sums = [m.bias + float(m.weight[f].sum()) for f in _present(m.place, batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([1 / (1 + np.exp(-min(max(s, -40.0), 40.0))) for s in sums], pa.float64())],
-                names=["doc_id", "score"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(_rates(m, batch.column("text")), pa.float64())], names=["doc_id", "score"]
             )
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -242,11 +248,11 @@ def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     shared_model = train(documents, labels.where(~held_out(F.col("doc_id"))))
     shared = documents.sparkSession.sparkContext.broadcast(shared_model)
 
-    @F.pandas_udf("double")
-    def rate(text: pd.Series) -> pd.Series:
-        m = shared.value
-        sums = np.array([m.bias + float(m.weight[f].sum()) for f in _present(m.place, text.tolist())])
-        return pd.Series(1 / (1 + np.exp(-np.clip(sums, -40, 40))))
+    @F.arrow_udf("double")
+    def rate(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            yield pa.array(_rates(shared.value, text), pa.float64())
+        pa.default_memory_pool().release_unused()
 
     marked = documents.withColumn("__score", rate(F.col("text").cast("string")))
     return marked.where(F.col("__score") < THRESHOLD).drop("__score")
