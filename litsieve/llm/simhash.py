@@ -31,8 +31,6 @@ from litsieve.llm.common import components, park, tidy
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: Fingerprints sampled for the vantage points; rows that a shard should index; rows of a leaf inside a shard.
 SAMPLE, SHARD_ROWS, LEAF_ROWS = 1024, 8192, 96
-#: Places of a one-permutation signature (a power of two).
-PLACES = 256
 
 
 def shingle_hashes(raw: bytes, width: int, seed: int = SEED) -> np.ndarray:
@@ -64,47 +62,23 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def signature(hashes: np.ndarray) -> bytes:
-    """One-permutation MinHash: the smallest of the hashes that fall to each place (0: none did)."""
-    h = np.unique(hashes * np.uint64(0x9E3779B97F4A7C15))
-    shift = np.uint64(64 - PLACES.bit_length() + 1)
-    place = (h >> shift).astype(np.int64)
-    first = np.ones(len(h), dtype=bool)
-    first[1:] = place[1:] != place[:-1]
-    out = np.zeros(PLACES, dtype=np.uint32)
-    out[place[first]] = ((h[first] >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
-    return out.tobytes()
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _fingerprints(width: int, signed: bool):
+def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes, marks = [], [], []
-            for text in batch.column("text").to_pylist():
-                hashes = shingle_hashes((text or "").encode("utf-8"), width)
-                prints.append(_signed(fingerprint(hashes)))
-                if signed:
-                    sizes.append(len(np.unique(hashes)))
-                    marks.append(signature(hashes))
-            cols, names = [batch.column("doc_id").cast(pa.int64()), pa.array(prints, pa.int64())], ["doc_id", "fp"]
-            if signed:
-                cols += [pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())]
-                names += ["size", "marks"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            prints = [_signed(fingerprint(shingle_hashes((t or "").encode("utf-8"), width))) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
 
     return run
 
 
-def fingerprints(documents: DataFrame, width: int = SHINGLE, signed: bool = False) -> DataFrame:
-    """doc_id, fp (64 bits as a long) of every row; with ``signed`` also the number of distinct
-    shingles and their signature.  A null text counts as empty."""
-    schema = "doc_id long, fp long" + ", size long, marks binary" * signed
+def fingerprints(documents: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (64 bits as a long) of every row.  A null text counts as empty."""
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(tidy(_fingerprints(width, signed)), schema)
+    return rows.mapInArrow(tidy(_fingerprints(width)), "doc_id long, fp long")
 
 
 # ---- the tree -------------------------------------------------------------------------------
@@ -166,17 +140,13 @@ def _route(trees: list, radius: int):
                 values = _slice(fp, band, bands)
                 home = np.zeros(len(frame), dtype=np.int64)
                 _homes(tree, values, rows, home)
-                tiers = [0] if "tier" not in frame else [0, 1]
-                for step in tiers:  # a question also goes to the next tier, so each pair of tiers meets once
-                    visits: list = []
-                    _visits(tree, values, rows, radius // bands, visits)
-                    for leaf, found in visits:
-                        out = frame.iloc[found].copy()
-                        out["band"], out["shard"] = band, leaf
-                        out["asked"] = (home[found] != leaf) | (step == 1)
-                        if step:
-                            out["tier"] += 1
-                        yield out
+                visits: list = []
+                _visits(tree, values, rows, radius // bands, visits)
+                for leaf, found in visits:
+                    out = frame.iloc[found].copy()
+                    out["band"], out["shard"] = band, leaf
+                    out["asked"] = home[found] != leaf
+                    yield out
 
     return run
 
@@ -233,37 +203,19 @@ def _search(values, fp, index, asked, radius, narrow, met) -> None:
             met(part[i], index[j])
 
 
-def _alike(sizes: np.ndarray, marks: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Pairs whose estimated Jaccard similarity is ``least`` or more; two empty sets are equal."""
-    low, high = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-    good = low >= least * high
-    x, y = marks[a[good]], marks[b[good]]
-    union = ((x != 0) | (y != 0)).sum(axis=1)
-    same = ((x == y) & (x != 0)).sum(axis=1)
-    good[good] = same >= (least - MARGIN) * union
-    return good
-
-
-def _shard_edges(radius: int, bands: int, least: float | None):
+def _shard_edges(radius: int, bands: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["asked", "node"], kind="stable").reset_index(drop=True)
         fp = frame["fp"].to_numpy().view(np.uint64)
         asked = frame["asked"].to_numpy()
         nodes, local = np.unique(frame["node"].to_numpy(), return_inverse=True)
         forest = Forest(len(nodes))
-        if least is not None:
-            marks = np.frombuffer(b"".join(frame["marks"]), dtype=np.uint32).reshape(len(frame), PLACES)
-            sizes = frame["size"].to_numpy()
 
         def met(a: np.ndarray, b: np.ndarray) -> None:
             apart = forest.root[local[a]] != forest.root[local[b]]
             a, b = a[apart], b[apart]
             for at in range(0, len(a), 1 << 14):
-                x, y = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
-                if least is not None:
-                    good = _alike(sizes, marks, x, y, least)
-                    x, y = x[good], y[good]
-                forest.join(local[x], local[y])
+                forest.join(local[a[at : at + (1 << 14)]], local[b[at : at + (1 << 14)]])
 
         rows = np.arange(len(frame))
         values = _slice(fp, int(frame["band"].iloc[0]), bands)
@@ -275,25 +227,20 @@ def _shard_edges(radius: int, bands: int, least: float | None):
     return run
 
 
-def near_edges(items: DataFrame, radius: int, bands: int = 2, least: float | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_edges(items: DataFrame, radius: int, bands: int = 2, depth: int | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Edges (a, b) that connect exactly the nodes linked over pairs within ``radius``.
 
-    ``items``: node long (unique), fp long.  With ``least``, also size, marks and tier: a pair must
-    reach that estimated Jaccard similarity; tiers are bins of log(size) to the base 1 / least, so
-    partners stand in the same tier or the next.
+    ``items``: node long (unique), fp long.  ``depth``: levels of the trees; None: as the rows ask.
     """
     if radius < 0 or bands not in (1, 2, 4, 8):
         raise ValueError("radius must be 0 or more, bands 1, 2, 4 or 8")
-    rows = items.groupBy("tier").count().agg(F.max("count")).first()[0] if least is not None else items.count()
-    depth = max(0, int(np.ceil(np.log2(max(rows or 0, 1) / shard_rows))))
+    if depth is None:
+        depth = min(8, max(0, int(np.ceil(np.log2(max(items.count(), 1) / shard_rows)))))
     picked = items.select("fp").distinct().orderBy(F.xxhash64("fp")).limit(SAMPLE).collect() if depth else []
     sample = np.array([r[0] for r in picked], dtype=np.int64).view(np.uint64)
-    trees = [build_tree(_slice(sample, band, bands), min(depth, 8)) for band in range(bands)]
-    extra = ", tier long, size long, marks binary" if least is not None else ""
-    columns = ["node", "fp"] + (["tier", "size", "marks"] if least is not None else [])
-    routed = items.select(*columns).mapInPandas(_route(trees, radius), f"node long, fp long{extra}, band long, shard long, asked boolean")
-    keys = ["band", "shard"] + (["tier"] if least is not None else [])
-    return routed.groupBy(*keys).applyInPandas(_shard_edges(radius, bands, least), "a long, b long").distinct()
+    trees = [build_tree(_slice(sample, band, bands), depth) for band in range(bands)]
+    routed = items.select("node", "fp").mapInPandas(_route(trees, radius), "node long, fp long, band long, shard long, asked boolean")
+    return routed.groupBy("band", "shard").applyInPandas(_shard_edges(radius, bands), "a long, b long").distinct()
 
 
 def simhash_groups(documents: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -313,33 +260,141 @@ def simhash_groups(documents: DataFrame, width: int = SHINGLE, radius: int = RAD
     return prints.df.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The pipeline's stage: words a shingle, least similarity, and the Hamming radius that such pairs keep within.
-STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_RADIUS, STAGE_SHARD_ROWS = 5, 0.8, 16, 32768
-#: An estimate may fall short of the least similarity by so much, so that chance loses few pairs just above it.
-MARGIN = 0.01
+# ---- the pipeline's stage: similar sets of shingles ----------------------------------------------
+
+#: The pipeline's stage: words a shingle and least similarity.
+STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
+#: Shingles known as common at most; part of the documents they are counted in, and how many of these at least.
+COMMON, COUNTED, COUNTED_ROWS = 1 << 17, 8, 4096
+#: Slack of comparisons in floating point; it never loses a pair.
+TINY = 1e-9
+
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches, so that workers hold little."""
+    for batch in batches:
+        for at in range(0, len(batch), 1024):
+            yield batch.slice(at, 1024)
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            sets = [np.unique(shingle_hashes((t or "").encode("utf-8"), width).view(np.int64)) for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))], names=["doc_id", "shingles"])
+
+    return run
+
+
+def _each_set(column: pa.Array) -> Iterator[np.ndarray]:
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield flat[a:b]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        flat, n = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *_each_set(batch.column("shingles"))]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+
+
+def _prefixes(common, least: float):
+    """The first shingles of every set, rare ones first: two sets that reach ``least`` share one of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = common.value
+        for batch in _parts(batches):
+            nodes, keys, places, sizes = [], [], [], []
+            for node, shingles in zip(batch.column("node").to_pylist(), _each_set(batch.column("shingles")), strict=True):
+                n = len(shingles)
+                if not n:
+                    continue
+                rank = np.zeros(n, dtype=np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+                    rank = np.where(known[at] == shingles, often[at], 0)
+                first = np.lexsort((shingles, rank))[: n - int(np.ceil(least * n - TINY)) + 1]
+                keys.append(shingles[first])
+                nodes.append(np.full(len(first), node, dtype=np.int64))
+                places.append(np.arange(len(first), dtype=np.int32))
+                sizes.append(np.full(len(first), n, dtype=np.int32))
+            if keys:
+                cols = [pa.array(np.concatenate(x)) for x in (keys, nodes, places, sizes)]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "node", "place", "size"])
+
+    return run
 
-def similar_groups(documents: DataFrame, width: int = STAGE_SHINGLE, least: float = STAGE_SIMILARITY, radius: int = STAGE_RADIUS) -> DataFrame:
-    """doc_id, component_id: documents linked where fingerprints differ in ``radius`` bits at most and
-    the similarity of their sets of ``width``-word shingles is ``least`` or more.
 
-    The similarity is read from a one-permutation signature of 256 places (near exact for texts of few
-    shingles, standard error 0.025 at 0.8 for long ones) and may fall short by ``MARGIN``.  At 0.8 the
-    fingerprints differ in 9.7 bits, by angle, with a deviation of 2.9; the radius keeps 98 in 100 pairs
-    there and more above.  Such a radius leaves the triangle bounds little to prune; the tiers of
-    size do that.
+def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of ``least`` or more."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = park(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-sets")
+    side = lambda x: held.df.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    union = F.size("of_a") + F.size("of_b") - both
+    found = park(pairs.join(side("b"), "b").join(side("a"), "a").where(both + TINY >= least * union).select("a", "b"), "similar-pairs")
+    held.drop()
+    return found.df
+
+
+def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several documents among those counted, in order, and their counts."""
+    rows = sets.count()
+    part = max(1, min(COUNTED, rows // COUNTED_ROWS))
+    sample = sets.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(part)) == 0).select("shingles")
+    seen = sample.mapInArrow(tidy(_counted), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2")
+    top = seen.orderBy(F.desc("n"), "key").limit(COMMON).toPandas().sort_values("key")
+    return top["key"].to_numpy(dtype=np.int64), top["n"].to_numpy(dtype=np.int64)
+
+
+def similar_groups(documents: DataFrame, width: int = STAGE_SHINGLE, least: float = STAGE_SIMILARITY) -> DataFrame:
+    """doc_id, component_id: documents linked where the similarity (Jaccard) of their sets of
+    ``width``-word shingles is ``least`` or more.
+
+    Exact: no pair is lost and none is linked by estimate.  With the shingles of all sets in one order,
+    two sets that reach ``least`` share one of their first (1 - least) parts, so only documents that meet
+    there are compared, by their sets.  The order, common shingles last, decides the work and not the
+    links; it is counted in a part of the documents.  First each document is held against the smallest
+    node of about its size that it meets.  Then those in different groups that meet are held against each
+    other: pairs within a group, however large, are never listed.
     """
-    prints = park(fingerprints(documents, width, signed=True), "similar")
-    unique = prints.df.groupBy("fp", "size", "marks").agg(F.min("doc_id").alias("least"))
-    tier = F.floor(F.log(F.greatest("size", F.lit(1))) / float(-np.log(least)))
-    unique = park(unique.select("fp", "size", "marks", "least", tier.cast("long").alias("tier"), F.xxhash64("fp", "size", "marks").alias("node")), "similar-unique")
-    edges = near_edges(unique.df, radius, bands=1, least=least, shard_rows=STAGE_SHARD_ROWS)
+    spark = documents.sparkSession
+    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    made = texts.mapInArrow(tidy(_sets(width)), "doc_id long, shingles array<long>")
+    prints = park(made.withColumn("node", F.xxhash64("shingles", F.size("shingles"))), "similar")
+    common = spark.sparkContext.broadcast(_common(prints.df))
+    firsts = prints.df.select("node", "shingles").mapInArrow(tidy(_prefixes(common, least)), "key long, node long, place int, size int")
+    firsts = park(firsts, "similar-firsts")
+    shared = firsts.df.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    tier = F.floor(F.log(F.col("size")) / float(-np.log(least)))
+    met = park(firsts.df.join(shared, "key").distinct().withColumn("tier", tier), "similar-met")
+    firsts.drop()
+
+    centre = met.df.groupBy("key", "tier").agg(F.min("node").alias("a"))
+    stars = met.df.join(centre, ["key", "tier"]).where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    stars = park(stars, "similar-stars")
+    sets = prints.df.select("node", "shingles")
+    edges = _confirmed(stars.df, sets, least)
     roots = components(edges)
-    slim = unique.df.select("node", "least")
-    named = slim.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    near = park(met.df.join(roots, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component", "tier"), "similar-near")
+    met.drop()
+    groups = near.df.groupBy("key", "group").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    one = near.df.select("key", F.col("node").alias("x"), F.col("group").alias("gx"), F.col("place").alias("px"), F.col("size").alias("sx"))
+    other = near.df.select("key", F.col("node").alias("y"), F.col("group").alias("gy"), F.col("place").alias("py"), F.col("size").alias("sy"))
+    # each document meets the later groups of its key whose sizes may fit, and then the documents of these
+    fits = one.join(groups.withColumnRenamed("group", "gy"), "key").where((F.col("gx") < F.col("gy")) & (F.col("high") + TINY >= least * F.col("sx")) & (F.col("sx") + TINY >= least * F.col("low")))
+    # where the key is the first that two sets share, the rest of the shorter tail is all that they may have in common
+    enough = F.least(F.col("sx") - F.col("px"), F.col("sy") - F.col("py")) * (1 + least) + TINY >= least * (F.col("sx") + F.col("sy"))
+    cross = fits.join(other, ["key", "gy"]).where(enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    cross = park(cross.join(stars.df, ["a", "b"], "left_anti"), "similar-cross")
+    near.drop()
+    roots = components(edges.unionByName(_confirmed(cross.df, sets, least)))
+    named = prints.df.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
     small = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.select("node", "root").join(small, "root").select("node", "component_id")
-    return prints.df.select("doc_id", F.xxhash64("fp", "size", "marks").alias("node")).join(classes, "node").select("doc_id", "component_id")
+    return prints.df.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")
 
 
 def keep_first(documents: DataFrame, groups: DataFrame) -> DataFrame:

@@ -284,6 +284,42 @@ def test_similar_groups(spark):
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, 0, 3, 4, 6, 7, 8, 10]
 
 
+def test_similar_groups_are_exact(spark):
+    rnd = random.Random(21)
+
+    def shingles(text):
+        w = text.split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    texts = []
+    line = words(rnd, 30, 4)
+    for k in range(40):  # pairs from about 0.6 to 0.95, a line that all share
+        base = words(rnd, 250, 4).split()
+        copy = list(base)
+        for at in rnd.sample(range(5, 245), 1 + k // 4):
+            copy[at] = "other"
+        texts += [" ".join(base) + " " + line, line + " " + " ".join(copy)]
+    text, again = words(rnd, 300, 4), words(rnd, 20, 4)
+    texts += [text + " " + again, text + (" " + again) * 60]  # few shingles more, counted 60 times
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = {i: find(i) for i in range(len(texts))}
+    assert want[81] == 80 and 10 < len(set(want.values())) < len(texts)
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs(spark, texts)).collect()} == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 300), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
