@@ -1,11 +1,12 @@
 """Sharding by balanced label propagation: DataFrame operations only.
 
 Documents with equal texts are linked.  Each document starts in a shard that its id decides.  In
-a round, documents learn how many of their linked documents sit in each shard; those who would gain
-by moving ask for a place there; a shard admits askers, greatest gain first, up to its quota, and so
-many of its own leave.  Linked documents are counted per (text, shard), never paired.  After the
-rounds, shards over their share give up documents, those with the fewest links in the shard first,
-to shards that are under it, so counts end at most one apart.
+a round, documents learn how many of their linked documents sit in each shard.  A text fills the
+shards that hold most of it, as many as it needs, and its documents elsewhere ask for places there; a
+shard admits askers, greatest gain first, up to its quota.  Then shards over their share give up
+documents, those with the fewest links in the shard first, to shards that are under it, so counts are
+at most one apart.  Rounds go on as long as more linked pairs come together.  Linked documents are
+counted per (text, shard), never paired.
 """
 
 from __future__ import annotations
@@ -16,60 +17,85 @@ from pyspark.sql.window import Window
 
 from litsieve.llm.common import park, ranked
 
-#: Shards; rounds of propagation; part of a shard's share that it may hold beyond it between rounds.
-SHARDS, ROUNDS, ROOM = 40, 4, 0.1
+#: Shards; shares that a shard's linked documents may take before those with fewest links leave.
+SHARDS, SHARES = 40, 2
 #: Documents that one bucket ranks, about.
 BUCKET_ROWS = 20_000
 #: What a document weighs besides its text's bytes.
 OVERHEAD = 16
 
 
-def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def _per_shard(df: DataFrame) -> DataFrame:
+    return df.where("link is not null").groupBy("link", "shard").agg(F.count("*").alias("n"))
+
+
+def together(placed: DataFrame) -> int:
+    """Linked pairs that share a shard: all linked pairs less the cut edges."""
+    return int(_per_shard(placed).agg(F.sum(F.col("n").cast("decimal(38,0)") * (F.col("n") - 1) / 2)).first()[0] or 0)
+
+
+def propagate(nodes: DataFrame, shards: int = SHARDS) -> DataFrame:
     """node, link, shard for ``nodes`` (node long, unique; link: equal where nodes are linked, null for none).
 
     Shard sizes differ by one node at most.
     """
     total = nodes.count()
     buckets = max(1, total // BUCKET_ROWS)
-    share, rest = divmod(total, shards)
     start = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")
-    held = park(nodes.select("node", "link", start.alias("shard")), "shards")
-    linked = F.col("link").isNotNull()
-
-    def per_shard(df: DataFrame) -> DataFrame:
-        return df.where(linked).groupBy("link", "shard").agg(F.count("*").alias("n"))
-
-    def here(df: DataFrame) -> DataFrame:
-        return df.join(per_shard(df), ["link", "shard"], "left").withColumn("here", F.coalesce(F.col("n") - 1, F.lit(0))).drop("n")
-
-    for _ in range(rounds):
-        sizes = held.df.groupBy("shard").count()  # ``shards`` rows
-        quota = sizes.select("shard", (F.lit(int((share + 1) * (1 + ROOM))) - F.col("count")).alias("quota")).where("quota > 0")
-        # the shard with places left that most of a text's documents sit in: once one is full, large texts turn to the next
-        first = F.struct("n", F.xxhash64("link", "shard"))
-        best = per_shard(held.df).join(quota, "shard").groupBy("link").agg(F.max_by(F.struct(F.col("shard").alias("best"), F.col("n").alias("there")), first).alias("b"))
-        asks = here(held.df).where(linked).join(best.select("link", "b.*"), "link").where("best <> shard and there > here")
-        asks = asks.select("node", "best", (F.col("there") - F.col("here")).alias("gain"))
-        # askers in order of gain: whole classes of gain first, numbered within a class
-        by_gain = asks.groupBy("best", "gain").agg(F.count("*").alias("n"))
-        above = Window.partitionBy("best").orderBy(F.desc("gain")).rowsBetween(Window.unboundedPreceding, -1)
-        by_gain = by_gain.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0))).drop("n")
-        numbered = ranked(asks, ["best", "gain"], [F.col("node")], "place", buckets, F.col("node"))
-        admitted = numbered.join(by_gain, ["best", "gain"]).join(quota.withColumnRenamed("shard", "best"), "best").where("place + above < quota").select("node", "best")
-        moved = held.df.join(admitted, "node", "left").select("node", "link", F.coalesce("best", "shard").alias("shard"))
-        after = park(moved, "shards")
+    first = park(nodes.select("node", "link", start.alias("shard")), "shards")
+    held = park(_balance(first.df, total, shards, buckets), "shards")
+    first.drop()
+    kept = together(held.df)
+    while True:  # ends: the linked pairs that are together rise each time
+        moved = park(_gather(held.df, total, shards, buckets), "shards")
+        after = park(_balance(moved.df, total, shards, buckets), "shards")
+        moved.drop()
+        now = together(after.df)
+        if now <= kept:
+            after.drop()
+            return held.df
         held.drop()
-        held = after
-
-    # balance: number each shard's documents, best linked first; those beyond the share move on
-    around = here(held.df)
+        held, kept = after, now
+
+
+def _gather(held: DataFrame, total: int, shards: int, buckets: int) -> DataFrame:
+    """A round: ``held`` (node, link, shard) with the admitted documents moved."""
+    share = total // shards
+    sizes = held.groupBy("shard").agg(F.count("link").alias("count"))  # ``shards`` rows
+    # documents without links count for nothing here: they make room when the counts are balanced
+    quota = sizes.select("shard", F.greatest(F.lit(0), F.lit((share + 1) * SHARES) - F.col("count")).alias("quota"))
+    order = Window.partitionBy("link").orderBy(F.desc("n"), F.xxhash64("link", "shard"))  # at most ``shards`` rows
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    spread = _per_shard(held).join(quota, "shard").withColumn("free", F.greatest(F.lit(0), F.least(F.col("quota"), F.lit(share) - F.col("n"))))
+    spread = spread.withColumn("before", F.coalesce(F.sum(F.col("n") + F.col("free")).over(earlier), F.lit(0))).withColumn("from", F.coalesce(F.sum("free").over(earlier), F.lit(0)))
+    # the text fills its first shards; what stands in the others moves to the free places, by number
+    spread = spread.withColumn("filled", F.col("before") < F.sum("n").over(Window.partitionBy("link"))).select("link", "shard", "n", "free", "from", "filled")
+    aims = spread.where("filled and free > 0").groupBy("link").agg(F.array_sort(F.collect_list(F.struct("from", "shard", "n"))).alias("aims"))
+    movers = held.join(spread.where("not filled").select("link", "shard", "n"), ["link", "shard"]).select("node", "link", (F.col("n") - 1).alias("here"))
+    movers = ranked(movers, ["link"], [F.col("node")], "number", buckets, F.col("node")).join(aims, "link")
+    aim = F.element_at(F.filter("aims", lambda x: x["from"] <= F.col("number")), -1)
+    asks = movers.withColumn("aim", aim).select("node", F.col("aim.shard").alias("best"), (F.col("aim.n") - F.col("here")).alias("gain"))
+    # askers in order of gain: whole classes of gain first, numbered within a class
+    by_gain = asks.groupBy("best", "gain").agg(F.count("*").alias("n"))
+    above = Window.partitionBy("best").orderBy(F.desc("gain")).rowsBetween(Window.unboundedPreceding, -1)
+    by_gain = by_gain.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0))).drop("n")
+    numbered = ranked(asks, ["best", "gain"], [F.col("node")], "place", buckets, F.col("node"))
+    admitted = numbered.join(by_gain, ["best", "gain"]).join(quota.withColumnRenamed("shard", "best"), "best").where("place + above < quota").select("node", "best")
+    return held.join(admitted, "node", "left").select("node", "link", F.coalesce("best", "shard").alias("shard"))
+
+
+def _balance(held: DataFrame, total: int, shards: int, buckets: int) -> DataFrame:
+    """``held`` with shard sizes that differ by one node at most."""
+    share, rest = divmod(total, shards)
+    # number each shard's documents, best linked first; those beyond the share move on
+    around = held.join(_per_shard(held), ["link", "shard"], "left").withColumn("here", F.coalesce(F.col("n") - 1, F.lit(0))).drop("n")
     classes = around.groupBy("shard", "here").agg(F.count("*").alias("n"))
     above = Window.partitionBy("shard").orderBy(F.desc("here")).rowsBetween(Window.unboundedPreceding, -1)
     classes = classes.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0))).drop("n")
     slim = around.select("node", "link", "shard", "here")
     placed = ranked(slim, ["shard", "here"], [F.col("link"), F.col("node")], "place", buckets, F.coalesce("link", "node")).join(classes, ["shard", "here"])
-    spark = nodes.sparkSession
-    counts = held.df.groupBy("shard").count()
+    spark = held.sparkSession
+    counts = held.groupBy("shard").count()
     all_shards = spark.range(shards).select(F.col("id").cast("int").alias("shard")).join(counts, "shard", "left").fillna(0, ["count"])
     # the shards with most documents get one more where the total leaves a rest
     order = Window.orderBy(F.desc("count"), "shard")  # ``shards`` rows

@@ -466,6 +466,25 @@ def test_sharding(spark):
     assert sharding.shard_documents(docs(spark, [])).count() == 0
 
 
+def test_sharding_gathers_a_hot_text(spark):
+    # a text on a third of the rows, one on a twentieth, pairs, and rows on their own or linked in tens
+    for rest in (None, 10):
+        link = [0] * 800 + [1] * 120 + [2 + i // 2 for i in range(200)]
+        link += [None if rest is None else 1000 + i // rest for i in range(1280)]
+        nodes = spark.createDataFrame([(i, k) for i, k in enumerate(link)], "node long, link long")
+        placed = sharding.propagate(nodes)
+        counts, held = {}, {}
+        for r in placed.collect():
+            counts[r.shard] = counts.get(r.shard, 0) + 1
+            held.setdefault(r.link, {}).setdefault(r.shard, []).append(r.node)
+        assert len(counts) == 40 and set(counts.values()) == {60}
+        pairs = lambda n: n * (n - 1) // 2
+        kept = lambda k: sum(pairs(len(v)) for v in held[k].values())
+        # 800 rows fill 13 shards of 60 and a third of one, 120 rows two: no other placing keeps more pairs
+        assert kept(0) >= 0.95 * (13 * pairs(60) + pairs(20))
+        assert kept(1) >= 0.9 * 2 * pairs(60)
+
+
 # ---- urls and media ---------------------------------------------------------------------------------------
 
 
