@@ -2,35 +2,41 @@
 
 A configuration is a multiset of lengths that fits a sequence.  The fractional program, fewest
 sequences that cover every length as often as it occurs, is solved by multiplicative weights: each
-round prices the lengths, an unbounded-knapsack dynamic program finds the best configuration at
-those prices, and lengths that it covers get cheaper.  The solution is rounded down to whole
-sequences; what is left over is packed best fit decreasing.  All of that looks at the histogram only
-(at most ``CAPACITY`` numbers), whatever the corpus.  The plan it yields sends the r-th piece of a
-length to a sequence and an offset, so pieces are placed by their rank, in parallel.
+round prices the lengths, a knapsack dynamic program finds the best configuration at those prices,
+and lengths that it covers get cheaper.  The solution is rounded down to whole sequences; what that
+leaves is priced and placed by the same knapsack.  So the program decides over about nine tenths of
+the tokens; best fit adds the shortest piece of each sequence and the gap fillers.
+
+All of that looks at the histogram only (at most ``CAPACITY`` numbers), whatever the corpus.  The plan
+it yields sends the r-th piece of a length to a sequence and an offset, so pieces are placed by their
+rank, in parallel.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litsieve.llm.chunks import ROOM, Chunks, slices
 from litsieve.llm.common import park, ranked, tidy
 
-#: Tokens of a sequence; end-of-document id; rounds of multiplicative weights and their learning rate.
-CAPACITY, END, ROUNDS, RATE = 4096, 1, 120, 0.5
-#: Times the program is solved, each for what the last left over; empty tokens that a rounded configuration may have.
-SOLVES, SLACK = 2, 2
-#: Part of each configuration that is rounded.
-ROUNDED = 0.9
-#: Pieces that one bucket ranks, about; entries of the word cache of a Python worker.
-BUCKET_ROWS, CACHE = 20_000, 600_000
+#: Tokens of a sequence; end-of-document id.
+CAPACITY, END = 4096, 1
+#: Classes of lengths that the program is solved over; how fast a met demand gets cheaper; part of a demand that a round may meet.
+CLASSES, RATE, PART = 96, 0.3, 0.15
+#: What a piece as long as a sequence is worth beyond its length; part of the volume, in the shortest pieces, that fills gaps at the end.
+BONUS, SPARE = 0.05, 0.05
+#: Pieces that one bucket ranks, about.
+BUCKET_ROWS = 20_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -43,105 +49,97 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: What stands for itself between other characters: runs of lower-case letters, runs of ASCII marks but the
+#: apostrophe, single digits.  The tokenizer changes none of these and splits between them.
+LETTERS, MARKS = "a-zß-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_PART = re.compile(rf"[{LETTERS}]+|[{MARKS}]+|[0-9]")
+
+
 class WordIds:
-    """Token ids of texts, as little-endian 32-bit words, by a tokenizer that never joins text across
-    white space: each distinct chunk between white space is encoded once and remembered."""
+    """Token ids of texts by a tokenizer that never joins text across white space.
+
+    Each distinct chunk between ASCII white space is encoded once and remembered (see ``chunks``).  Chunks
+    of plain letters, marks and digits are put together from their parts, which are encoded many at a time
+    and without normalisation, of which they need none; all others go through the whole tokenizer.
+    """
 
-    def __init__(self, path: str, room: int = CACHE):
+    def __init__(self, path: str, end: int = END, room: int = ROOM):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[bytes, bytes] = {}
-        self._older: dict[bytes, bytes] = {}  # the generation before, from which words in use come back
+        self._whole, self._bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self._bare.normalizer = None
+        self._bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self._parts: dict[str, bytes] = {}
         self._room = room
-        vocab = self._tokenizer.get_vocab()
+        self._chunks = Chunks(self._learn, np.array([end], dtype="<u4").tobytes(), room)
+        vocab = self._whole.get_vocab()
         self._final = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, i in vocab.items():
             self._final[i] = token.endswith("</w>")
 
-    def _encode(self, texts: list[str]) -> list:
-        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        plain, rest = [], []
-        for raw in chunks:
-            c = raw.decode("utf-8")
-            (plain if c.isalpha() and max(c) < "ɐ" and "İ" not in c else rest).append((raw, c))
-        # a chunk of letters is one word with one final token, so many fit one call
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            groups = [some[i : i + 32] for i in range(0, len(some), 32)]
-            for group, ids in zip(groups, self._encode([" ".join(c for _, c in g) for g in groups]), strict=True):
-                made = np.array(ids, dtype="<u4")
-                ends = np.flatnonzero(self._final[made]) + 1
-                if len(ends) != len(group):
-                    rest += group
-                    continue
-                whole, begin = made.tobytes(), 0
-                for (raw, _), end in zip(group, (ends * 4).tolist(), strict=True):
-                    self._known[raw] = whole[begin:end]
-                    begin = end
-        for at in range(0, len(rest), 4096):
-            some = rest[at : at + 4096]
-            self._known.update((raw, np.array(i, dtype="<u4").tobytes()) for (raw, _), i in zip(some, self._encode([c for _, c in some]), strict=True))
-
-    def _unknown(self, chunks: set[bytes]) -> set[bytes]:
-        """Those of ``chunks`` that are to be encoded, once the older generation has given up what it has."""
-        missing = chunks.difference(self._known)
-        back = missing.intersection(self._older)
-        self._known.update((c, self._older[c]) for c in back)
-        return missing - back
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self._known) > self._room // 2:
-            self._older, self._known = self._known, {}
-        known = self._known
-        split = []
-        for text in texts:
-            raw = text.encode("utf-8")
-            # bytes know ASCII white space and letters alone, which the tokenizer treats alike;
-            # the strings of special tokens tell cases apart
-            split.append((raw if b"<|" in raw else raw.lower()).split())
-        missing = self._unknown(set(chain.from_iterable(split)))
-        if missing:
-            tails, cores = [], set()
-            for c in missing:
-                core = c.rstrip(b".,;:!?")
-                if core and core != c and core.decode("utf-8").isalpha():
-                    tails.append((c, core, c[len(core) :]))
-                    cores.update((core, c[len(core) :]))
-                else:
-                    cores.add(c)
-            self._learn(list(self._unknown(cores)))
-            for c, core, tail in tails:
-                known[c] = known[core] + known[tail]
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-
-
-_WORDS: dict[str, WordIds] = {}
+    @staticmethod
+    def _encode(tokenizer, texts: list[str]) -> list[list[int]]:
+        return [e.ids for at in range(0, len(texts), 4096) for e in tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        if len(self._parts) > self._room:
+            self._parts.clear()
+        split = [() if "<|" in c else _PART.findall(c) for c in chunks]  # special tokens begin so
+        split = [p if sum(map(len, p)) == len(c) else () for c, p in zip(chunks, split, strict=True)]
+        known = self._parts
+        new = list({p for parts in split for p in parts if p not in known})
+        # a part has one final token, so many fit one call
+        groups = [new[i : i + 32] for i in range(0, len(new), 32)]
+        odd: list[str] = []
+        for group, ids in zip(groups, self._encode(self._bare, [" ".join(g) for g in groups]), strict=True):
+            made = np.array(ids, dtype="<u4")
+            ends = np.flatnonzero(self._final[made]) + 1
+            if len(ends) != len(group):
+                odd += group
+                continue
+            whole, begin = made.tobytes(), 0
+            for part, stop in zip(group, (ends * 4).tolist(), strict=True):
+                known[part] = whole[begin:stop]
+                begin = stop
+        rest = odd + [c for c, p in zip(chunks, split, strict=True) if c and not p]
+        alone = {c: np.array(i, dtype="<u4").tobytes() for c, i in zip(rest, self._encode(self._whole, rest), strict=True)}
+        known.update((c, alone[c]) for c in odd)
+        return [b"".join([known[x] for x in p]) if p else alone.get(c, b"") for c, p in zip(chunks, split, strict=True)]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``texts`` (strings, not null), each with the end-of-document id, end to end, and where each begins."""
+        lower = pc.ascii_lower(texts)
+        special = pc.match_substring(texts, "<|")
+        if pc.any(special).as_py():  # the strings of special tokens tell cases apart
+            lower = pc.if_else(special, texts, lower)
+        return self._chunks.gather(pc.ascii_split_whitespace(lower), end=True)
+
+
+_WORDS: dict[tuple, WordIds] = {}
 
 
 def _pieces(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _WORDS:
-            _WORDS[path] = WordIds(path)
-        words = _WORDS[path]
-        final = np.array([end], dtype="<u4").tobytes()
+        if (path, end) not in _WORDS:
+            _WORDS[path, end] = WordIds(path, end)
+        words = _WORDS[path, end]
         for batch in batches:
-            docs, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 256):
-                cols: list[list] = [[] for _ in range(5)]
-                for doc, ids in zip(docs[at : at + 256], words([t or "" for t in texts[at : at + 256]]), strict=True):
-                    ids += final
-                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[start : start + 4 * capacity]
-                        for c, v in zip(cols, (doc, piece, start // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                            c.append(v)
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            docs = batch.column("doc_id")
+            for at, texts in slices(pc.fill_null(batch.column("text"), "")):
+                ids, bounds = words(texts)
+                sizes = np.diff(bounds)
+                count = -(-sizes // capacity)
+                owner = np.repeat(np.arange(len(texts)), count)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+                length = np.minimum(sizes[owner] - piece * capacity, capacity)
+                first = bounds[owner] + piece * capacity
+                raw = memoryview(ids.astype("<u4", copy=False).tobytes())
+                marks = [zlib.crc32(raw[a:b]) for a, b in zip((first * 4).tolist(), ((first + length) * 4).tolist(), strict=True)]
+                cols = [docs.slice(at, len(texts)).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(marks, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
@@ -158,80 +156,166 @@ def token_pieces(documents: DataFrame, path: str | None = None, capacity: int =
 # ---- the plan ----------------------------------------------------------------------------------------
 
 
-def knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of ``sizes`` of greatest worth within ``capacity``: {index: times}."""
+def knapsack(sizes: np.ndarray, worth: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
+    """The multiset of ``sizes`` of greatest worth within ``capacity``, size i at most ``most[i]`` times: {index: times}."""
     value = np.zeros(capacity + 1)
-    by_size = np.full(capacity + 1, -1.0)
-    place = np.full(capacity + 1, -1, dtype=np.int64)
-    by_size[sizes] = worth
-    place[sizes] = np.arange(len(sizes))
-    take = np.zeros(capacity + 1, dtype=np.int64)  # size taken at each fill, 0: none
-    reach = np.flatnonzero(place >= 0)
-    for c in range(1, capacity + 1):
-        k = np.searchsorted(reach, c, side="right")
-        best, size = value[c - 1], 0
-        if k:
-            gains = by_size[reach[:k]] + value[c - reach[:k]]
-            i = int(gains.argmax())
-            if gains[i] > best + 1e-15:
-                best, size = gains[i], int(reach[i])
-        value[c], take[c] = best, size
+    bundles, taken = [], []
+    for i in np.flatnonzero((worth > 0) & (most > 0)).tolist():
+        left, times = min(int(most[i]), capacity // int(sizes[i])), 1
+        while left:  # bundles of 1, 2, 4, ... make up every number of times
+            times = min(times, left)
+            left -= times
+            size, gain = times * int(sizes[i]), times * worth[i]
+            better = value[: capacity + 1 - size] + gain
+            take = better > value[size:] + 1e-12
+            np.copyto(value[size:], better, where=take)
+            bundles.append((i, times, size))
+            taken.append(take)
+            times *= 2
     out: dict[int, int] = {}
     c = capacity
-    while c > 0:
-        if take[c]:
-            i = int(place[take[c]])
-            out[i] = out.get(i, 0) + 1
-            c -= int(take[c])
-        else:
-            c -= 1
+    for (i, times, size), take in zip(reversed(bundles), reversed(taken), strict=True):
+        if c >= size and take[c - size]:
+            out[i] = out.get(i, 0) + times
+            c -= size
     return out
 
 
-def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, rate: float) -> dict[tuple, float]:
-    """Multiplicative weights on the covering program: {((index, times), ...): sequences}, scaled so that
-    no demand is exceeded.  A length's price falls with the share of its demand met so far."""
+def worths(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """First prices: the share of a sequence, and a little more for long pieces, which are harder to place."""
+    share = sizes / capacity
+    return share * (1 + BONUS * share)
+
+
+def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, rate: float = RATE, part: float = PART) -> dict[tuple, float]:
+    """Multiplicative weights on the covering program: {((index, times), ...): sequences} that meet every demand exactly.
+
+    Each round finds the best configuration at the prices of the moment and uses it until one of its sizes
+    has got ``part`` of its demand more, or all of it.  A size's price falls with the share of its demand
+    that is met, and is nothing once it is met; so there are len(sizes) / part rounds at most, and a few more.
+    """
     found: dict[tuple, float] = {}
-    met, worth = np.zeros(len(sizes)), sizes / capacity
-    price = worth.copy()
-    for _ in range(rounds):
-        picked = knapsack(sizes, price, capacity)
-        step = min(demand[i] / t for i, t in picked.items()) / 2
+    met, worth = np.zeros(len(sizes)), worths(sizes, capacity)
+    fits = np.minimum(capacity // sizes, np.ceil(demand)).astype(np.int64)
+    while True:
+        open_ = met < 1 - 1e-9
+        if not open_.any():
+            return found
+        ahead = met - np.average(met, weights=sizes * demand)
+        picked = knapsack(sizes, np.where(open_, worth * np.exp(-rate * ahead), 0.0), fits, capacity)
+        step = min(demand[i] * min(part, 1 - met[i]) / t for i, t in picked.items())
         config = tuple(sorted(picked.items()))
         found[config] = found.get(config, 0.0) + step
         for i, t in picked.items():
-            met[i] += step * t
-        price = worth * np.exp(-rate * (met / demand - (met * worth).sum() / (demand * worth).sum()))
-    scale = min(1.0, 1.0 / max((met / demand).max(), 1e-12))
-    return {config: amount * scale for config, amount in found.items()}
+            met[i] += step * t / demand[i]
+
+
+def rounded(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """[({index: times}, sequences)] that hold every demand: the fractional program rounded down, and what is
+    left by the same knapsack held to what is left, the largest size first."""
+    left = demand.copy()
+    plan: list[tuple[dict[int, int], int]] = []
+    for config, amount in fractional(sizes, demand.astype(np.float64), capacity).items():
+        n = int(amount + 1e-6)
+        if n:
+            plan.append((dict(config), n))
+            for i, t in config:
+                left[i] -= n * t
+    while (left > 0).any():
+        first = int(np.flatnonzero(left)[-1])
+        rest = left.copy()
+        rest[first] -= 1
+        picked = knapsack(sizes, worths(sizes, capacity), rest, capacity - int(sizes[first]))
+        picked[first] = picked.get(first, 0) + 1
+        n = min(int(left[i]) // t for i, t in picked.items())
+        plan.append((picked, n))
+        for i, t in picked.items():
+            left[i] -= n * t
+    return plan
+
+
+def length_classes(histogram: dict[int, int], count: int) -> list[list[int]]:
+    """The lengths in order, cut where about equally many pieces stand in each class."""
+    sizes = sorted(histogram)
+    total, seen = sum(histogram.values()), 0
+    out: list[list[int]] = [[] for _ in range(count)]
+    for s in sizes:
+        out[min(count - 1, (2 * seen + histogram[s]) * count // (2 * total))].append(s)
+        seen += histogram[s]
+    return [c for c in out if c]
 
 
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[dict[int, int], int]]:
+class Stock:
+    """The pieces of a class, handed out from either end."""
+
+    def __init__(self, rows: list[tuple[int, int]]):
+        self.rows = deque([s, n] for s, n in sorted(rows))
+
+    def take(self, n: int, longest: bool) -> list[tuple[int, int]]:
+        """``n`` pieces as (length, number), the last of the list first in turn."""
+        out, end = [], -1 if longest else 0
+        while n:
+            size, held = self.rows[end]
+            k = min(held, n)
+            out.append((size, k))
+            n -= k
+            self.rows[end][1] -= k
+            if held == k:
+                self.rows.pop() if longest else self.rows.popleft()
+        return out[::-1]
+
+
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = CLASSES) -> list[tuple[dict[int, int], int]]:
     """[({length: times}, sequences)]: whole sequences that hold every piece of ``histogram`` exactly.
 
-    The fractional program is solved and rounded down, and again for what is left, while that places a
-    worthwhile part; the last leftover is packed best fit decreasing.
+    The program is solved and rounded over ``classes`` classes of lengths, each at its mean.  Its
+    configurations are then filled with pieces of their classes, all but the shortest of each: that one
+    closes the sequence, and best fit picks it for the space that the others really leave.  The shortest
+    pieces, up to ``SPARE`` of the volume, fill what gaps remain.
     """
-    left = {int(s): int(n) for s, n in histogram.items() if n > 0}
-    plan: list[tuple[dict[int, int], int]] = []
-    for _ in range(SOLVES):
-        sizes = np.array(sorted(left), dtype=np.int64)
-        if not len(sizes):
+    histogram = {int(s): int(n) for s, n in histogram.items() if n > 0}
+    if not histogram:
+        return []
+    volume, rest, spared = sum(s * n for s, n in histogram.items()), {}, 0
+    for size in sorted(histogram):
+        spared += size * histogram[size]
+        if spared > SPARE * volume:
             break
-        demand = np.array([left[int(s)] for s in sizes], dtype=np.float64)
-        for config, amount in sorted(fractional(sizes, demand, capacity, rounds // SOLVES, rate).items(), key=lambda x: -x[1]):
-            # a part stays behind in the original mixture, which best fit packs well
-            times = int(min(amount * ROUNDED, *(left.get(int(sizes[i]), 0) // t for i, t in config)))
-            if times and sum(int(sizes[i]) * t for i, t in config) >= capacity - SLACK:
-                plan.append(({int(sizes[i]): t for i, t in config}, times))
-                for i, t in config:
-                    left[int(sizes[i])] -= times * t
-        left = {s: n for s, n in left.items() if n}
-    return plan + best_fit(left, capacity)
-
-
-def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best fit decreasing over a histogram: equal lengths and equal gaps are placed many at a time."""
+        rest[size] = histogram.pop(size)
+    groups = length_classes(histogram, classes)
+    demand = np.array([sum(histogram[s] for s in g) for g in groups], dtype=np.int64)
+    means = np.array([-(-sum(s * histogram[s] for s in g) // int(d)) for g, d in zip(groups, demand, strict=True)], dtype=np.int64)
+    stocks = [Stock([(s, histogram[s]) for s in g]) for g in groups]
+    placed: list[tuple[dict[int, int], int]] = []
+    for config, n in rounded(means, demand, capacity):
+        slots = [i for i in sorted(config, reverse=True) for _ in range(config[i])]
+        # long pieces of one class meet short ones of the next, so sums stay near those of the means
+        drawn = [stocks[i].take(n, k % 2 == 0) for k, i in enumerate(slots[: max(1, len(slots) - 1)])]
+        at = 0
+        while at < n:  # as many sequences at once as get the same lengths
+            same = min(d[-1][1] for d in drawn)
+            made: dict[int, int] = {}
+            room = capacity
+            for d in drawn:
+                size, held = d.pop()
+                if held > same:
+                    d.append((size, held - same))
+                if size <= room:
+                    made[size] = made.get(size, 0) + 1
+                    room -= size
+                else:  # classes count at their means, so a piece may be too long: it goes to the rest
+                    stocks[0].rows.append([size, same])
+            placed.append((made, same))
+            at += same
+    for stock in stocks:
+        for size, n in stock.rows:
+            rest[size] = rest.get(size, 0) + n
+    return best_fit(rest, capacity, placed)
+
+
+def best_fit(histogram: dict[int, int], capacity: int, begun: list[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
+    """Best fit decreasing over a histogram, into the sequences ``begun`` and new ones: equal lengths and equal
+    gaps are placed many at a time."""
     bins: dict[int, list[list]] = {}  # gap -> [[config, number of sequences]]
     gaps: list[int] = []
 
@@ -241,6 +325,8 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, i
             insort(gaps, gap)
         bins[gap].append([config, n])
 
+    for config, n in begun:
+        add(capacity - sum(s * t for s, t in config.items()), config, n)
     for size in sorted(histogram, reverse=True):
         n = histogram[size]
         while n:
@@ -302,7 +388,12 @@ class Placement:
 
 def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``documents``
-    (doc_id, text); an empty table gives an empty result."""
+    (doc_id, text); other columns are not read.
+
+    A null or empty text is one piece of length 1 (the end-of-document id).  Rows that repeat, ids included,
+    are pieces of their own each; which of equal pieces gets which place is any.  An empty table gives an
+    empty result.
+    """
     spark = documents.sparkSession
     pieces = park(token_pieces(documents, path, capacity), "pieces")
     counted = {int(r[0]): int(r[1]) for r in pieces.df.groupBy("length").count().collect()}  # at most ``capacity`` rows
@@ -321,4 +412,5 @@ def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pack`` over all of ``documents``."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
