@@ -19,6 +19,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsieve.llm.chunks import ROOM, Chunks, slices
+from litsieve.llm.chunks import ROOM, Chunks, slices, three_parts
 from litsieve.llm.common import park, ranked, tidy
 
 #: Tokens of a sequence; end-of-document id.
@@ -53,14 +54,17 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 #: apostrophe, single digits.  The tokenizer changes none of these and splits between them.
 LETTERS, MARKS = "a-zß-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 _PART = re.compile(rf"[{LETTERS}]+|[{MARKS}]+|[0-9]")
+_LETTERS = re.compile(rf"[{LETTERS}]+")
+_EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 
 class WordIds:
     """Token ids of texts by a tokenizer that never joins text across white space.
 
-    Each distinct chunk between ASCII white space is encoded once and remembered (see ``chunks``).  Chunks
-    of plain letters, marks and digits are put together from their parts, which are encoded many at a time
-    and without normalisation, of which they need none; all others go through the whole tokenizer.
+    Distinct chunks between ASCII white space are cut into a run of plain letters and the marks around it,
+    and each distinct part is encoded once and remembered (see ``chunks``).  Parts of plain letters, marks
+    and digits are encoded many at a time and without normalisation, of which they need none; all others go
+    through the whole tokenizer.
     """
 
     def __init__(self, path: str, end: int = END, room: int = ROOM):
@@ -72,9 +76,7 @@ class WordIds:
         self._whole, self._bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self._bare.normalizer = None
         self._bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self._parts: dict[str, bytes] = {}
-        self._room = room
-        self._chunks = Chunks(self._learn, np.array([end], dtype="<u4").tobytes(), room)
+        self._chunks = Chunks(self._learn, self._cut, 3, np.array([end], dtype="<u4").tobytes(), room)
         vocab = self._whole.get_vocab()
         self._final = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, i in vocab.items():
@@ -84,15 +86,22 @@ class WordIds:
     def _encode(tokenizer, texts: list[str]) -> list[list[int]]:
         return [e.ids for at in range(0, len(texts), 4096) for e in tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> list[bytes]:
-        if len(self._parts) > self._room:
-            self._parts.clear()
-        split = [() if "<|" in c else _PART.findall(c) for c in chunks]  # special tokens begin so
-        split = [p if sum(map(len, p)) == len(c) else () for c, p in zip(chunks, split, strict=True)]
-        known = self._parts
-        new = list({p for parts in split for p in parts if p not in known})
+    @staticmethod
+    def _cut(chunks: pa.StringArray) -> pa.StringArray:
+        behind = pc.utf8_ltrim(chunks, characters=_EDGES)
+        core = pc.utf8_rtrim(behind, characters=_EDGES)
+        plain = pc.and_(pc.match_substring_regex(core, f"^[{LETTERS}]+$"), pc.invert(pc.match_substring(chunks, "<|")))
+        size = lambda x: pc.binary_length(x).to_numpy(zero_copy_only=False)
+        return three_parts(chunks, plain.to_numpy(zero_copy_only=False), size(core), size(chunks) - size(behind))
+
+    def _learn(self, parts: list[str]) -> list[bytes]:
+        split = {c: _PART.findall(c) for c in parts if not _LETTERS.fullmatch(c) and "<|" not in c}  # special tokens begin so
+        split = {c: p for c, p in split.items() if p and sum(map(len, p)) == len(c)}
+        letters = [c for c in parts if _LETTERS.fullmatch(c)]
+        new = list({*letters, *chain.from_iterable(split.values())})
         # a part has one final token, so many fit one call
         groups = [new[i : i + 32] for i in range(0, len(new), 32)]
+        known: dict[str, bytes] = {}
         odd: list[str] = []
         for group, ids in zip(groups, self._encode(self._bare, [" ".join(g) for g in groups]), strict=True):
             made = np.array(ids, dtype="<u4")
@@ -104,10 +113,12 @@ class WordIds:
             for part, stop in zip(group, (ends * 4).tolist(), strict=True):
                 known[part] = whole[begin:stop]
                 begin = stop
-        rest = odd + [c for c, p in zip(chunks, split, strict=True) if c and not p]
+        rest = odd + [c for c in parts if c and c not in known and c not in split]
         alone = {c: np.array(i, dtype="<u4").tobytes() for c, i in zip(rest, self._encode(self._whole, rest), strict=True)}
-        known.update((c, alone[c]) for c in odd)
-        return [b"".join([known[x] for x in p]) if p else alone.get(c, b"") for c, p in zip(chunks, split, strict=True)]
+        known.update(alone)
+        known.update([(c, b"".join([known[x] for x in p])) for c, p in split.items()])
+        known[""] = b""
+        return [known[c] for c in parts]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of ``texts`` (strings, not null), each with the end-of-document id, end to end, and where each begins."""
@@ -115,7 +126,7 @@ class WordIds:
         special = pc.match_substring(texts, "<|")
         if pc.any(special).as_py():  # the strings of special tokens tell cases apart
             lower = pc.if_else(special, texts, lower)
-        return self._chunks.gather(pc.ascii_split_whitespace(lower), end=True)
+        return self._chunks.gather(pc.ascii_split_whitespace(lower))
 
 
 _WORDS: dict[tuple, WordIds] = {}

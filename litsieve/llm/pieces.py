@@ -18,16 +18,19 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litsieve.llm.chunks import ROOM, Chunks, slices
+from litsieve.llm.common import tidy
+
 MODEL = "piece_bpe_32k.model"
-#: Characters indexed at once; characters from which a stretch is relaxed alone; remembered stretches.
-BATCH, LONG, CACHE = 1 << 18, 192, 600_000
+#: Characters indexed at once; characters from which a stretch is relaxed alone.
+BATCH, LONG = 1 << 18, 192
 SPACE = "▁"
 _NONE = np.iinfo(np.int64).max
 
@@ -233,83 +236,99 @@ class Encoder:
     parts of a stretch on both sides of a line feed that is in no piece.
     """
 
-    def __init__(self, path: str, room: int = CACHE):
+    def __init__(self, path: str, room: int = ROOM):
         self.pieces = Pieces(path)
+        self._chunks = Chunks(self._learn, room=room)
         self._room = room
-        self._known: dict[bytes, bytes] = {}  # stretch after its first space -> ids as 32-bit words
-        self._bare: dict[bytes, bytes] = {}  # parts that follow a line feed
-        self._older: dict[bytes, bytes] = {}  # the generation of stretches before, from which those in use come back
+        self._bare: dict[str, bytes] = {}  # parts that follow a line feed
         self._cut = "\n" not in self.pieces.letters
         self._feed = self.pieces.byte_ids[10:11].astype("<u4").tobytes()
+        self._raw = pa.array(self.pieces.raw, pa.binary())
 
-    def _learn(self, stretches: list[tuple[bytes, str]], into: dict) -> None:
+    def _relaxed(self, stretches: list[str]) -> dict[str, bytes]:
+        """The ids of stretches, spaces given as U+2581."""
+        out: dict[str, bytes] = {}
         at = 0
         while at < len(stretches):
             stop, size = at, 0
-            while stop < len(stretches) and (size == 0 or size + len(stretches[stop][1]) < BATCH):
-                size += len(stretches[stop][1]) + 1
+            while stop < len(stretches) and (size == 0 or size + len(stretches[stop]) < BATCH):
+                size += len(stretches[stop]) + 1
                 stop += 1
             some = stretches[at:stop]
-            sizes = np.array([len(t) for _, t in some])
+            sizes = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
             starts = np.cumsum(sizes + 1) - sizes - 1
-            text = "\U0010ffff".join(t for _, t in some) + "\U0010ffff"
-            for (key, _), ids in zip(some, relax(text, starts, sizes, self.pieces), strict=True):
-                into[key] = ids
+            text = "\U0010ffff".join(some) + "\U0010ffff"
+            out.update(zip(some, relax(text, starts, sizes, self.pieces), strict=True))
             at = stop
+        return out
 
-    def _unknown(self, stretches: set[bytes]) -> set[bytes]:
-        """Those of ``stretches`` that are to be relaxed, once the older generation has given up what it has."""
-        missing = stretches.difference(self._known)
-        back = missing.intersection(self._older)
-        self._known.update((c, self._older[c]) for c in back)
-        return missing - back
-
-    @staticmethod
-    def stretches(raw: bytes) -> list[bytes]:
-        """The stretches of a text, each without its first space (the text's own is the one added)."""
-        if not raw:
-            return []
-        chunks = raw.split(b" ")
-        if b"" not in chunks:
-            return chunks
-        out, spaces = [], 0
-        for c in chunks:
-            if c:
-                out.append(b" " * spaces + c)
-                spaces = 0
-            else:
-                spaces += 1
-        return out + [b" " * (spaces - 1)] if spaces else out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self._known) > self._room // 2:
-            self._older, self._known = self._known, {}
-        if len(self._bare) > self._room // 4:
+    def _learn(self, stretches: list[str]) -> list[bytes]:
+        """The ids of distinct stretches, each given without its first space."""
+        if len(self._bare) > self._room // 2:
             self._bare.clear()
-        known, bare = self._known, self._bare
-        split = [self.stretches(t.replace(SPACE, " ").encode("utf-8")) for t in texts]
-        missing = self._unknown(set(chain.from_iterable(split)))
-        if missing:
-            heads, tails, joined = set(), set(), []
-            for c in missing:
-                first, *rest = c.split(b"\n") if self._cut else (c,)
-                heads.add(first)
+        bare, split = self._bare, {}
+        heads: dict[str, bytes | None] = {}
+        tails: set[str] = set()
+        for s in stretches:
+            if self._cut and "\n" in s:
+                first, *rest = split[s] = s.split("\n")
+                heads[first] = self._chunks.held(first)
                 tails.update(rest)
-                if rest:
-                    joined.append((c, first, rest))
-            tails.discard(b"")
-            bare[b""] = b""
-            self._learn([(c, SPACE + c.decode("utf-8").replace(" ", SPACE)) for c in self._unknown(heads)], known)
-            self._learn([(c, c.decode("utf-8").replace(" ", SPACE)) for c in tails if c not in bare], bare)
-            for c, first, rest in joined:
-                known[c] = known[first] + b"".join([self._feed + bare[r] for r in rest])
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-
-    def decode(self, ids: bytes) -> str:
-        """The text of ids (32-bit words): pieces end to end, without the space that encoding adds."""
-        raw = self.pieces.raw
-        text = b"".join([raw[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
-        return text[text[:1] == b" " :].decode("utf-8", "replace")
+            else:
+                heads[s] = None
+        tails.discard("")
+        bare[""] = b""
+        spaced = lambda s: s.replace(" ", SPACE)
+        new = [s for s, ids in heads.items() if ids is None]
+        done = self._relaxed([SPACE + spaced(s) for s in new])
+        heads.update((s, done[SPACE + spaced(s)]) for s in new)
+        new = [s for s in tails if s not in bare]
+        done = self._relaxed([spaced(s) for s in new])
+        bare.update((s, done[spaced(s)]) for s in new)
+        whole = lambda first, *rest: heads[first] + b"".join([self._feed + bare[r] for r in rest])
+        return [whole(*split[s]) if s in split else heads[s] for s in stretches]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``texts`` (strings, not null) end to end, and where each text's begin."""
+        if pc.any(pc.match_substring(texts, SPACE)).as_py():
+            texts = pc.replace_substring(texts, SPACE, " ")
+        return self._chunks.gather(stretches(texts))
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The texts of ids: pieces end to end, without the space that encoding adds."""
+        flat = ids.values.slice(ids.offsets[0].as_py(), ids.offsets[-1].as_py() - ids.offsets[0].as_py())
+        bounds = pc.subtract(ids.offsets, ids.offsets[0])
+        text = pc.binary_join(pa.ListArray.from_arrays(bounds, self._raw.take(flat)), b"")
+        try:
+            text = text.cast(pa.string())
+        except pa.ArrowInvalid:  # ids that no text has
+            text = pa.array([t.decode("utf-8", "replace") for t in text.to_pylist()], pa.string())
+        return pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text)
+
+
+def _stretches(text: str) -> list[str]:
+    out, spaces = [], 0
+    for part in text.split(" ") if text else ():
+        if part:
+            out.append(" " * spaces + part)
+            spaces = 0
+        else:
+            spaces += 1
+    return out + [" " * (spaces - 1)] if spaces else out
+
+
+def stretches(texts: pa.Array) -> pa.ListArray:
+    """The stretches of each text, each without its first space (the text's own is the one added)."""
+    # a character that no text holds stands between them
+    free = next((c for c in map(chr, range(0xFDD0, 0xFDF0)) if not pc.any(pc.match_substring(texts, c)).as_py()), None)
+    if free is None:
+        return pa.array([_stretches(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    wide = pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " "))
+    marked = pc.replace_substring(texts, " ", free)
+    if pc.any(wide).as_py():  # of more spaces than one, the first parts two stretches
+        marked = pc.if_else(wide, pc.replace_substring_regex(texts, "([^ ]) ( *)", rf"\1{free}\2"), marked)
+    marked = pc.if_else(pc.equal(pc.binary_length(texts), 0), None, marked)
+    return pc.split_pattern(marked, free)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -325,12 +344,11 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = encoder([t or "" for t in part.column("text").to_pylist()])
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"])
+            docs = batch.column("doc_id")
+            for at, texts in slices(pc.fill_null(batch.column("text"), "")):
+                ids, bounds = encoder(texts)
+                made = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([docs.slice(at, len(texts)), made], names=["doc_id", "ids"])
 
     return run
 
@@ -341,26 +359,26 @@ def encode_pieces(documents: DataFrame, path: str | None = None) -> DataFrame:
     Null and empty texts have no ids; rows that repeat stay; other columns are not read.
     """
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_encode(path or model_path()), "doc_id long, ids array<int>")
+    return rows.mapInArrow(tidy(_encode(path or model_path())), "doc_id long, ids array<int>")
 
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = part.column("ids")
-                values, offsets = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-                raw = [values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array([encoder.decode(x) for x in raw], pa.string())], names=["doc_id", "ids", "decoded"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), encoder.decode(part.column("ids"))], names=["doc_id", "ids", "decoded"])
 
     return run
 
 
 def decode_pieces(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """``encoded`` (doc_id, ids) with column ``decoded``, the text of the ids."""
-    return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(_decode(path or model_path()), "doc_id long, ids array<int>, decoded string")
+    """``encoded`` (doc_id, ids) with column ``decoded``, the text of the ids.
+
+    Null or no ids give an empty text; ids whose bytes are no text give U+FFFD there; rows that repeat stay.
+    """
+    return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(tidy(_decode(path or model_path())), "doc_id long, ids array<int>, decoded string")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

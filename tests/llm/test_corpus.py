@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -352,9 +353,28 @@ def test_long_stretches_alone(monkeypatch):
     """The queue and the steps side by side give the same."""
     rnd = random.Random(10)
     texts = ["".join(rnd.choice("thinger") for _ in range(150)) for _ in range(20)]
-    step = pieces.Encoder(pieces.model_path())(texts)
+    step = pieces.Encoder(pieces.model_path())(pa.array(texts))
     monkeypatch.setattr(pieces, "LONG", 4)
-    assert pieces.Encoder(pieces.model_path())(texts) == step
+    again = pieces.Encoder(pieces.model_path())(pa.array(texts))
+    assert all(np.array_equal(a, b) for a, b in zip(step, again, strict=True))
+
+
+def test_stretches_without_a_free_character():
+    texts = ["", " ", "a", " a", "a ", "a  b   c", "  a  ", "a b"]
+    every = "".join(map(chr, range(0xFDD0, 0xFDF0)))
+    plain = pieces.stretches(pa.array(texts)).to_pylist()
+    assert [x or [] for x in plain] == pieces.stretches(pa.array([*texts, every])).to_pylist()[:-1]
+    assert [" ".join(x or []) for x in plain] == texts
+
+
+def test_memory_of_chunks_is_bounded():
+    words_ = packing.WordIds(packing.vocabulary_path(), room=50)
+    rnd = random.Random(15)
+    texts = [words(rnd, 40) for _ in range(8)]
+    whole = packing.WordIds(packing.vocabulary_path())
+    for t in texts:
+        assert np.array_equal(words_(pa.array([t]))[0], whole(pa.array([t]))[0])
+        assert len(words_._chunks._number) <= 50 + 40 * 3
 
 
 # ---- preferences ------------------------------------------------------------------------------------------
