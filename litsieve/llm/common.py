@@ -30,6 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Tables that are parked and not dropped; see ``tables_of``.
+_HELD: list[Parked] = []
+
+
 class Parked:
     """A DataFrame written to the shared folder once and read from there; ``drop()`` deletes it."""
 
@@ -38,8 +42,11 @@ class Parked:
         self.path = f"{shared_dir(self._spark)}/{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self._spark.read.schema(df.schema).parquet(self.path)
+        _HELD.append(self)
 
     def drop(self) -> None:
+        if self in _HELD:
+            _HELD.remove(self)
         jvm = self._spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(self.path)
         where.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -50,6 +57,36 @@ def park(df: DataFrame, label: str) -> Parked:
     return Parked(df, label)
 
 
+class tables_of:
+    """``with tables_of() as made: ...; made.drop()`` deletes the tables that the block has parked and not dropped.
+
+    Operators return DataFrames that still read such tables, so they are dropped once their result is written.
+    """
+
+    def __enter__(self) -> tables_of:
+        self._before = list(_HELD)
+        return self
+
+    def __exit__(self, *error) -> None:
+        pass
+
+    def drop(self, but: Parked | None = None) -> None:
+        for table in [t for t in _HELD if t not in self._before and t is not but]:
+            table.drop()
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores behind it until ``df`` has no such column (upper and lower case count as one)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, for ``mapInArrow``, that hands unused Arrow memory back when its task ends: Python workers go on to other stages."""
 

@@ -25,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litsieve.llm.anchors import mix64
 from litsieve.llm.common import components, park, tidy
 
 #: Hash seed and words a shingle of the query's fingerprints, and its largest distance.
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: Fingerprints sampled for the vantage points; rows that a shard should index; rows of a leaf inside a shard.
 SAMPLE, SHARD_ROWS, LEAF_ROWS = 1024, 8192, 96
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_hashes(raw: bytes, width: int, seed: int = SEED) -> np.ndarray:
@@ -262,150 +264,245 @@ def simhash_groups(documents: DataFrame, width: int = SHINGLE, radius: int = RAD
 
 # ---- the pipeline's stage: similar sets of shingles ----------------------------------------------
 
-#: The pipeline's stage: words a shingle and least similarity.
-STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
-#: Shingles known as common at most; part of the documents they are counted in, and how many of these at least.
-COMMON, COUNTED, COUNTED_ROWS = 1 << 17, 8, 4096
-#: Slack of comparisons in floating point; it never loses a pair.
+#: The stage: words a shingle, least Jaccard similarity, chance to miss a pair of just that similarity.
+STAGE_SHINGLE, STAGE_SIMILARITY, MISS = 5, 0.8, 0.02
+#: Bits of a slice beyond the logarithm of the documents; distance of slices that meet.
+SLICE_BITS, SLICE_RADIUS = 4, 1
+#: Slice values that a shard should index; deepest tree over slices; sampled fingerprints for each of its leaves.
+VALUE_ROWS, DEEPEST, LEAF_SAMPLE = 1 << 16, 12, 4
+#: Shingles that are worked on at once.
+SHINGLES = 1 << 19
+#: Slack of the comparison in floating point; it never loses a pair.
 TINY = 1e-9
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Small batches, so that workers hold little."""
+def slice_plan(rows: int, least: float = STAGE_SIMILARITY, miss: float = MISS) -> tuple[int, int]:
+    """(bits of a slice, slices) for ``rows`` documents.
+
+    Sets of similarity j have the cosine 2 j / (1 + j), so their fingerprints differ in a bit with the chance
+    acos(cosine) / pi.  Slices are so wide that few unrelated ones meet, and so many that sets of similarity
+    ``least`` meet in none with the chance ``miss`` only.
+    """
+    bits = min(48, max(12, int(np.ceil(np.log2(max(rows, 2)))) + SLICE_BITS))
+    differ = float(np.arccos(2 * least / (1 + least)) / np.pi)
+    meet = (1 - differ) ** bits + bits * differ * (1 - differ) ** (bits - 1)
+    return bits, int(np.ceil(np.log(miss) / np.log(1 - meet)))
+
+
+def set_slices(hashes: np.ndarray, sizes: np.ndarray, bits: int, count: int) -> np.ndarray:
+    """(sets, count) slices of the SimHash fingerprints of many sets, whose shingle hashes stand end to end.
+
+    A fingerprint of any width comes from hashing each shingle again; a bit is 1 if over half the hashes have it.
+    """
+    owner = np.repeat(np.arange(len(sizes)) * 256, sizes)
+    pattern = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+    out = np.zeros((len(sizes), -(-bits * count // 64) * 64), dtype=np.uint8)
+    steps = np.arange(1, out.shape[1] // 64 + 1, dtype=np.uint64) * _STEP
+    for word, step in enumerate(steps):
+        raw = mix64(hashes + step).view(np.uint8).reshape(-1, 8)
+        for i in range(8):
+            seen = np.bincount(owner + raw[:, i], minlength=len(sizes) * 256).reshape(-1, 256)
+            out[:, 64 * word + 8 * i : 64 * word + 8 * i + 8] = seen @ pattern * 2 > sizes[:, None]
+    weights = np.int64(1) << np.arange(bits, dtype=np.int64)
+    return out[:, : bits * count].reshape(len(sizes), count, bits).astype(np.int64) @ weights
+
+
+def _texts_in_parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of a batch with the sorted distinct shingle hashes of their texts, about SHINGLES at a time."""
+    for at in range(0, len(batch), 256):
+        part = batch.slice(at, 256)
+        sets: list[np.ndarray] = []
+        first, held = 0, 0
+        for t in part.column("text").to_pylist():
+            sets.append(np.unique(shingle_hashes((t or "").encode("utf-8"), STAGE_SHINGLE)))
+            held += len(sets[-1])
+            if held >= SHINGLES:
+                yield part.slice(first, len(sets)), sets
+                first, held, sets = first + len(sets), 0, []
+        if sets:
+            yield part.slice(first, len(sets)), sets
+
+
+def _node(shingles: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(shingles.tobytes(), len(shingles)))
+
+
+def _sliced(bits: int, count: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, sets in _texts_in_parts(batch):
+                sizes = np.array([len(x) for x in sets], dtype=np.int64)
+                slices = set_slices(np.concatenate(sets), sizes, bits, count)
+                ends = np.arange(len(sets) + 1, dtype=np.int32) * count
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("k"), pa.array([_node(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(slices.ravel()))],
+                    names=["doc_id", "k", "node", "slices"],
+                )
+
+    return run
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of the texts that really have the wanted node (another text may have the same ``k``)."""
     for batch in batches:
-        for at in range(0, len(batch), 1024):
-            yield batch.slice(at, 1024)
+        for part, sets in _texts_in_parts(batch):
+            rows = [(n, x) for n, x in zip(part.column("node").to_pylist(), sets, strict=True) if n == _node(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([x.view(np.int64) for _, x in rows], pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
-def _sets(width: int):
+def _route_values(trees: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
-            sets = [np.unique(shingle_hashes((t or "").encode("utf-8"), width).view(np.int64)) for t in batch.column("text").to_pylist()]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))], names=["doc_id", "shingles"])
+        for batch in batches:
+            tables, all_values = batch.column("table").to_numpy(), batch.column("value").to_numpy()
+            for table in np.unique(tables):
+                values = all_values[tables == table].view(np.uint64)
+                rows = np.arange(len(values))
+                home = np.zeros(len(values), dtype=np.int64)
+                _homes(trees[table], values, rows, home)
+                visits: list = []
+                _visits(trees[table], values, rows, SLICE_RADIUS, visits)
+                for leaf, found in visits:
+                    n = len(found)
+                    cols = [np.full(n, table, dtype=np.int32), np.full(n, leaf, dtype=np.int32), values[found].view(np.int64), home[found] != leaf]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["table", "shard", "value", "asked"])
 
     return run
 
 
-def _each_set(column: pa.Array) -> Iterator[np.ndarray]:
-    ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        yield flat[a:b]
+def _neighbours(frame: pd.DataFrame) -> pd.DataFrame:
+    """Values of a shard and larger ones asked there, at a distance of SLICE_RADIUS or less: every pair once in all shards."""
+    values = frame["value"].to_numpy().view(np.uint64)
+    asked = frame["asked"].to_numpy()
+    rows = np.arange(len(values))
+    low, high = [], []
 
+    def met(a: np.ndarray, b: np.ndarray) -> None:
+        over = values[a] > values[b]
+        high.append(values[a[over]])
+        low.append(values[b[over]])
+
+    _search(values, values, rows[~asked], rows, SLICE_RADIUS, SLICE_RADIUS, met)
+    flat = lambda x: np.concatenate([np.empty(0, dtype=np.uint64), *x]).view(np.int64)
+    return pd.DataFrame({"table": frame["table"].iloc[0], "value": flat(low), "other": flat(high)})
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        flat, n = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *_each_set(batch.column("shingles"))]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
 
+def _value_pairs(values: DataFrame, nodes: DataFrame, bits: int, count: int) -> DataFrame:
+    """(table, value, other): slice values of ``values`` (table, value) that differ in one bit, found by vantage-point trees."""
+    rows = max(1, values.count() // count)
+    depth = min(DEEPEST, max(0, int(np.ceil(np.log2(rows / VALUE_ROWS)))))
+    picked = nodes.orderBy(F.xxhash64("node")).limit(LEAF_SAMPLE << depth).select("slices").collect() if depth else []
+    sample = np.array([r[0] for r in picked], dtype=np.int64).reshape(-1, count)
+    trees = values.sparkSession.sparkContext.broadcast([build_tree(np.unique(sample[:, t]).view(np.uint64), depth) for t in range(count)])
+    routed = values.mapInArrow(lambda x: _route_values(trees.value)(x), "table int, shard int, value long, asked boolean")
+    return routed.groupBy("table", "shard").applyInPandas(_neighbours, "table int, value long, other long")
 
-def _prefixes(common, least: float):
-    """The first shingles of every set, rare ones first: two sets that reach ``least`` share one of these."""
 
+def _close(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = common.value
-        for batch in _parts(batches):
-            nodes, keys, places, sizes = [], [], [], []
-            for node, shingles in zip(batch.column("node").to_pylist(), _each_set(batch.column("shingles")), strict=True):
-                n = len(shingles)
-                if not n:
-                    continue
-                rank = np.zeros(n, dtype=np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
-                    rank = np.where(known[at] == shingles, often[at], 0)
-                first = np.lexsort((shingles, rank))[: n - int(np.ceil(least * n - TINY)) + 1]
-                keys.append(shingles[first])
-                nodes.append(np.full(len(first), node, dtype=np.int64))
-                places.append(np.arange(len(first), dtype=np.int32))
-                sizes.append(np.full(len(first), n, dtype=np.int32))
-            if keys:
-                cols = [pa.array(np.concatenate(x)) for x in (keys, nodes, places, sizes)]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "node", "place", "size"])
+        for batch in batches:
+            if len(batch):
+                a, b = (batch.column(c).flatten().to_numpy().reshape(len(batch), -1) for c in ("of_a", "of_b"))
+                apart = np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=1, dtype=np.int32)
+                keep = np.flatnonzero(apart <= limit)
+                yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep)), pa.array(apart[keep])], names=["a", "b", "apart"])
 
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of ``least`` or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = park(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-sets")
-    side = lambda x: held.df.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    union = F.size("of_a") + F.size("of_b") - both
-    found = park(pairs.join(side("b"), "b").join(side("a"), "a").where(both + TINY >= least * union).select("a", "b"), "similar-pairs")
-    held.drop()
-    return found.df
-
-
-def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of several documents among those counted, in order, and their counts."""
-    rows = sets.count()
-    part = max(1, min(COUNTED, rows // COUNTED_ROWS))
-    sample = sets.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(part)) == 0).select("shingles")
-    seen = sample.mapInArrow(tidy(_counted), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2")
-    top = seen.orderBy(F.desc("n"), "key").limit(COMMON).toPandas().sort_values("key")
-    return top["key"].to_numpy(dtype=np.int64), top["n"].to_numpy(dtype=np.int64)
-
-
-def similar_groups(documents: DataFrame, width: int = STAGE_SHINGLE, least: float = STAGE_SIMILARITY) -> DataFrame:
-    """doc_id, component_id: documents linked where the similarity (Jaccard) of their sets of
-    ``width``-word shingles is ``least`` or more.
-
-    Exact: no pair is lost and none is linked by estimate.  With the shingles of all sets in one order,
-    two sets that reach ``least`` share one of their first (1 - least) parts, so only documents that meet
-    there are compared, by their sets.  The order, common shingles last, decides the work and not the
-    links; it is counted in a part of the documents.  First each document is held against the smallest
-    node of about its size that it meets.  Then those in different groups that meet are held against each
-    other: pairs within a group, however large, are never listed.
+def similar_groups(documents: DataFrame, least: float = STAGE_SIMILARITY) -> DataFrame:
+    """doc_id, component_id: documents linked where the similarity (Jaccard) of their sets of five-word shingles
+    is ``least`` or more.
+
+    Candidates are found by SimHash and vantage-point trees: of a fingerprint of many bits, pairs meet in a
+    slice that differs in one bit at most, and trees over the slice values find these (see ``slice_plan`` for
+    the chance to miss a pair).  Candidates whose whole fingerprints differ in over a quarter of the bits are
+    dropped; all others are confirmed on the sets themselves, so no pair is linked by estimate.
+
+    A slice value with the values one bit away is a place.  First every document is held against the smallest
+    node of the places where it stands, nearest first, round by round; then those that meet and are still in
+    different groups.  Pairs within a group, however large, are never listed.
+
+    Null texts and texts without words have the empty set and are alike; equal sets are one node.  Rows that
+    repeat stay; a null doc_id is never the smallest.  An empty table gives an empty result.
     """
-    spark = documents.sparkSession
-    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    made = texts.mapInArrow(tidy(_sets(width)), "doc_id long, shingles array<long>")
-    prints = park(made.withColumn("node", F.xxhash64("shingles", F.size("shingles"))), "similar")
-    common = spark.sparkContext.broadcast(_common(prints.df))
-    firsts = prints.df.select("node", "shingles").mapInArrow(tidy(_prefixes(common, least)), "key long, node long, place int, size int")
-    firsts = park(firsts, "similar-firsts")
-    shared = firsts.df.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    tier = F.floor(F.log(F.col("size")) / float(-np.log(least)))
-    met = park(firsts.df.join(shared, "key").distinct().withColumn("tier", tier), "similar-met")
-    firsts.drop()
-
-    centre = met.df.groupBy("key", "tier").agg(F.min("node").alias("a"))
-    stars = met.df.join(centre, ["key", "tier"]).where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    stars = park(stars, "similar-stars")
-    sets = prints.df.select("node", "shingles")
-    edges = _confirmed(stars.df, sets, least)
-    roots = components(edges)
-    near = park(met.df.join(roots, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component", "tier"), "similar-near")
-    met.drop()
-    groups = near.df.groupBy("key", "group").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    one = near.df.select("key", F.col("node").alias("x"), F.col("group").alias("gx"), F.col("place").alias("px"), F.col("size").alias("sx"))
-    other = near.df.select("key", F.col("node").alias("y"), F.col("group").alias("gy"), F.col("place").alias("py"), F.col("size").alias("sy"))
-    # each document meets the later groups of its key whose sizes may fit, and then the documents of these
-    fits = one.join(groups.withColumnRenamed("group", "gy"), "key").where((F.col("gx") < F.col("gy")) & (F.col("high") + TINY >= least * F.col("sx")) & (F.col("sx") + TINY >= least * F.col("low")))
-    # where the key is the first that two sets share, the rest of the shorter tail is all that they may have in common
-    enough = F.least(F.col("sx") - F.col("px"), F.col("sy") - F.col("py")) * (1 + least) + TINY >= least * (F.col("sx") + F.col("sy"))
-    cross = fits.join(other, ["key", "gy"]).where(enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    cross = park(cross.join(stars.df, ["a", "b"], "left_anti"), "similar-cross")
-    near.drop()
-    roots = components(edges.unionByName(_confirmed(cross.df, sets, least)))
-    named = prints.df.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("k", F.xxhash64("text"))
+    bits, count = slice_plan(documents.count(), least)
+    prints = park(texts.mapInArrow(tidy(_sliced(bits, count)), "doc_id long, k long, node long, slices array<long>"), "similar")
+    nodes = park(prints.df.groupBy("node").agg(F.min("k").alias("k"), F.first("slices").alias("slices")), "similar-nodes")
+    placed = park(nodes.df.select("node", F.posexplode("slices").alias("table", "value")), "similar-placed")
+    values = park(placed.df.select("table", "value").distinct(), "similar-values")
+    pairs = park(_value_pairs(values.df, nodes.df, bits, count), "similar-pairs")
+    values.drop()
+    guests = pairs.df.join(placed.df.withColumnRenamed("value", "other"), ["table", "other"]).select("table", "value", "node", F.lit(False).alias("own"))
+    at = ["table", "value"]
+    met = placed.df.select(*at, "node", F.lit(True).alias("own")).unionByName(guests)
+    centres = met.groupBy(*at).agg(F.count("*").alias("n"), F.min(F.when(F.col("own"), F.col("node"))).alias("a")).where("n > 1").drop("n")
+    met = park(met.join(centres, at), "similar-met")
+    pairs.drop()
+    placed.drop()
+
+    def close(found: DataFrame) -> DataFrame:
+        side = lambda x: nodes.df.select(F.col("node").alias(x), F.col("slices").alias(f"of_{x}"))
+        return found.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(tidy(_close(bits * count // 4)), "a long, b long, apart int")
+
+    def confirmed(found: DataFrame) -> DataFrame:
+        """The pairs whose sets are similar."""
+        wanted = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.df.select("node", "k"), "node")
+        held = texts.select("k", "text").join(wanted, "k").groupBy("node", "k").agg(F.first("text").alias("text"))
+        held = park(held.mapInArrow(tidy(_sets), "node long, shingles array<long>"), "similar-sets")
+        side = lambda x: held.df.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}"))
+        both = F.size(F.array_intersect("of_a", "of_b"))
+        union = F.size("of_a") + F.size("of_b") - both
+        out = park(found.join(side("b"), "b").join(side("a"), "a").where(both + TINY >= least * union).select("a", "b"), "similar-edges")
+        held.drop()
+        return out.df
+
+    def apart(found: DataFrame, roots: DataFrame) -> DataFrame:
+        for x in ("a", "b"):
+            found = found.join(roots.select(F.col("node").alias(x), F.col("component").alias(f"in_{x}")), x, "left")
+        return found.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).drop("in_a", "in_b")
+
+    stars = park(close(met.df.where("a <> node").select("a", F.col("node").alias("b")).distinct()), "similar-stars")
+    edges, seen, roots, left = None, None, None, stars.df
+    while left.take(1):
+        tried = park(left.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"), "similar-tried")
+        new = confirmed(tried.df)
+        edges = new if edges is None else edges.unionByName(new)
+        seen = tried.df if seen is None else seen.unionByName(tried.df)
+        roots = components(edges)
+        left = park(apart(left.join(tried.df, ["a", "b"], "left_anti"), roots), "similar-left").df
+    if edges is not None:
+        grouped = met.df.select(*at, "node", "own").join(roots, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+        mixed = grouped.groupBy(*at).agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select(*at)
+        grouped = park(grouped.join(mixed, at), "similar-mixed")
+        other = grouped.df.select(*at, F.col("node").alias("y"), F.col("group").alias("gy"))
+        cross = grouped.df.where("own").join(other, at).where("group <> gy").select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")).distinct()
+        cross = park(close(cross.join(seen, ["a", "b"], "left_anti")).select("a", "b"), "similar-cross")
+        roots = components(edges.unionByName(confirmed(cross.df)))
+        grouped.drop()
+    least_of = prints.df.groupBy("node").agg(F.min("doc_id").alias("least"))
+    if roots is None:
+        return prints.df.select("doc_id", "node").join(least_of, "node").select("doc_id", F.col("least").alias("component_id"))
+    named = least_of.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
     small = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.select("node", "root").join(small, "root").select("node", "component_id")
     return prints.df.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")
 
 
 def keep_first(documents: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that are the first of their group; rows equal in doc_id and text count once.
+    """The rows of ``documents`` that are the first of their group.
 
-    Rows with a null doc_id stay.
+    Rows equal in doc_id and text count once; of such rows that differ in other columns the one stays that is
+    least by these.  Rows with a null doc_id stay.
     """
     firsts = groups.where("doc_id = component_id").select("doc_id").distinct()
-    known = documents.where("doc_id is not null").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    known = documents.where("doc_id is not null").join(firsts, "doc_id", "left_semi")
+    rest = [c for c in documents.columns if c not in ("doc_id", "text")]
+    known = known.select("doc_id", "text", F.struct(F.lit(0).alias("text"), *[F.col(f"`{c}`") for c in rest]).alias("rest"))
+    known = known.groupBy("doc_id", "text").agg(F.min("rest").alias("rest")).select("doc_id", "text", *[F.col("rest")[c].alias(c) for c in rest])
     return known.select(*documents.columns).unionByName(documents.where("doc_id is null"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``simhash_groups`` over all of ``documents``."""
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

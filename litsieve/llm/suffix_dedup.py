@@ -5,7 +5,7 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts anywhere else in
 1. Every window of ``LENGTH`` bytes has an anchor that its own bytes decide (see ``anchors``); a run
    of windows with one anchor and the bytes they cover are a *context*.  Equal windows have equal
    bytes from the anchor on, the core, so only contexts whose core repeats can matter.
-2. A context that repeats as a whole is decided: all its windows repeat.
+2. A context that repeats as a whole, by a 128-bit digest, is decided: all its windows repeat.
 3. The other contexts of a repeated core are sorted by suffixes: fingerprints of the windows
    nominate the suffixes where a repeat may begin, deep-shallow sorting orders them, and the longest
    common prefix with a neighbour says how many windows from there on repeat.
@@ -13,7 +13,8 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts anywhere else in
    counted by 128-bit digests, which combine before they are shuffled.
 
 What is shuffled per text is one row per anchor (a byte in 128 is one), the contexts of step 3, and
-the text itself twice.
+the text itself twice.  Equal texts are known by 128 bits and their size; so are whole contexts and the
+windows of step 4.  Step 3 alone compares bytes.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsieve.llm.anchors import RangeHash, window_anchors
-from litsieve.llm.common import park, tidy
+from litsieve.llm.common import fresh, park, tidy
 
 #: Bytes of a repeated string; positions that a window's anchor is chosen from.
 LENGTH, WIDTH = 400, 256
@@ -174,9 +175,11 @@ def _buffers(texts: list[bytes]) -> Iterator[tuple[int, bytes, np.ndarray, np.nd
 
 
 def _anchored(length: int, width: int):
+    digest = xxhash.xxh3_128_digest
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("k").to_numpy(zero_copy_only=False)
+            keys = batch.column("k")
             texts = [t.encode("utf-8") for t in batch.column("text").to_pylist()]
             for first, joined, starts, sizes in _buffers(texts):
                 data = np.frombuffer(joined, dtype=np.uint8)
@@ -186,10 +189,10 @@ def _anchored(length: int, width: int):
                 ranges = RangeHash(data)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(keys[first + owner]),
+                        keys.take(pa.array(first + owner)),
                         pa.array(sizes[owner].astype(np.int32)),
                         pa.array(ranges(anchor, anchor + length - width + 1).view(np.int64)),
-                        pa.array(ranges(lo, hi + length).view(np.int64)),
+                        pa.array([digest(joined[a:b]) for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)], pa.binary()),
                         pa.array((lo - starts[owner]).astype(np.int32)),
                         pa.array((hi - lo + 1).astype(np.int32)),
                     ],
@@ -217,7 +220,7 @@ def _cut(length: int):
                         context = None
                     for c, v in zip(out, (k, n, x["h"], lo, m, x["single"], context, digests), strict=True):
                         c.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.binary())]
+            kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["k", "n", "h", "lo", "m", "single", "context", "digests"])
 
     return run
@@ -286,15 +289,21 @@ def _sorted_runs(length: int):
 
 
 def text_key(text: F.Column) -> tuple[F.Column, F.Column]:
-    """What equal texts are known by: a 64-bit hash and the number of bytes."""
-    return F.xxhash64(text).alias("k"), F.octet_length(text).cast("int").alias("n")
+    """What equal texts are known by: 128 bits of two hashes and the number of bytes."""
+    half = lambda x: F.unhex(F.lpad(F.hex(x), 16, "0"))
+    return F.concat(half(F.xxhash64(text)), half(F.xxhash64(F.lit(1), text))).alias("k"), F.octet_length(text).cast("int").alias("n")
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, width: int = WIDTH, hot: int = HOT) -> DataFrame:
     """k, n, spans (array of struct start, stop; windows' bytes, unsorted, overlapping) of each text
-    of ``texts`` (column text, not null) that holds a string of ``length`` bytes which repeats."""
+    of ``texts`` (column text, not null) that holds a string of ``length`` bytes which repeats.
+
+    ``width``, less than ``length``: positions an anchor is chosen from.  It decides the work, not the result.
+    """
+    if not 0 < width < length:
+        raise ValueError("width must be positive and less than length")
     keyed = texts.select(*text_key(F.col("text")), "text").where(F.col("n") >= length)
-    anchors = park(keyed.mapInArrow(tidy(_anchored(length, width)), "k long, n int, h long, c long, lo int, m int"), "anchors")
+    anchors = park(keyed.mapInArrow(tidy(_anchored(length, width)), "k binary, n int, h long, c binary, lo int, m int"), "anchors")
     twice = park(anchors.df.groupBy("h").count().where("count > 1").select("h"), "twice")
     # no grouping below or on top of the join: Spark may then split the rows of a core that a large part
     # of the corpus holds
@@ -308,11 +317,11 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, width: int = WIDTH, h
     need = contexts.df.join(cores, "h").select("at.*", F.struct("h", "at.lo", "at.m", (F.col("times") == 1).alias("single"), (F.col("different") > hot).alias("hot")).alias("x"))
     need = need.groupBy("k", "n").agg(F.collect_list("x").alias("need"))
     once = keyed.dropDuplicates(["k", "n"])
-    cut = once.join(need, ["k", "n"]).select("k", "n", "text", "need").mapInArrow(tidy(_cut(length)), "k long, n int, h long, lo int, m int, single boolean, context binary, digests array<binary>")
+    cut = once.join(need, ["k", "n"]).select("k", "n", "text", "need").mapInArrow(tidy(_cut(length)), "k binary, n int, h long, lo int, m int, single boolean, context binary, digests array<binary>")
     cut = park(cut, "cut")
     slots = max(1, cut.df.where("context is not null").count() // SLOT_CONTEXTS)
     slot = F.pmod(F.xxhash64("h"), F.lit(slots))
-    some = cut.df.where("context is not null").withColumn("slot", slot).groupBy("slot").applyInPandas(_sorted_runs(length), "k long, n int, lo int, m int")
+    some = cut.df.where("context is not null").withColumn("slot", slot).groupBy("slot").applyInPandas(_sorted_runs(length), "k binary, n int, lo int, m int")
     windows = cut.df.where("digests is not null").select("k", "n", "lo", "single", F.posexplode("digests").alias("i", "digest"))
     again = windows.groupBy("digest").agg(F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("times")).where("times > 1")
     counted = windows.where("single").join(again, "digest").select("k", "n", (F.col("lo") + F.col("i")).cast("int").alias("lo"), F.lit(1).alias("m"))
@@ -341,18 +350,20 @@ def _kept(raw: bytes, spans: list[dict] | None) -> tuple[bytes, list[tuple[int,
     return b"".join(parts), runs
 
 
-def with_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """All rows and columns of ``documents`` and ``spans``, to be merged; null where nothing repeats."""
+def with_spans(documents: DataFrame, length: int = LENGTH, width: int | None = None) -> tuple[DataFrame, str]:
+    """All rows and columns of ``documents`` and one more, whose name is given, too: the repeated spans, to be
+    merged; null where nothing repeats."""
+    k, n, spans = fresh(documents, "k", "n", "spans")
     texts = documents.where("text is not null").select(F.col("text").cast("string").alias("text"))
-    spans = repeated_spans(texts, length).withColumnsRenamed({"k": "__k", "n": "__n", "spans": "__spans"})
-    k, n = text_key(F.col("text").cast("string"))
-    return documents.withColumn("__k", k).withColumn("__n", n).join(spans, ["__k", "__n"], "left").drop("__k", "__n")
+    found = repeated_spans(texts, length, width or length * WIDTH // LENGTH).withColumnsRenamed({"k": k, "n": n, "spans": spans})
+    of_text, size = text_key(F.col("text").cast("string"))
+    return documents.withColumn(k, of_text).withColumn(n, size).join(found, [k, n], "left").drop(k, n), spans
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             raw = (text or "").encode("utf-8")
             kept, runs = _kept(raw, spans)
             rows.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
@@ -364,34 +375,41 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def removal_report(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+def removal_report(documents: DataFrame, length: int = LENGTH, width: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``documents`` (doc_id, text).
 
     Null texts count as empty; rows that repeat stay, and their texts, being copies, go as far as
     they have ``length`` bytes.
     """
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_spans(slim, length).mapInArrow(tidy(_digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found, _ = with_spans(slim, length, width)
+    return found.mapInArrow(tidy(_digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = LENGTH, width: int | None = None) -> DataFrame:
     """``documents`` with the repeated bytes taken out of ``text``; a character that loses bytes goes.
 
-    All rows and columns stay; a null text stays null; where ``n_chars`` is a column it is counted anew.
+    All rows and columns stay; a null text stays null; texts that repeat as a whole and are long enough
+    become empty; where ``n_chars`` is a column it is counted anew.
     """
 
-    @F.pandas_udf("string")
-    def strip(text: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, s in zip(text, spans, strict=True):
-            out.append(t if t is None or s is None else _kept(t.encode("utf-8"), [{"start": x["start"], "stop": x["stop"]} for x in s])[0].decode("utf-8", "ignore"))
-        return pd.Series(out, dtype=object)
-
-    out = with_spans(documents, length).withColumn("text", strip(F.col("text").cast("string"), "__spans")).drop("__spans")
+    @F.arrow_udf("string")
+    def strip(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, spans in batches:
+            out = [pa.array([], pa.string())]
+            for at in range(0, len(texts), 512):
+                rows = zip(texts.slice(at, 512).to_pylist(), spans.slice(at, 512).to_pylist(), strict=True)
+                out.append(pa.array([t if t is None or s is None else _kept(t.encode("utf-8"), s)[0].decode("utf-8", "ignore") for t, s in rows], pa.string()))
+            yield pa.concat_arrays(out)
+        pa.default_memory_pool().release_unused()
+
+    found, spans = with_spans(documents, length, width)
+    out = found.withColumn("text", strip(F.col("text").cast("string"), F.col(spans))).drop(spans)
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return out.select(*documents.columns)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``removal_report`` over all of ``documents``."""
     return removal_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))

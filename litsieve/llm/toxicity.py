@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import park, tidy
+from litsieve.llm.common import fresh, park, tidy
 
 #: n-gram orders; hash buckets (a power of two); kept features; characters worked on at once.
 ORDERS, BUCKETS, FEATURES, BLOCK = (5, 6, 7, 8), 1 << 21, 1536, 1 << 18
-#: About so many labelled rows, drawn by a hash of their id, are learned from at most.
+#: About so many labelled rows, drawn by hashes of their id and text, are learned from at most.
 TRAIN_ROWS = 20_000
 #: Scores from here on predict toxicity.
 THRESHOLD = 0.3
@@ -154,17 +154,24 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, steps: int =
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learn from the rows of ``documents`` (doc_id, text) that ``labels`` (doc_id, toxic) covers.
 
-    About ``rows`` of them are used at most.  A doc_id labelled more than once counts as toxic if any
-    label says so; null labels and ids are left out.  With one class only (or none) the model gives the
-    share of toxic rows (0.5 without rows) to every text.
+    About ``rows`` of them are used at most, drawn by a hash of the id and, where ids repeat so that there are
+    still more, by one of id and text; rows equal in both count once.  A doc_id labelled more than once counts
+    as toxic if any label says so; null labels and ids are left out.  With one class only (or none) the model
+    gives the share of toxic rows (0.5 without rows) to every text.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     total = known.count()
     if total > rows:
         known = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
     # ``rows`` bounds what is broadcast; so the texts of all other documents stay where they are
-    learned = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic")
-    sampled = park(learned, "toxicity")
+    learned = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    if documents.select("doc_id").join(F.broadcast(known), "doc_id").count() > rows:  # ids repeat
+        key = F.xxhash64("doc_id", "text")
+        distinct = learned.select(key.alias("key")).distinct().count()
+        if distinct > rows:
+            learned = learned.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(rows / distinct * (1 << 30)))
+        learned = learned.dropDuplicates(["doc_id", "text"])
+    sampled = park(learned.select("text", "toxic"), "toxicity")
     learned = sampled.df
     classes = {r[0]: r[1] for r in learned.groupBy("toxic").count().collect()}
     n0, n1 = classes.get(False, 0), classes.get(True, 0)
@@ -196,7 +203,9 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mo
             found = _present(shared.value, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([f.astype(np.int16).tobytes() for f in found], pa.binary())], names=["toxic", "found"])
 
-    sample = learned.mapInArrow(tidy(held), "toxic boolean, found binary").collect()  # about ``rows`` short rows
+    if n0 + n1 > 1.2 * rows + 1000:
+        raise ValueError(f"{n0 + n1} rows drawn to learn from, {rows} wanted")
+    sample = learned.mapInArrow(tidy(held), "toxic boolean, found binary").collect()  # as many short rows
     sampled.drop()
     x, y = np.zeros((len(sample), len(best)), dtype=np.float32), np.zeros(len(sample), dtype=np.float32)
     scale = ratio[best].astype(np.float32)
@@ -236,7 +245,11 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; the model learns outside the held-out rows."""
+    """doc_id, held_out, score, predicted of every row; the model learns outside the held-out rows.
+
+    Null texts count as empty and are scored, too; rows that repeat stay, with one score; a null doc_id is not
+    held out.  An empty table gives an empty result; without usable labels every score is 0.5.
+    """
     model = train(documents, labels.where(~held_out(F.col("doc_id"))))
     return score(documents, model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
@@ -244,9 +257,16 @@ def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that are not predicted toxic, all columns kept; rows with a null doc_id are judged, too."""
-    shared_model = train(documents, labels.where(~held_out(F.col("doc_id"))))
-    shared = documents.sparkSession.sparkContext.broadcast(shared_model)
+    """The rows of ``documents`` that are not predicted toxic, all columns kept.
+
+    Rows with a null doc_id and null texts (as empty ones) are judged, too; rows that repeat go or stay together.
+    An empty table gives an empty result.  Where the labels do not tell two classes apart nothing is known, and
+    every row stays.
+    """
+    model = train(documents, labels.where(~held_out(F.col("doc_id"))))
+    if not len(model.weight):
+        return documents
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def rate(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -254,9 +274,11 @@ def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.array(_rates(shared.value, text), pa.float64())
         pa.default_memory_pool().release_unused()
 
-    marked = documents.withColumn("__score", rate(F.col("text").cast("string")))
-    return marked.where(F.col("__score") < THRESHOLD).drop("__score")
+    (name,) = fresh(documents, "score")
+    marked = documents.withColumn(name, rate(F.col("text").cast("string")))
+    return marked.where(F.col(name) < THRESHOLD).drop(name)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``judge`` over all of ``documents``, learned from ``labels.toxic``."""
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
