@@ -270,8 +270,8 @@ STAGE_SHINGLE, STAGE_SIMILARITY, MISS = 5, 0.8, 0.02
 SLICE_BITS, SLICE_RADIUS = 4, 1
 #: Slice values that a shard should index; deepest tree over slices; sampled fingerprints for each of its leaves.
 VALUE_ROWS, DEEPEST, LEAF_SAMPLE = 1 << 16, 12, 4
-#: Shingles that are worked on at once.
-SHINGLES = 1 << 19
+#: Smallest nodes of places that a node is held against before groups are; shingles that are worked on at once.
+NEAREST, SHINGLES = 3, 1 << 19
 #: Slack of the comparison in floating point; it never loses a pair.
 TINY = 1e-9
 
@@ -289,6 +289,12 @@ def slice_plan(rows: int, least: float = STAGE_SIMILARITY, miss: float = MISS) -
     return bits, int(np.ceil(np.log(miss) / np.log(1 - meet)))
 
 
+def most_apart(bits: int, least: float = STAGE_SIMILARITY) -> int:
+    """Bits in which fingerprints of ``bits`` bits may differ if sets reach ``least``: four deviations above the mean."""
+    differ = float(np.arccos(2 * least / (1 + least)) / np.pi)
+    return int(bits * differ + 4 * np.sqrt(bits * differ * (1 - differ)))
+
+
 def set_slices(hashes: np.ndarray, sizes: np.ndarray, bits: int, count: int) -> np.ndarray:
     """(sets, count) slices of the SimHash fingerprints of many sets, whose shingle hashes stand end to end.
 
@@ -415,12 +421,12 @@ def similar_groups(documents: DataFrame, least: float = STAGE_SIMILARITY) -> Dat
 
     Candidates are found by SimHash and vantage-point trees: of a fingerprint of many bits, pairs meet in a
     slice that differs in one bit at most, and trees over the slice values find these (see ``slice_plan`` for
-    the chance to miss a pair).  Candidates whose whole fingerprints differ in over a quarter of the bits are
-    dropped; all others are confirmed on the sets themselves, so no pair is linked by estimate.
+    the chance to miss a pair).  Candidates whose whole fingerprints differ in more bits than ``most_apart``
+    says are dropped; all others are confirmed on the sets themselves, so no pair is linked by estimate.
 
-    A slice value with the values one bit away is a place.  First every document is held against the smallest
-    node of the places where it stands, nearest first, round by round; then those that meet and are still in
-    different groups.  Pairs within a group, however large, are never listed.
+    A slice value with the values one bit away is a place.  First every document is held against the nearest
+    few of the smallest nodes of the places where it stands; then those that meet and are in different groups.
+    Pairs within a group, however large, are never listed.
 
     Null texts and texts without words have the empty set and are alike; equal sets are one node.  Rows that
     repeat stay; a null doc_id is never the smallest.  An empty table gives an empty result.
@@ -443,7 +449,7 @@ def similar_groups(documents: DataFrame, least: float = STAGE_SIMILARITY) -> Dat
 
     def close(found: DataFrame) -> DataFrame:
         side = lambda x: nodes.df.select(F.col("node").alias(x), F.col("slices").alias(f"of_{x}"))
-        return found.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(tidy(_close(bits * count // 4)), "a long, b long, apart int")
+        return found.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(tidy(_close(most_apart(bits * count, least))), "a long, b long, apart int")
 
     def confirmed(found: DataFrame) -> DataFrame:
         """The pairs whose sets are similar."""
@@ -457,32 +463,23 @@ def similar_groups(documents: DataFrame, least: float = STAGE_SIMILARITY) -> Dat
         held.drop()
         return out.df
 
-    def apart(found: DataFrame, roots: DataFrame) -> DataFrame:
-        for x in ("a", "b"):
-            found = found.join(roots.select(F.col("node").alias(x), F.col("component").alias(f"in_{x}")), x, "left")
-        return found.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).drop("in_a", "in_b")
-
     stars = park(close(met.df.where("a <> node").select("a", F.col("node").alias("b")).distinct()), "similar-stars")
-    edges, seen, roots, left = None, None, None, stars.df
-    while left.take(1):
-        tried = park(left.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"), "similar-tried")
-        new = confirmed(tried.df)
-        edges = new if edges is None else edges.unionByName(new)
-        seen = tried.df if seen is None else seen.unionByName(tried.df)
-        roots = components(edges)
-        left = park(apart(left.join(tried.df, ["a", "b"], "left_anti"), roots), "similar-left").df
-    if edges is not None:
-        grouped = met.df.select(*at, "node", "own").join(roots, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-        mixed = grouped.groupBy(*at).agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select(*at)
-        grouped = park(grouped.join(mixed, at), "similar-mixed")
-        other = grouped.df.select(*at, F.col("node").alias("y"), F.col("group").alias("gy"))
-        cross = grouped.df.where("own").join(other, at).where("group <> gy").select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")).distinct()
-        cross = park(close(cross.join(seen, ["a", "b"], "left_anti")).select("a", "b"), "similar-cross")
-        roots = components(edges.unionByName(confirmed(cross.df)))
-        grouped.drop()
+    nearest = F.slice(F.array_sort(F.collect_set(F.struct("apart", "a"))), 1, NEAREST)  # of as many as a node has places
+    tried = park(stars.df.groupBy("b").agg(nearest.alias("near")).select("b", F.explode("near.a").alias("a")), "similar-tried")
+    edges = confirmed(tried.df)
+    roots = components(edges)
+    grouped = met.df.select(*at, "node", "own").join(roots, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+    grouped = park(grouped, "similar-grouped")
+    met.drop()
+    mixed = grouped.df.groupBy(*at).agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select(*at)
+    mixed = park(grouped.df.join(mixed, at), "similar-mixed")
+    grouped.drop()
+    other = mixed.df.select(*at, F.col("node").alias("y"), F.col("group").alias("gy"))
+    cross = mixed.df.where("own").join(other, at).where("group <> gy").select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")).distinct()
+    cross = park(close(cross.join(tried.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")).select("a", "b"), "similar-cross")
+    mixed.drop()
+    roots = components(edges.unionByName(confirmed(cross.df)))
     least_of = prints.df.groupBy("node").agg(F.min("doc_id").alias("least"))
-    if roots is None:
-        return prints.df.select("doc_id", "node").join(least_of, "node").select("doc_id", F.col("least").alias("component_id"))
     named = least_of.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
     small = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.select("node", "root").join(small, "root").select("node", "component_id")
