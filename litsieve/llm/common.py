@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,12 +89,28 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting."""
+    held = np.sort(values)
+    new = np.ones(len(held), dtype=bool)
+    new[1:] = held[1:] != held[:-1]
+    return held[new]
+
+
+def hand_back() -> None:
+    """Give freed memory back to the system, as far as Arrow's pool and the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, for ``mapInArrow``, that hands unused Arrow memory back when its task ends: Python workers go on to other stages."""
+    """``run``, for ``mapInArrow``, that hands unused memory back when its task ends: Python workers go on to other stages."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        hand_back()
 
     return tidied
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsieve.llm.anchors import mix64
-from litsieve.llm.common import components, park, tidy
+from litsieve.llm.common import components, distinct, park, tidy
 
 #: Hash seed and words a shingle of the query's fingerprints, and its largest distance.
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -267,11 +267,12 @@ def simhash_groups(documents: DataFrame, width: int = SHINGLE, radius: int = RAD
 #: The stage: words a shingle, least Jaccard similarity, chance to miss a pair of just that similarity.
 STAGE_SHINGLE, STAGE_SIMILARITY, MISS = 5, 0.8, 0.02
 #: Bits of a slice beyond the logarithm of the documents; distance of slices that meet.
-SLICE_BITS, SLICE_RADIUS = 4, 1
+SLICE_BITS, SLICE_RADIUS = 6, 1
 #: Slice values that a shard should index; deepest tree over slices; sampled fingerprints for each of its leaves.
 VALUE_ROWS, DEEPEST, LEAF_SAMPLE = 1 << 16, 12, 4
-#: Smallest nodes of places that a node is held against before groups are; shingles that are worked on at once.
-NEAREST, SHINGLES = 3, 1 << 19
+#: Smallest nodes of places that a node is held against before groups are; 64-bit words of a fingerprint that are
+#: weighed where nodes meet; shingles that are worked on at once.
+NEAREST, WORDS, SHINGLES = 3, 9, 1 << 19
 #: Slack of the comparison in floating point; it never loses a pair.
 TINY = 1e-9
 
@@ -290,13 +291,15 @@ def slice_plan(rows: int, least: float = STAGE_SIMILARITY, miss: float = MISS) -
 
 
 def most_apart(bits: int, least: float = STAGE_SIMILARITY) -> int:
-    """Bits in which fingerprints of ``bits`` bits may differ if sets reach ``least``: four deviations above the mean."""
+    """Bits in which fingerprints of ``bits`` bits may differ if sets reach ``least``: the mean and 2.5 deviations,
+    beyond which stand 0.6 % of the pairs of just that similarity."""
     differ = float(np.arccos(2 * least / (1 + least)) / np.pi)
-    return int(bits * differ + 4 * np.sqrt(bits * differ * (1 - differ)))
+    return int(bits * differ + 2.5 * np.sqrt(bits * differ * (1 - differ)))
 
 
-def set_slices(hashes: np.ndarray, sizes: np.ndarray, bits: int, count: int) -> np.ndarray:
-    """(sets, count) slices of the SimHash fingerprints of many sets, whose shingle hashes stand end to end.
+def set_slices(hashes: np.ndarray, sizes: np.ndarray, bits: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sets, count) slices of the SimHash fingerprints of many sets, whose shingle hashes stand end to end, and the
+    fingerprints in words of 64 bits.
 
     A fingerprint of any width comes from hashing each shingle again; a bit is 1 if over half the hashes have it.
     """
@@ -310,7 +313,8 @@ def set_slices(hashes: np.ndarray, sizes: np.ndarray, bits: int, count: int) ->
             seen = np.bincount(owner + raw[:, i], minlength=len(sizes) * 256).reshape(-1, 256)
             out[:, 64 * word + 8 * i : 64 * word + 8 * i + 8] = seen @ pattern * 2 > sizes[:, None]
     weights = np.int64(1) << np.arange(bits, dtype=np.int64)
-    return out[:, : bits * count].reshape(len(sizes), count, bits).astype(np.int64) @ weights
+    whole = np.packbits(out, axis=1).view(np.int64)
+    return out[:, : bits * count].reshape(len(sizes), count, bits).astype(np.int64) @ weights, whole[:, : bits * count // 64]
 
 
 def _texts_in_parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -320,7 +324,7 @@ def _texts_in_parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, lis
         sets: list[np.ndarray] = []
         first, held = 0, 0
         for t in part.column("text").to_pylist():
-            sets.append(np.unique(shingle_hashes((t or "").encode("utf-8"), STAGE_SHINGLE)))
+            sets.append(distinct(shingle_hashes((t or "").encode("utf-8"), STAGE_SHINGLE)))
             held += len(sets[-1])
             if held >= SHINGLES:
                 yield part.slice(first, len(sets)), sets
@@ -338,11 +342,11 @@ def _sliced(bits: int, count: int):
         for batch in batches:
             for part, sets in _texts_in_parts(batch):
                 sizes = np.array([len(x) for x in sets], dtype=np.int64)
-                slices = set_slices(np.concatenate(sets), sizes, bits, count)
-                ends = np.arange(len(sets) + 1, dtype=np.int32) * count
+                rows = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()))
+                slices, words = set_slices(np.concatenate(sets), sizes, bits, count)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("k"), pa.array([_node(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(slices.ravel()))],
-                    names=["doc_id", "k", "node", "slices"],
+                    [part.column("doc_id"), part.column("k"), pa.array([_node(x) for x in sets], pa.int64()), rows(slices), rows(words)],
+                    names=["doc_id", "k", "node", "slices", "words"],
                 )
 
     return run
@@ -433,8 +437,8 @@ def similar_groups(documents: DataFrame, least: float = STAGE_SIMILARITY) -> Dat
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("k", F.xxhash64("text"))
     bits, count = slice_plan(documents.count(), least)
-    prints = park(texts.mapInArrow(tidy(_sliced(bits, count)), "doc_id long, k long, node long, slices array<long>"), "similar")
-    nodes = park(prints.df.groupBy("node").agg(F.min("k").alias("k"), F.first("slices").alias("slices")), "similar-nodes")
+    prints = park(texts.mapInArrow(tidy(_sliced(bits, count)), "doc_id long, k long, node long, slices array<long>, words array<long>"), "similar")
+    nodes = park(prints.df.groupBy("node").agg(F.min("k").alias("k"), F.first("slices").alias("slices"), F.first("words").alias("words")), "similar-nodes")
     placed = park(nodes.df.select("node", F.posexplode("slices").alias("table", "value")), "similar-placed")
     values = park(placed.df.select("table", "value").distinct(), "similar-values")
     pairs = park(_value_pairs(values.df, nodes.df, bits, count), "similar-pairs")
@@ -448,8 +452,8 @@ def similar_groups(documents: DataFrame, least: float = STAGE_SIMILARITY) -> Dat
     placed.drop()
 
     def close(found: DataFrame) -> DataFrame:
-        side = lambda x: nodes.df.select(F.col("node").alias(x), F.col("slices").alias(f"of_{x}"))
-        return found.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(tidy(_close(most_apart(bits * count, least))), "a long, b long, apart int")
+        side = lambda x: nodes.df.select(F.col("node").alias(x), F.col("words").alias(f"of_{x}"))
+        return found.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(tidy(_close(most_apart(bits * count // 64 * 64, least))), "a long, b long, apart int")
 
     def confirmed(found: DataFrame) -> DataFrame:
         """The pairs whose sets are similar."""
@@ -474,8 +478,15 @@ def similar_groups(documents: DataFrame, least: float = STAGE_SIMILARITY) -> Dat
     mixed = grouped.df.groupBy(*at).agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select(*at)
     mixed = park(grouped.df.join(mixed, at), "similar-mixed")
     grouped.drop()
-    other = mixed.df.select(*at, F.col("node").alias("y"), F.col("group").alias("gy"))
-    cross = mixed.df.where("own").join(other, at).where("group <> gy").select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")).distinct()
+    # pairs of different groups are weighed by part of their fingerprints where they meet, so few are ever made
+    part = range(bits * count // 64)[:WORDS]
+    words = nodes.df.select("node", *[F.element_at("words", i + 1).alias(f"w{i}") for i in part])
+    weighed = mixed.df.join(words, "node")
+    one, other = weighed.where("own").alias("x"), weighed.alias("y")
+    differ = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in part), F.lit(0))
+    meet = (F.col("x.group") != F.col("y.group")) & (~F.col("y.own") | (F.col("x.node") < F.col("y.node"))) & (differ <= most_apart(64 * len(part), least))
+    cross = one.join(other, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in at] + [meet])
+    cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     cross = park(close(cross.join(tried.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")).select("a", "b"), "similar-cross")
     mixed.drop()
     roots = components(edges.unionByName(confirmed(cross.df)))

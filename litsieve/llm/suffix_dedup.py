@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsieve.llm.anchors import RangeHash, window_anchors
-from litsieve.llm.common import fresh, park, tidy
+from litsieve.llm.common import fresh, hand_back, park, tidy
 
 #: Bytes of a repeated string; positions that a window's anchor is chosen from.
 LENGTH, WIDTH = 400, 256
@@ -401,7 +401,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, width: int | None
                 rows = zip(texts.slice(at, 512).to_pylist(), spans.slice(at, 512).to_pylist(), strict=True)
                 out.append(pa.array([t if t is None or s is None else _kept(t.encode("utf-8"), s)[0].decode("utf-8", "ignore") for t, s in rows], pa.string()))
             yield pa.concat_arrays(out)
-        pa.default_memory_pool().release_unused()
+        hand_back()
 
     found, spans = with_spans(documents, length, width)
     out = found.withColumn("text", strip(F.col("text").cast("string"), F.col(spans))).drop(spans)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import fresh, park, tidy
+from litsieve.llm.common import distinct, fresh, hand_back, park, tidy
 
 #: n-gram orders; hash buckets (a power of two); kept features; characters worked on at once.
 ORDERS, BUCKETS, FEATURES, BLOCK = (5, 6, 7, 8), 1 << 21, 1536, 1 << 18
@@ -81,7 +81,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic = np.array(batch.column("toxic").to_pylist(), dtype=np.int64)
         for codes, owner, left in _blocks(batch.column("text").to_pylist()):
             keys = [owner[: len(bucket)][fits] * np.int64(BUCKETS) + bucket[fits] for bucket, fits in _grams(codes, left)]
-            held = np.unique(np.concatenate(keys))
+            held = distinct(np.concatenate(keys))
             classes, bucket = toxic[held // BUCKETS], held % BUCKETS
             for label in (0, 1):
                 counts[label] += np.bincount(bucket[classes == label], minlength=BUCKETS).astype(np.int32)
@@ -111,12 +111,12 @@ def _present(place: np.ndarray, texts: list[str | None]) -> list[np.ndarray]:
             feature = place[bucket]
             hit = np.flatnonzero((feature >= 0) & fits)
             keys.append(owner[hit].astype(np.int64) * max(width, 1) + feature[hit])
-        found = np.unique(np.concatenate(keys))
+        found = distinct(np.concatenate(keys))
         who = found // max(width, 1)
         for i, part in zip(*_runs(who), strict=True):
             out[i].append(found[part] % max(width, 1))
     none = np.empty(0, dtype=np.int64)
-    return [none if not x else x[0] if len(x) == 1 else np.unique(np.concatenate(x)) for x in out]
+    return [none if not x else x[0] if len(x) == 1 else distinct(np.concatenate(x)) for x in out]
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[list, list]:
@@ -167,9 +167,9 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mo
     learned = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
     if documents.select("doc_id").join(F.broadcast(known), "doc_id").count() > rows:  # ids repeat
         key = F.xxhash64("doc_id", "text")
-        distinct = learned.select(key.alias("key")).distinct().count()
-        if distinct > rows:
-            learned = learned.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(rows / distinct * (1 << 30)))
+        found = learned.select(key.alias("key")).distinct().count()
+        if found > rows:
+            learned = learned.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(rows / found * (1 << 30)))
         learned = learned.dropDuplicates(["doc_id", "text"])
     sampled = park(learned.select("text", "toxic"), "toxicity")
     learned = sampled.df
@@ -272,7 +272,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     def rate(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in texts:
             yield pa.array(_rates(shared.value, text), pa.float64())
-        pa.default_memory_pool().release_unused()
+        hand_back()
 
     (name,) = fresh(documents, "score")
     marked = documents.withColumn(name, rate(F.col("text").cast("string")))

@@ -371,14 +371,16 @@ def test_slices_are_simhash():
     """Slices are those of plainly counted fingerprints, and sets at 0.8 differ in about 0.15 of the bits."""
     rng = np.random.default_rng(22)
     sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (0, 1, 2, 9, 500)]
-    got = simhash.set_slices(np.concatenate(sets), np.array([len(s) for s in sets]), 22, 28)
+    got, words_of = simhash.set_slices(np.concatenate(sets), np.array([len(s) for s in sets]), 22, 28)
+    assert words_of.shape == (5, 9) and not words_of[0].any()
     for s, row in zip(sets, got, strict=True):
         words_ = [anchors.mix64(s + np.uint64(w + 1) * simhash._STEP).view(np.uint8).reshape(-1, 8) for w in range(10)]
         bits = np.concatenate([np.unpackbits(w, axis=1) for w in words_], axis=1).sum(axis=0) * 2 > len(s)
         assert [int("".join(map(str, bits[22 * i : 22 * i + 22].astype(int))), 2) if len(s) else 0 for i in range(28)] == [int(f"{v:022b}"[::-1], 2) for v in row.tolist()]
     base = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
-    two = simhash.set_slices(np.concatenate([base[:1800], base[200:]]), np.array([1800, 1800]), 32, 64)
-    assert 0.12 < np.bitwise_count((two[0] ^ two[1]).astype(np.uint64)).sum() / 2048 < 0.18
+    two, whole = simhash.set_slices(np.concatenate([base[:1800], base[200:]]), np.array([1800, 1800]), 32, 64)
+    apart = np.bitwise_count((two[0] ^ two[1]).astype(np.uint64)).sum()
+    assert 0.12 < apart / 2048 < 0.18 and apart == np.bitwise_count((whole[0] ^ whole[1]).view(np.uint64)).sum()
 
 
 def test_value_pairs_by_trees(spark, monkeypatch):
