@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsieve.llm.anchors import RangeHash, window_anchors
+from litsieve.llm.chunks import slices
 from litsieve.llm.common import fresh, hand_back, park, tidy
 
 #: Bytes of a repeated string; positions that a window's anchor is chosen from.
@@ -37,7 +38,7 @@ LENGTH, WIDTH = 400, 256
 #: Different contexts of a core above which its windows are counted instead; contexts that one call sorts, about.
 HOT, SLOT_CONTEXTS = 4096, 4096
 #: Bytes worked on at once; bytes that the multikey quicksort looks at; groups it hands to plain sorting.
-BUFFER, SHALLOW, SMALL = 1 << 22, 32, 24
+BUFFER, SHALLOW, SMALL = 1 << 20, 32, 24
 
 
 # ---- deep-shallow sorting -------------------------------------------------------------------------
@@ -161,37 +162,26 @@ def deep_shallow(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 # ---- contexts -------------------------------------------------------------------------------------
 
 
-def _buffers(texts: list[bytes]) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
-    """(number of the first text, joined bytes, starts, sizes), about BUFFER bytes at a time."""
-    at = 0
-    while at < len(texts):
-        stop, size = at, 0
-        while stop < len(texts) and (size == 0 or size + len(texts[stop]) <= BUFFER):
-            size += len(texts[stop])
-            stop += 1
-        sizes = np.array([len(t) for t in texts[at:stop]], dtype=np.int64)
-        yield at, b"".join(texts[at:stop]), np.cumsum(sizes) - sizes, sizes
-        at = stop
-
-
 def _anchored(length: int, width: int):
     digest = xxhash.xxh3_128_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("k")
-            texts = [t.encode("utf-8") for t in batch.column("text").to_pylist()]
-            for first, joined, starts, sizes in _buffers(texts):
-                data = np.frombuffer(joined, dtype=np.uint8)
+            for first, texts in slices(batch.column("text"), BUFFER):
+                # the texts stand end to end in Arrow's buffer
+                bounds = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+                joined = memoryview(texts.buffers()[2])[bounds[0] : bounds[-1]]
+                data, starts, sizes = np.frombuffer(joined, dtype=np.uint8), bounds[:-1] - bounds[0], np.diff(bounds)
                 owner, lo, hi, anchor = window_anchors(data, starts, sizes, length, width)
                 if not len(owner):
                     continue
-                ranges = RangeHash(data)
+                core = RangeHash(data)(anchor, anchor + length - width + 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         keys.take(pa.array(first + owner)),
                         pa.array(sizes[owner].astype(np.int32)),
-                        pa.array(ranges(anchor, anchor + length - width + 1).view(np.int64)),
+                        pa.array(core.view(np.int64)),
                         pa.array([digest(joined[a:b]) for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)], pa.binary()),
                         pa.array((lo - starts[owner]).astype(np.int32)),
                         pa.array((hi - lo + 1).astype(np.int32)),
@@ -206,7 +196,7 @@ def _cut(length: int):
     """The bytes of each needed context; of hot ones a digest of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in (whole.slice(at, 512) for at in range(0, len(whole), 512))):
             out: list[list] = [[] for _ in range(8)]
             rows = zip(*(batch.column(c).to_pylist() for c in ("k", "n", "text", "need")), strict=True)
             for k, n, text, need in rows:
@@ -361,7 +351,7 @@ def with_spans(documents: DataFrame, length: int = LENGTH, width: int | None = N
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in (whole.slice(at, 512) for at in range(0, len(whole), 512))):
         rows: list[tuple] = []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             raw = (text or "").encode("utf-8")
