@@ -487,7 +487,7 @@ def similar_groups(documents: DataFrame, least: float = STAGE_SIMILARITY) -> Dat
     meet = (F.col("x.group") != F.col("y.group")) & (~F.col("y.own") | (F.col("x.node") < F.col("y.node"))) & (differ <= most_apart(64 * len(part), least))
     cross = one.join(other, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in at] + [meet])
     cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    cross = park(close(cross.join(tried.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")).select("a", "b"), "similar-cross")
+    cross = park(cross.join(tried.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "similar-cross")
     mixed.drop()
     roots = components(edges.unionByName(confirmed(cross.df)))
     least_of = prints.df.groupBy("node").agg(F.min("doc_id").alias("least"))
