@@ -33,23 +33,39 @@ def screened(results: DataFrame) -> DataFrame:
         F.count_if(split).alias("inconsistent"),
         F.count_if(flagged).alias("flagged_for_review"),
         F.count_if(F.col("total_samples") > 0).alias("screened"),
+        F.count_if(F.col("total_samples") == 0).alias("not_screened"),
+        F.count_if(F.col("needs_human_review") == "random audit of exclusions").alias("audited"),
     )
     return row.withColumn("leaning_exclude", F.col("inconsistent") - F.col("tentative"))
 
 
 def report(counts: dict, sources: list[tuple[str, int]], histogram: list[tuple[str, int]]) -> str:
-    """The text report; counts that are not known show as a question mark."""
-    get = lambda k: counts.get(k, "?")
-    lines = ["RECORD FLOW", "", f"Identified: {get('identified_total')}"]
-    lines += [f"  {name}: {n}" for name, n in sorted(sources)]
-    lines += [
-        f"Duplicates removed: {get('duplicates_removed')}",
-        f"Screened before: {get('prior_screened_removed')}",
-        f"Unique: {get('unique_after_dedup')}",
-        f"Screened: {get('screened')}",
-        f"Excluded: {get('excluded')}",
-        *(f"  {reason}: {n}" for reason, n in histogram),
-        f"Eligible: {get('eligible')}",
-        f"For review: {get('flagged_for_review')}",
+    """The text report, part by part; counts that are not known show as a question mark."""
+    earlier = [("Screened before", "prior_screened_removed"), ("  of records of earlier runs", "prior_screened_list")]
+    parts = [
+        ("Identification", [*((f"  {name}", n) for name, n in sorted(sources)), ("Identified", "identified_total")]),
+        ("Deduplication", [("Duplicates removed", "duplicates_removed"), ("Possible duplicates merged by people", "possible_duplicates_merged"), *(earlier if counts.get("prior_screened_removed") else [])]),
+        ("Review", [("Restored duplicates", "restored_from_dedup"), ("Restored from earlier runs", "restored_from_prior"), ("Abstracts typed in", "manual_abstracts")]),
+        ("Records", [("Unique", "unique_after_dedup"), ("Abstracts looked up", "abstracts_backfilled"), ("Without abstract", "missing_abstract")]),
+        ("Screening", [("Model", "model"), ("Samples a record", "samples"), ("Screened", "screened"), ("Not screened", "not_screened"), ("Eligible", "eligible"), ("Excluded", "excluded"), *((f"  {reason}", n) for reason, n in histogram)]),
+        ("For people", [("For review", "flagged_for_review"), ("  leaning to include", "tentative"), ("  leaning to exclude", "leaning_exclude"), ("  audited exclusions", "audited")]),
     ]
+    lines = ["RECORD FLOW"]
+    for heading, rows in parts:
+        lines += ["", heading.upper(), *(f"{name}: {counts.get(n, '?') if isinstance(n, str) else n}" for name, n in rows)]
+    lines += ["", "The share of audited exclusions that people overturn estimates how many exclusions are wrong."]
+    return "\n".join(lines) + "\n"
+
+
+def agreement_report(told: dict) -> str:
+    """Verdicts against labels in words."""
+    of = lambda a, b: f"{told[a]} of {told[a] + told[b]}"
+    lines = [
+        f"Labelled: {sum(told[k] for k in ('tp', 'fp', 'tn', 'fn', 'no_verdict'))}, without verdict: {told['no_verdict']}",
+        f"Recall: {told['recall']:.3f} ({of('tp', 'fn')})",
+        f"Specificity: {told['specificity']:.3f} ({of('tn', 'fp')})",
+        f"Wrongly excluded: {told['fn']} (false_excludes.csv), wrongly included: {told['fp']} (false_includes.csv)",
+    ]
+    if "kappa" in told:
+        lines.append(f"Two raters: {told['n']} records, agreement {told['agreement']:.3f}, kappa {told['kappa']:.3f}")
     return "\n".join(lines) + "\n"

@@ -5,18 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from litsieve.functions import text as T
+from litsieve.operators import screening
 from litsieve.operators.dedup import earliest
+from litsieve.schema import COLUMNS, from_cells
+
+#: Columns of a validated record (file order).
+RESULT = "record_id human_label eligible outcome reason_for_exclusion confidence agreement votes_include votes_exclude valid_samples total_samples needs_human_review rationale title".split()
 
 
 def usable_labels(rows: DataFrame, last: bool = False) -> DataFrame:
-    """record_id, human_label of ``rows`` (record_id, human_label, ord): T or F only, one per id, the first (or last)."""
-    label = F.upper(F.trim("human_label"))
-    good = rows.withColumn("human_label", label).where(F.col("human_label").isin("T", "F") & (F.coalesce("record_id", F.lit("")) != ""))
+    """record_id, human_label of ``rows`` (record_id, human_label, ord): T or F only, one per id, the first (or last).
+
+    Rows with a null or empty id or another label, null included, are left out.
+    """
+    good = _usable(rows)
     if last:
         good = good.withColumn("ord", -F.col("ord"))
     return earliest(good, ["record_id"], "ord").select("record_id", "human_label")
 
 
+def _usable(rows: DataFrame) -> DataFrame:
+    trimmed = {"record_id": F.trim("record_id"), "human_label": F.upper(F.trim("human_label"))}
+    return rows.withColumns(trimmed).where("human_label in ('T', 'F') and record_id <> ''")
+
+
+def labelled_records(rows: DataFrame) -> DataFrame:
+    """Records to screen, with ord and human_label, of hand-labelled ``rows``: the usable ones, the first of an id.
+
+    Columns other than record_id, human_label and ord may be missing.  A record without an abstract is one
+    with a title alone; it is screened like the others.
+    """
+    first = earliest(_usable(rows), ["record_id"], "ord")
+    records = from_cells(first.select(*(c for c in first.columns if c in ("ord", "record_id", "title", "abstract", "authors", "year", "doi"))))
+    text = lambda c: T.clean_text(F.col(c))
+    abstract = F.nullif(text("abstract"), F.lit(""))
+    year = T.clean_year(F.col("__year")) if "year" in first.columns else F.lit(None).cast("int")
+    cleaned = {"title": text("title"), "authors": text("authors"), "abstract": abstract, "source_db": F.lit("validate")}
+    raw = first.select("record_id", "human_label", *([F.col("year").alias("__year")] if "year" in first.columns else []))
+    records = records.join(raw, "record_id").withColumns(cleaned | {"year": year})
+    return records.withColumn("abstract_source", F.when(F.col("abstract").isNull(), "").otherwise("manual")).select("ord", "human_label", *COLUMNS)
+
+
+def validated(labelled: DataFrame, votes: DataFrame, policy: str = "review") -> DataFrame:
+    """``RESULT`` and ord: every labelled record (record_id, human_label, title, ord) beside its vote; without one, no verdict."""
+    rows = labelled.select("ord", "record_id", "human_label", "title").join(votes, "record_id", "left")
+    blank = {c: F.coalesce(c, F.lit("")) for c in ("eligible", "reason", "confidence", "rationale")} | {c: F.coalesce(c, F.lit(0)) for c in ("votes_include", "votes_exclude", "valid_samples", "total_samples")}
+    flag = F.coalesce(F.when(F.col("consistent").isNull(), "not answered").otherwise(screening.review_flag(policy)), F.lit(""))
+    rows = rows.withColumn("needs_human_review", flag).withColumns(blank).withColumn("agreement", F.coalesce("agreement", F.lit(0.0)))
+    return rows.withColumns({"outcome": outcome(F.col("human_label"), F.col("eligible")), "reason_for_exclusion": F.col("reason")}).select("ord", *RESULT)
+
+
 def outcome(human: F.Column, model: F.Column) -> F.Column:
     return (
         F.when(~F.coalesce(model, F.lit("")).isin("T", "F"), "no verdict")

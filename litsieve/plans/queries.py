@@ -387,14 +387,15 @@ SELECT (SELECT count(*) FROM records) AS identified_total, count(*) AS unique_af
 
 
 def cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screening.cost_estimate(_table(spark, sf_dir, "documents").select(F.col("text").alias("content")), 1761, 5, {"input": 3.0, "output": 15.0})
+    return screening.cost_estimate(_table(spark, sf_dir, "documents").select(F.col("text").alias("content")), 1761, 5, {"input": 3.0, "output": 15.0}, floor=1024)
 
 
 SQL["cost_estimate"] = """
 WITH c AS (SELECT count(*) AS records, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens FROM documents),
 d AS (SELECT records, records * 5 AS n, tokens * 5 + records * 75 AS u, CAST(ceil(records / 3000) AS BIGINT) * 5 AS w FROM c)
 SELECT records, n AS requests, u AS user_tokens, n * 80 AS output_tokens, round_even((u + n * 1761) * 3e-6 + n * 80 * 15e-6, 2) AS upper_usd,
-  round_even(u * 3e-6 + 1761 * 3e-6 * (w * 1.25 + (n - w) * 0.10) + n * 80 * 15e-6, 2) AS cached_usd FROM d"""
+  round_even(u * 3e-6 + 1761 * 3e-6 * (w * 1.25 + (n - w) * 0.10) + n * 80 * 15e-6, 2) AS cached_usd,
+  true AS caching, round_even((n - w) / n, 2) AS read_share, false AS borderline FROM d"""
 
 
 def decision_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:

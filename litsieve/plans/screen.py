@@ -23,7 +23,7 @@ POSSIBLE = ["decision", "similarity", "keep_id", "keep_title", "keep_year", "kee
 REMOVED = ["restore", *dedup.REMOVED, *COLUMNS]
 PRIOR = ["restore", *prior.CONTEXT, *COLUMNS]
 CACHE = "doi string, text string, source string, status string"
-STAGES = ("ingest", "dedup", "prior", "enrich", "clean", "apply", "screen", "validate", "archive")
+STAGES = ("ingest", "dedup", "prior", "enrich", "clean", "apply", "ask", "screen", "validate", "archive")
 
 
 class Screening:
@@ -34,7 +34,7 @@ class Screening:
         self.spark, self.ws, self.lookups = spark, workspace, lookups or []
 
     def _records(self, name: str) -> DataFrame:
-        return tables.read_records(self.spark, self.ws.path("work", name))
+        return self.spark.read.parquet(self.ws.path("work", name))
 
     def _count(self, **counts: int) -> dict:
         return tables.merge_ledger(self.ws.path("work", "pipeline_counts.json"), counts)
@@ -43,21 +43,21 @@ class Screening:
         return tables.read_csv(self.spark, self.ws.path("outputs", name))
 
     def ingest(self) -> None:
-        rows = exports.read_exports(self.spark, self.ws.path("inputs")).persist()
-        n = tables.write_records(rows, self.ws.path("work", "01_ingested.csv"))
-        self._count(identified_total=n, identified_per_source={r[0]: r[1] for r in summary.per_source(rows).collect()})
+        n = tables.write_records(exports.read_exports(self.spark, self.ws.path("inputs")), self.ws.path("work", "01_ingested"))
+        by_source = summary.per_source(self._records("01_ingested"))
+        self._count(identified_total=n, identified_per_source={r[0]: r[1] for r in by_source.collect()})
 
     def dedup(self) -> None:
-        unique, removed, possible = dedup.deduplicate(self._records("01_ingested.csv"), **self.ws.config["dedup"])
-        kept = tables.write_records(unique, self.ws.path("work", "02_deduplicated.csv"))
-        gone = tables.write_csv(removed.withColumn("restore", F.lit("")).orderBy("ord"), self.ws.path("outputs", "dedup_removed.csv"), REMOVED)
-        near = tables.write_csv(possible.orderBy("ord"), self.ws.path("outputs", "dedup_possible_duplicates.csv"), POSSIBLE)
+        unique, removed, possible = dedup.deduplicate(self._records("01_ingested"), **self.ws.config["dedup"])
+        kept = tables.write_records(unique, self.ws.path("work", "02_deduplicated"))
+        gone = tables.write_csv(removed.withColumn("restore", F.lit("")), self.ws.path("outputs", "dedup_removed.csv"), REMOVED)
+        near = tables.write_csv(possible, self.ws.path("outputs", "dedup_possible_duplicates.csv"), POSSIBLE)
         self._count(duplicates_removed=gone, unique_after_dedup=kept, dedup_possible_duplicates=near)
 
     def prior(self) -> None:
         settings = self.ws.config["prior"]
         paths = sorted({p for g in settings["patterns"] for p in glob.glob(self.ws.path("prior_screened", g)) if os.path.isfile(p)})
-        records = self._records("02_deduplicated.csv")
+        records = self._records("02_deduplicated")
         out = self.ws.path("outputs", "prior_screened_removed.csv")
         if not settings["enabled"] or not paths:
             tables.write_csv(records.where("false").withColumns({c: F.lit("") for c in PRIOR[:6]}), out, PRIOR)
@@ -68,100 +68,148 @@ class Screening:
             listed = listed.unionByName(part)
         keys = {k: self.ws.config["dedup"][k] for k in ("threshold", "years", "author")}
         left, removed = prior.remove_prior(records, listed, **keys)
-        left = left.persist()
-        gone = tables.write_csv(removed.withColumn("restore", F.lit("")).orderBy("ord"), out, PRIOR)
-        n = tables.write_records(left, self.ws.path("work", "02_deduplicated.csv"))
+        gone = tables.write_csv(removed.withColumn("restore", F.lit("")), out, PRIOR)
+        n = tables.write_records(left, self.ws.path("work", "02_deduplicated"))
         self._count(prior_screened_list=listed.count(), prior_screened_removed=gone, unique_after_dedup=n)
 
     def _enriched(self, records: DataFrame) -> None:
         path = self.ws.path("work", "abstract_cache")
         cache = self.spark.read.schema(CACHE).parquet(path) if os.path.isdir(path) else self.spark.createDataFrame([], CACHE)
         out, grown = enrich.backfill(records, cache, self.lookups)
-        out = out.persist()
-        tables.write_records(out, self.ws.path("work", "03_enriched.csv"))
-        missing = tables.write_csv(out.where("abstract is null").orderBy("ord"), self.ws.path("outputs", "missing_abstracts.csv"), COLUMNS)
-        grown.write.mode("overwrite").parquet(path + ".new")
-        self.spark.read.schema(CACHE).parquet(path + ".new").write.mode("overwrite").parquet(path)
+        tables.write_records(out, self.ws.path("work", "03_enriched"))
+        tables.write_table(grown, path)
+        out = self._records("03_enriched")
+        missing = tables.write_csv(out.where("abstract is null"), self.ws.path("outputs", "missing_abstracts.csv"), COLUMNS)
         filled = out.join(records.select("record_id", F.col("abstract").alias("old")), "record_id").where("abstract is not null and not abstract <=> old").count()
         self._count(abstracts_backfilled=filled, missing_abstract=missing)
 
     def enrich(self) -> None:
-        self._enriched(self._records("02_deduplicated.csv"))
+        self._enriched(self._records("02_deduplicated"))
 
     def clean(self) -> None:
         for stage in (self.ingest, self.dedup, self.prior, self.enrich):
             stage()
 
     def apply(self) -> None:
-        records = self._records("03_enriched.csv")
+        records = self._records("03_enriched")
         possible, removed = self._review("dedup_possible_duplicates.csv"), self._review("dedup_removed.csv")
         from_prior, typed = self._review("prior_screened_removed.csv"), self._review("missing_abstracts.csv")
         done, audit, counts = review.apply_decisions(records, possible.withColumn("similarity", F.col("similarity").try_cast("double")), _typed(removed), _typed(from_prior), typed)
         told = {k: v.first()[0] for k, v in counts.items()}
         if not sum(v for k, v in told.items() if k != "undecided"):
             return
-        more = removed.select("ord", *REMOVED).unionByName(audit.withColumn("ord", F.lit(1 << 40)).select("ord", *(F.col(c).cast("string") for c in REMOVED))).persist()
-        more.count()
-        done = done.withColumn("ord", F.struct("rank", "ord")).persist()
+        more = removed.select("ord", *REMOVED).unionByName(audit.withColumn("ord", F.lit(1 << 40)).select("ord", *(F.col(c).cast("string") for c in REMOVED)))
+        done = done.withColumn("ord", F.struct("rank", "ord"))
         place = order.positions(done.select("record_id", (F.col("ord.rank") * (1 << 40) + F.col("ord.ord")).alias("key")), "key", "ord")
-        done = done.drop("ord", "rank").join(place.select("record_id", "ord"), "record_id").persist()
-        n = tables.write_records(done, self.ws.path("work", "02_deduplicated.csv"))
-        tables.write_csv(more.orderBy("ord"), self.ws.path("outputs", "dedup_removed.csv"), REMOVED)
+        done = done.drop("ord", "rank").join(place.select("record_id", "ord"), "record_id")
+        n = tables.write_records(done, self.ws.path("work", "02_deduplicated"))
+        tables.write_csv(more, self.ws.path("outputs", "dedup_removed.csv"), REMOVED)
         self._count(unique_after_dedup=n, **told)
-        self._enriched(done.select("ord", *COLUMNS))
+        self._enriched(self._records("02_deduplicated"))
 
-    def requests(self) -> DataFrame:
-        """What to ask the model: one row per record and sample that has no response yet."""
+    def _asked(self, records: DataFrame, folder: str) -> DataFrame:
+        """What to ask of ``records`` that the responses in ``folder`` do not answer yet."""
         settings = self.ws.config["screening"]
-        records = self._records("03_enriched.csv")
-        if settings["missing_abstract"] != "screen":
-            records = records.where("abstract is not null")
         asked = screening.expand(records, settings["temperatures"], settings["samples"], settings["chunk"])
         content = T.user_content(F.col("authors"), F.col("year"), F.col("title"), F.col("abstract"))
         asked = asked.select("record_id", "sample_idx", "temperature", "chunk", content.alias("content"))
-        path = self.ws.path("work", "responses")
+        path = self.ws.path(folder, "responses")
         return screening.outstanding(asked, self.spark.read.parquet(path)) if os.path.isdir(path) else asked
 
+    def _askable(self) -> DataFrame:
+        records = self._records("03_enriched")
+        return records if self.ws.config["screening"]["missing_abstract"] == "screen" else records.where("abstract is not null")
+
+    def requests(self) -> DataFrame:
+        """What to ask the model: one row per record and sample that has no response yet."""
+        return self._asked(self._askable(), "work")
+
+    def labelled(self, labels: str | None = None) -> DataFrame:
+        return validation.labelled_records(tables.read_csv(self.spark, labels or self.ws.path("validate", "labels.csv")))
+
+    def validation_requests(self, labels: str | None = None) -> DataFrame:
+        """What to ask about the labelled records; their responses go to ``validate/responses``."""
+        return self._asked(self.labelled(labels).drop("human_label"), "validate")
+
+    def estimate(self, records: DataFrame | None = None) -> dict:
+        """What asking about ``records`` would cost (default: those that a screening asks about)."""
+        config = self.ws.config
+        s, cache = config["screening"], config["prompt_cache"]
+        rows = self._askable() if records is None else records
+        content = T.user_content(F.col("authors"), F.col("year"), F.col("title"), F.col("abstract")).alias("content")
+        prompt = max(1, len(system_prompt(*self.ws.criteria())) // 4)
+        return screening.cost_estimate(rows.select(content), prompt, s["samples"], config["rates"], s["chunk"], caching=cache["enabled"], floor=cache["floor"]).first().asDict()
+
     def fingerprint(self) -> str:
         """Changes with the model, the temperatures, the prompt or the records asked about."""
         s = self.ws.config["screening"]
-        ids = [r[0] for r in self._records("03_enriched.csv").orderBy("ord").select("record_id").toLocalIterator()]
-        parts = [self.ws.config["model"], repr(s["temperatures"][: s["samples"]]), system_prompt(*self.ws.criteria()), "\n".join(ids)]
+        hashes = (F.xxhash64("record_id"), F.xxhash64(F.lit("again"), "record_id"))
+        ids = self._records("03_enriched").agg(F.count("*"), *(F.bit_xor(h) for h in hashes), *(F.sum(h.cast("decimal(38,0)")) for h in hashes)).first()
+        parts = [self.ws.config["model"], repr(s["temperatures"][: s["samples"]]), system_prompt(*self.ws.criteria()), repr([str(v) for v in ids])]
         return hashlib.sha256("\0".join(parts).encode()).hexdigest()
 
-    def screen(self, archive: bool = True) -> None:
+    def _votes(self, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(samples, votes) of responses."""
+        s = self.ws.config["screening"]
+        samples = screening.parse_replies(raw.withColumn("said", F.col("raw")), self.ws.criteria()[1]).drop("raw").withColumnRenamed("said", "raw")
+        return samples, screening.vote(samples, s["agreement"], s["insufficient"], s["min_valid"])
+
+    def screen(self, archive: bool = True, dry_run: bool = False) -> dict | None:
+        """Votes, results and reports of the responses; a dry run only tells what asking would cost."""
+        if dry_run:
+            return self.estimate()
         config = self.ws.config
         s = config["screening"]
-        _, reasons = self.ws.criteria()
-        raw = self.spark.read.parquet(self.ws.path("work", "responses"))
-        samples = screening.parse_replies(raw.withColumn("said", F.col("raw")), reasons).drop("raw").withColumnRenamed("said", "raw")
-        votes = screening.vote(samples, s["agreement"], s["insufficient"], s["min_valid"])
-        results = screening.assemble(self._records("03_enriched.csv"), votes, s["insufficient"], (config["audit"]["size"], config["audit"]["seed"]), s["missing_abstract"]).persist()
+        samples, votes = self._votes(self.spark.read.parquet(self.ws.path("work", "responses")))
+        made = screening.assemble(self._records("03_enriched"), votes, s["insufficient"], (config["audit"]["size"], config["audit"]["seed"]), s["missing_abstract"])
+        tables.write_table(made, self.ws.path("work", "04_screening_results"))
+        results = self._records("04_screening_results")
         out = lambda name: self.ws.path("outputs", name)
-        for path in (self.ws.path("work", "04_screening_results.csv"), out("screening_results_full.csv")):
-            tables.write_csv(results.orderBy("ord"), path, screening.RESULT)
-        tables.write_csv(results.where("eligible = 'T' and needs_human_review = ''").orderBy("ord"), out("eligible_for_fulltext.csv"), screening.RESULT)
-        tables.write_csv(results.where("review_ord is not null").orderBy("review_ord"), out("needs_human_review.csv"), screening.RESULT)
+        tables.write_csv(results, out("screening_results_full.csv"), screening.RESULT)
+        tables.write_csv(results.where("eligible = 'T' and needs_human_review = ''"), out("eligible_for_fulltext.csv"), screening.RESULT)
+        tables.write_csv(results.where("review_ord is not null"), out("needs_human_review.csv"), screening.RESULT, "review_ord")
         tables.write_audit(samples, results, self.ws.path("work", "04_raw_samples"), config["model"])
         counts = self._count(**summary.screened(results).first().asDict())
         histogram = [(r.reason, r.n) for r in summary.reasons(results).orderBy(F.desc("n"), "first").collect()]
         with open(out("prisma_summary.txt"), "w", encoding="utf-8") as f:
-            f.write(summary.report(counts, list(counts.get("identified_per_source", {}).items()), histogram))
+            told = counts | {"model": config["model"], "samples": s["samples"]}
+            f.write(summary.report(told, list(counts.get("identified_per_source", {}).items()), histogram))
         if archive:
             self.ws.archive(counts)
 
-    def validate(self, labels: str | None = None, second: str | None = None) -> dict:
-        """Confusion counts of the verdicts against ``validate/labels.csv``, and kappa if a second rater's are given."""
-        told = validation.usable_labels(tables.read_csv(self.spark, labels or self.ws.path("validate", "labels.csv")))
-        results = tables.read_csv(self.spark, self.ws.path("work", "04_screening_results.csv"))
-        judged = told.join(results.select("record_id", "eligible", "title"), "record_id", "left")
-        rows = judged.withColumn("outcome", validation.outcome(F.col("human_label"), F.col("eligible")))
-        tables.write_csv(rows.orderBy("record_id"), self.ws.path("validate", "validate_results.csv"), ["record_id", "human_label", "eligible", "outcome", "title"])
-        out = validation.confusion(judged).first().asDict()
+    def validate(self, labels: str | None = None, second: str | None = None, dry_run: bool = False) -> dict:
+        """The labelled records' own verdicts against their labels, and kappa if a second rater's are given.
+
+        Responses are those of ``validate/responses``; where there are none, those of the screening.
+        """
+        labelled = self.labelled(labels)
+        if dry_run:
+            return self.estimate(labelled)
+        s = self.ws.config["screening"]
+        own = self.ws.path("validate", "responses")
+        raw = self.spark.read.parquet(own if os.path.isdir(own) else self.ws.path("work", "responses"))
+        samples, votes = self._votes(raw.join(labelled.select("record_id"), "record_id", "left_semi"))
+        path = self.ws.path("validate", "results")
+        tables.write_table(validation.validated(labelled, votes, s["insufficient"]), path)
+        rows = self.spark.read.parquet(path)
+        for name, kind in (("validate_results", None), ("false_excludes", "FALSE EXCLUDE"), ("false_includes", "FALSE INCLUDE")):
+            tables.write_csv(rows if kind is None else rows.where(F.col("outcome") == kind), self.ws.path("validate", f"{name}.csv"), validation.RESULT)
+        tables.write_audit(samples, rows, self.ws.path("validate", "validate_raw_samples"), self.ws.config["model"], ("human_label",))
+        out = validation.confusion(rows).first().asDict()
         if second:
-            out |= validation.kappa(told, validation.usable_labels(tables.read_csv(self.spark, second), last=True)).first().asDict()
+            mine = labelled.select("record_id", "human_label")
+            out |= validation.kappa(mine, validation.usable_labels(tables.read_csv(self.spark, second), last=True)).first().asDict()
+        with open(self.ws.path("validate", "summary.txt"), "w", encoding="utf-8") as f:
+            f.write(summary.agreement_report(out))
         return out
 
+    def ask(self) -> dict:
+        """Write the open requests as JSON lines to ``work/requests``; how many there are, and the fingerprint."""
+        path = self.ws.path("work", "requests")
+        self.requests().write.mode("overwrite").json(path)
+        asked = self.spark.read.schema("record_id string, sample_idx int").json(path).count()
+        return {"requests": asked, "fingerprint": self.fingerprint()}
+
     def archive(self) -> None:
         self.ws.archive(self._count())
 
@@ -179,6 +227,9 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("root")
     parser.add_argument("--search")
     parser.add_argument("--no-archive", action="store_true")
+    parser.add_argument("--dry-run", action="store_true", help="screen, validate: what asking would cost, no more")
+    parser.add_argument("--labels", help="validate: the labels, if not validate/labels.csv")
+    parser.add_argument("--labels2", help="validate: a second rater's labels")
     given = parser.parse_args(args)
     if given.stage == "all":
         parser.error("people look at the review files between clean and screen: run clean, edit, apply, screen")
@@ -193,7 +244,8 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     run = Screening(spark, Workspace(given.root, given.search))
     stage = "apply" if given.stage == "restore" else given.stage
-    print(getattr(run, stage)(**({"archive": False} if stage == "screen" and given.no_archive else {})) or "")
+    options = {"screen": {"archive": not given.no_archive, "dry_run": given.dry_run}, "validate": {"labels": given.labels, "second": given.labels2, "dry_run": given.dry_run}}
+    print(getattr(run, stage)(**options.get(stage, {})) or "")
 
 
 if __name__ == "__main__":

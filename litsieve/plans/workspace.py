@@ -14,6 +14,7 @@ DEFAULTS = {
     "screening": {"samples": 5, "temperatures": [0.0, 0.3, 0.5, 0.7, 1.0], "agreement": 1.0, "min_valid": None, "insufficient": "review", "missing_abstract": "review", "chunk": 3000},
     "audit": {"size": 50, "seed": 20260628},
     "rates": {"input": 0.0, "output": 0.0},
+    "prompt_cache": {"enabled": True, "floor": 1024},
     "model": "",
 }
 #: What an archived run holds.

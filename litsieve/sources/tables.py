@@ -1,61 +1,111 @@
-"""Work tables and the files that people edit: one CSV file each, one JSON ledger, JSON lines."""
+"""Work tables (Parquet), the files that people edit (one CSV file each), one JSON ledger, JSON lines."""
 
 from __future__ import annotations
 
+import codecs
 import csv
 import json
 import os
+import re
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from litsieve.schema import COLUMNS, from_cells
+from litsieve.schema import COLUMNS
 
+#: How CSV is quoted in both directions: every cell, quotes doubled.
+_QUOTING = {"quote": '"', "escape": '"'}
 
-def write_csv(df: DataFrame, path: str, columns: list[str]) -> int:
-    """One CSV file, written even if it has no rows, so that none of an earlier run is taken for it.
 
-    Rows come through the driver one partition at a time: these files are for people.
+def write_table(df: DataFrame, path: str) -> int:
+    """A Parquet table in place of an earlier one; the rows it has.
+
+    The new table is written in full beside the old one, which it may be read from, and takes its name then.
     """
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    n = 0
-    with open(f"{path}.part", "w", newline="", encoding="utf-8") as out:
-        writer = csv.writer(out)
-        writer.writerow(columns)
-        for row in df.select(*columns).toLocalIterator():
-            writer.writerow(["" if v is None else v for v in row])
-            n += 1
-    os.replace(f"{path}.part", path)
-    return n
+    fresh = tempfile.mkdtemp(prefix="new-", dir=_folder(path))
+    df.write.mode("overwrite").parquet(fresh)
+    if os.path.exists(path):
+        old = tempfile.mkdtemp(prefix="old-", dir=_folder(path))
+        os.replace(path, os.path.join(old, "table"))
+        os.replace(fresh, path)
+        shutil.rmtree(old)
+    else:
+        os.replace(fresh, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).count()
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns of a CSV file as strings (blank: empty) with ord; UTF-8, else Mac Roman."""
-    with open(path, "rb") as f:
-        raw = f.read()
-    try:
-        raw.decode("utf-8-sig")
-        encoding = "utf-8-sig"
-    except UnicodeDecodeError:
-        encoding = "mac_roman"
-    with open(path, newline="", encoding=encoding) as f:
-        rows = csv.reader(f)
-        head = next(rows, [])
-        body = [(i, *(r + [""] * len(head))[: len(head)]) for i, r in enumerate(rows)]
-    schema = ", ".join(["ord long", *(f"`{h}` string" for h in head)])
-    return spark.createDataFrame(body, schema)
+def write_records(df: DataFrame, path: str) -> int:
+    """Records and their ord as a table."""
+    return write_table(df.select("ord", *COLUMNS), path)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    return from_cells(read_csv(spark, path))
+def write_csv(df: DataFrame, path: str, columns: list[str], order: str = "ord") -> int:
+    """One CSV file of ``df`` in the order of ``order``, written even if it has no rows, so that none of an
+    earlier run is taken for it; the rows it has.
 
+    Spark sorts and writes the parts; they are joined as bytes, so no row passes through the driver.
+    """
+    parts = tempfile.mkdtemp(prefix="parts-", dir=_folder(path))
+    cells = df.orderBy(order).select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns)).persist()
+    n = cells.count()
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    cells.write.mode("overwrite").options(header=False, quoteAll=True, emptyValue="", **_QUOTING, **spaces).csv(parts)
+    cells.unpersist()
+    whole = os.path.join(parts, "whole")
+    with open(whole, "wb") as out:
+        out.write((",".join(columns) + "\n").encode())
+        for name in sorted(f for f in os.listdir(parts) if f.startswith("part-")):
+            with open(os.path.join(parts, name), "rb") as part:
+                shutil.copyfileobj(part, out)
+    os.replace(whole, path)
+    shutil.rmtree(parts)
+    return n
 
-def write_records(df: DataFrame, path: str) -> int:
-    return write_csv(df.orderBy("ord"), path, COLUMNS)
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All columns of a CSV file as strings (blank: empty) with ord, the place of the row; UTF-8, else Mac Roman.
+
+    A quoted cell may hold line ends, so one task reads the file, row after row.  Short rows are filled with
+    blanks, cells beyond the heading are left out.
+    """
+    path = _utf8(path)
+    with open(path, newline="", encoding="utf-8-sig") as f:
+        head = next(csv.reader(f), [])
+    if not head:
+        return spark.createDataFrame([], "ord long")
+    # of columns whose names differ only in case, or that are called ord, the first of each keeps its name
+    seen = ["ord", *(h.lower() for h in head)]
+    names = [f"{h}_{i}" if h.lower() in seen[: i + 1] else h for i, h in enumerate(head)]
+    schema = StructType([StructField(n, StringType()) for n in names])
+    pattern = re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+    rows = spark.read.schema(schema).options(header=True, multiLine=True, **_QUOTING).csv(pattern)
+    return rows.select(F.monotonically_increasing_id().alias("ord"), *(F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names))
+
+
+def _folder(path: str) -> str:
+    folder = os.path.dirname(path) or "."
+    os.makedirs(folder, exist_ok=True)
+    return folder
+
+
+def _utf8(path: str) -> str:
+    """The file if it is UTF-8, else a copy of it, taken for Mac Roman, in UTF-8 beside it."""
+    try:
+        with codecs.open(path, encoding="utf-8") as f:
+            while f.read(1 << 20):
+                pass
+        return path
+    except UnicodeDecodeError:
+        with open(path, encoding="mac_roman", newline="") as f, open(f"{path}.utf8", "w", encoding="utf-8", newline="") as out:
+            shutil.copyfileobj(f, out)
+        return f"{path}.utf8"
 
 
-def write_audit(samples: DataFrame, results: DataFrame, folder: str, model: str) -> None:
-    """JSON lines, one per record: its samples in order, the final verdict and the flag."""
+def write_audit(samples: DataFrame, results: DataFrame, folder: str, model: str, also: tuple[str, ...] = ()) -> None:
+    """JSON lines, one per record: its samples in order, the final verdict, the flag and the columns ``also`` names."""
     sample = F.struct("sample_idx", "temperature", "raw", "eligible", "reason", "rationale", "parse_error")
     said = samples.groupBy("record_id").agg(F.array_sort(F.collect_list(sample)).alias("samples"))
     lines = results.join(said, "record_id").select(
@@ -65,6 +115,7 @@ def write_audit(samples: DataFrame, results: DataFrame, folder: str, model: str)
             F.transform("samples", lambda s: s.dropFields("sample_idx")).alias("samples"),
             F.struct("eligible", F.col("reason_for_exclusion").alias("reason"), "confidence", "agreement").alias("final"),
             "needs_human_review",
+            *also,
         ).alias("line")
     )
     lines.select(F.to_json("line", {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(folder)

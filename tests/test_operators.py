@@ -1,3 +1,5 @@
+import csv
+import os
 import random
 
 import pytest
@@ -235,12 +237,28 @@ def test_components(spark):
 
 def test_files(spark, tmp_path):
     mine = records(spark, [{"title": 'a "quoted", one', "year": 2001, "abstract": "x\ny"}, {"doi": "10.1/é"}])
-    path = str(tmp_path / "work/01.csv")
-    tables.write_records(mine, path)
-    back = tables.read_records(spark, path)
-    assert [r.asDict() for r in back.orderBy("ord").collect()] == [r.asDict() for r in mine.orderBy("ord").collect()]
-    tables.write_records(mine.where("false"), path)
-    assert tables.read_records(spark, path).count() == 0
+    path = str(tmp_path / "work/01")
+    assert tables.write_records(mine, path) == 2
+    back = spark.read.parquet(path)
+    assert [r.asDict() for r in back.orderBy("ord").collect()] == [r.asDict() for r in mine.select(back.columns).orderBy("ord").collect()]
+    assert tables.write_records(back.where("year = 2001"), path) == 1  # over the table it is read from
+    assert tables.write_records(mine.where("false"), path) == 0
+    assert spark.read.parquet(path).count() == 0 and os.listdir(tmp_path / "work") == ["01"]
+
+    cells = ['a "q", \\ one', "x\ny", " pad ", "", None, "c\rd", "é", "'"]
+    odd = spark.createDataFrame([(9 - i, c, i) for i, c in enumerate(cells)], "ord long, a string, b int")
+    path = str(tmp_path / "out [1].csv")
+    assert tables.write_csv(odd, path, ["a", "b"]) == len(cells)
+    with open(path, newline="", encoding="utf-8") as f:
+        assert list(csv.reader(f)) == [["a", "b"], *([c or "", str(i)] for i, c in reversed(list(enumerate(cells))))]
+    back = tables.read_csv(spark, path).orderBy("ord").collect()
+    assert [r.a.replace("\r", "\n") for r in back] == [(c or "").replace("\r", "\n") for c in reversed(cells)]
+    assert [r.ord for r in back] == list(range(len(cells)))
+    assert tables.write_csv(odd.where("false"), path, ["a", "b"]) == 0 and tables.read_csv(spark, path).columns == ["ord", "a", "b"]
+    for name, raw in (("bom", b"\xef\xbb\xbfa,b\n1\n2,3,4\n"), ("mac", "a,b\n1,é\n".encode("mac_roman"))):
+        (tmp_path / name).write_bytes(raw)
+    assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "bom")).collect()] == [(0, "1", ""), (1, "2", "3")]
+    assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "mac")).collect()] == [(0, "1", "é")]
     ledger = str(tmp_path / "counts.json")
     tables.merge_ledger(ledger, {"a": 1})
     assert tables.merge_ledger(ledger, {"b": 2}) == {"a": 1, "b": 2}

@@ -28,11 +28,12 @@ def test_whole_run(spark, tmp_path):
     run = Screening(spark, ws, [("lookup", look)])
     run.clean()
     work, out = ws.path("work"), ws.path("outputs")
-    assert [r["record_id"] for r in rows(f"{work}/03_enriched.csv")] == ["wos-00000", "wos-00002", "wos-00004"]
+    enriched = lambda: [r.asDict() for r in spark.read.parquet(f"{work}/03_enriched").orderBy("ord").collect()]
+    assert [r["record_id"] for r in enriched()] == ["wos-00000", "wos-00002", "wos-00004"]
     assert {r["record_id"]: r["match_type"] for r in rows(f"{out}/dedup_removed.csv")} == {"wos-00001": "doi_exact", "wos-00003": "fuzzy_title"}
     assert [r["record_id"] for r in rows(f"{out}/prior_screened_removed.csv")] == ["wos-00005"]
-    assert rows(f"{work}/03_enriched.csv")[1]["abstract"] == "Late abstract."
-    assert rows(f"{work}/03_enriched.csv")[2]["abstract_source"] == "lookup"
+    assert enriched()[1]["abstract"] == "Late abstract."
+    assert enriched()[2]["abstract_source"] == "lookup"
     counts = json.load(open(f"{work}/pipeline_counts.json"))
     assert counts["identified_total"] - counts["duplicates_removed"] - counts["prior_screened_removed"] == counts["unique_after_dedup"] == 3
 
@@ -43,7 +44,7 @@ def test_whole_run(spark, tmp_path):
         writer.writeheader()
         writer.writerows(marked)
     run.apply()
-    restored = [r["record_id"] for r in rows(f"{work}/03_enriched.csv")]
+    restored = [r["record_id"] for r in enriched()]
     assert restored == ["wos-00000", "wos-00002", "wos-00004", marked[0]["record_id"]]
 
     asked = run.requests().collect()
@@ -65,6 +66,22 @@ def test_whole_run(spark, tmp_path):
     (tmp_path / "searches/one/validate/labels.csv").write_text("record_id,human_label\nwos-00000,T\nwos-00002,T\n")
     told = run.validate(second=ws.path("validate", "labels.csv"))
     assert (told["tp"], told["fn"], told["n"]) == (1, 1, 2)
+    assert [r["record_id"] for r in rows(ws.path("validate", "false_excludes.csv"))] == ["wos-00002"]
+
+    # labelled records of their own, one with a title alone, one that nobody answered
+    more = tmp_path / "labels.csv"
+    more.write_text("record_id,human_label,title,abstract\nx1,t,Alpha,\nx2,F,Beta,Some text\nx2,T,again,\nx3,?,none,\nx4,F,Gamma,y\n", encoding="utf-8")
+    asked = run.validation_requests(str(more))
+    assert {r.record_id for r in asked.collect()} == {"x1", "x2", "x4"}
+    answers = [("x1", i, 0.0, '{"eligible": "T"}') for i in range(5)] + [("x2", i, 0.0, '{"eligible": "T"}') for i in range(5)]
+    spark.createDataFrame(answers, "record_id string, sample_idx int, temperature double, raw string").write.parquet(ws.path("validate", "responses"))
+    told = run.validate(str(more))
+    assert (told["tp"], told["fp"], told["no_verdict"]) == (1, 1, 1)
+    full = rows(ws.path("validate", "validate_results.csv"))
+    assert [(r["record_id"], r["outcome"]) for r in full] == [("x1", "true include"), ("x2", "FALSE INCLUDE"), ("x4", "no verdict")]
+    assert len(full[0]) == 14 and "without verdict: 1" in open(ws.path("validate", "summary.txt")).read()
+    assert run.validate(str(more), dry_run=True)["records"] == 3 and run.screen(dry_run=True)["requests"] == 15
+    assert run.ask()["requests"] == 0
 
 
 def test_workspace(tmp_path, capsys):
