@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: a checkpoint where a shared folder is set, else a cached table."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
@@ -18,13 +18,13 @@ def components(edges: DataFrame) -> DataFrame:
     chains shrink by halves.
     """
     pairs = edges.where("a <> b").select("a", "b")
-    pairs = _cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _cut(pairs.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    pairs = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(pairs.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
     while True:
         around = pairs.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(around, "node").select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("further"))
-        new = _cut(lower.join(jump, "low").select("node", F.least("low", "further").alias("label"), (F.least("low", "further") < F.col("label")).alias("moved")))
+        new = cut(lower.join(jump, "low").select("node", F.least("low", "further").alias("label"), (F.least("low", "further") < F.col("label")).alias("moved")))
         if not new.where("moved").limit(1).count():
             return new.select("node", F.col("label").alias("component"))
         labels = new.select("node", "label")

