@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_embedding_neardup": embeddings.ORACLE,
     "op6_preference_formatting": preferences.ORACLE,
     "op9_url_filters": url_filters.ORACLE,
 }
