@@ -52,17 +52,16 @@ def remove_prior(records: DataFrame, prior: DataFrame, threshold: float = THRESH
     context = lambda kind, score: [F.lit(kind).alias("match_type"), *(F.col(f"p.{c}") for c in CONTEXT[1:4]), score.alias("similarity")]
     exact = records.join(by_doi, "doi").select("ord", *context("doi_exact", F.lit(100.0)), *COLUMNS)
     rest = records.join(exact.select("ord"), "ord", "left_anti")
-    left = rest.select(F.col("ord").alias("l_ord"), F.col("title").alias("l_title"), F.col("year").alias("l_year"), F.col("first_author").alias("l_author"))
-    titled = prior.where(T.normalize_title(F.col("prior_title")) != "")
-    right = titled.select(
-        F.col("ord").alias("r_ord"),
-        F.col("prior_title").alias("r_title"),
-        F.col("year").alias("r_year"),
-        F.col("first_author").alias("r_author"),
-        F.struct("prior_record_id", "prior_title", "prior_decision").alias("p"),
-    )
+    # titles of a year are compared once, however many records or prior rows have them; of the prior rows the first counts
+    key, y = S.sorted_tokens(T.normalize_title(F.col("title"))), F.coalesce("year", F.lit(-1))
+    asked = rest.select("ord", key.alias("key"), "year", y.alias("y"), F.col("first_author").alias("l_author"))
+    titled = prior.withColumn("title", F.col("prior_title")).select("ord", key.alias("key"), "year", y.alias("y"), F.struct("prior_record_id", "prior_title", "prior_decision").alias("p"), F.col("first_author").alias("r_author")).where("key <> ''")
+    first = titled.groupBy("key", "y").agg(F.min_by(F.struct("p", "r_author", "ord"), "ord").alias("r"), F.min("year").alias("year"))
+    left = asked.groupBy("key", "y").agg(F.min("year").alias("l_year")).withColumnsRenamed({"key": "l_title", "y": "l_y"}).withColumn("l_key", F.col("l_title"))
+    right = first.select("r", F.col("key").alias("r_title"), F.col("year").alias("r_year"))
     pairs = similar_pairs(left, right, threshold, years)
-    best = pairs.groupBy("l_ord", "l_author").agg(F.max_by(F.struct("p", "r_author", "score"), F.struct("score", -F.col("r_ord"))).alias("b"))
+    nearest = pairs.groupBy("l_key", "l_y").agg(F.max_by(F.struct("r", "score"), F.struct("score", -F.col("r.ord"))).alias("n"))
+    best = asked.join(nearest, (F.col("key") == F.col("l_key")) & (F.col("y") == F.col("l_y"))).select(F.col("ord").alias("l_ord"), "l_author", F.struct(F.col("n.r.p").alias("p"), F.col("n.r.r_author").alias("r_author"), F.col("n.score").alias("score")).alias("b"))
     a, b = F.coalesce("l_author", F.lit("")), F.coalesce("b.r_author", F.lit(""))
     same = (a == "") | (b == "") | S.at_least(S.lcs_native(a, b), a, b, author)
     hits = best.where(same).select(F.col("l_ord").alias("ord"), F.col("b.p").alias("p"), F.col("b.score").alias("score"))

@@ -206,12 +206,12 @@ FROM customer LEFT JOIN p ON c_custkey = o_custkey"""
 
 
 def prior_fuzzy_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names against the same names in the plural and in other order, as an earlier list."""
-    part = _table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("ord"))
+    """All parts' names against the same names in the plural and in other order, as an earlier list."""
+    part = _table(spark, sf_dir, "part").select("p_name", F.col("p_partkey").alias("ord"))
     none = {c: F.lit("") for c in COLUMNS} | {c: F.lit(None).cast("string") for c in ("abstract", "doi")} | {"year": F.lit(None).cast("int")}
-    records = part.select("ord", *((none | {"record_id": F.col("p_name"), "title": F.col("p_name")})[c].alias(c) for c in COLUMNS))
+    records = part.select("ord", *((none | {"record_id": F.concat(F.lit("part-"), F.col("ord").cast("string")), "title": F.col("p_name")})[c].alias(c) for c in COLUMNS))
     words = F.split("p_name", " ")
-    rows = part.select("ord", F.col("p_name").alias("record_id"), F.concat_ws(" ", F.concat(F.element_at(words, -1), F.lit("s")), F.element_at(words, 1)).alias("title"))
+    rows = part.select("ord", F.concat(F.lit("prior-"), F.col("ord").cast("string")).alias("record_id"), F.concat_ws(" ", F.concat(F.element_at(words, -1), F.lit("s")), F.element_at(words, 1)).alias("title"))
     remaining, removed = prior.remove_prior(records, prior.prior_list(rows))
     gone = removed.select("record_id", "match_type", "prior_record_id", "similarity")
     blank = lambda kind: F.lit(None).cast(kind)
@@ -220,13 +220,13 @@ def prior_fuzzy_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["prior_fuzzy_anti"] = f"""
 WITH p AS (SELECT p_name, min(p_partkey) AS ord FROM part GROUP BY 1),
-r AS (SELECT p_name, ord, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS a FROM p),
-l AS (SELECT p_name AS prior_id, ord AS prior_ord, array_to_string(list_sort([string_split(p_name, ' ')[-1] || 's', string_split(p_name, ' ')[1]]), ' ') AS b FROM p),
-scored AS (SELECT p_name, prior_id, prior_ord, 200.0 * {_lcs_sql('a', 'b')} / (length(a) + length(b)) AS score FROM r, l),
-best AS (SELECT p_name, arg_max(struct_pack(prior_id, score), struct_pack(score, o := -prior_ord)) AS m FROM scored WHERE score >= 90 GROUP BY 1)
-SELECT p.p_name AS record_id, CASE WHEN m IS NOT NULL THEN 'fuzzy_title' END AS match_type, m.prior_id AS prior_record_id,
+r AS (SELECT p_name, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS a FROM p),
+l AS (SELECT ord AS prior_ord, array_to_string(list_sort([string_split(p_name, ' ')[-1] || 's', string_split(p_name, ' ')[1]]), ' ') AS b FROM p),
+scored AS (SELECT p_name, prior_ord, 200.0 * {_lcs_sql('a', 'b')} / (length(a) + length(b)) AS score FROM r, l),
+best AS (SELECT p_name, arg_max(struct_pack(prior_ord, score), struct_pack(score, o := -prior_ord)) AS m FROM scored WHERE score >= 90 GROUP BY 1)
+SELECT 'part-' || p_partkey AS record_id, CASE WHEN m IS NOT NULL THEN 'fuzzy_title' END AS match_type, CASE WHEN m IS NOT NULL THEN 'prior-' || m.prior_ord END AS prior_record_id,
        round_even(CAST(m.score AS DOUBLE), 1) AS similarity
-FROM p LEFT JOIN best USING (p_name)"""
+FROM part LEFT JOIN best USING (p_name)"""
 
 
 def enrich_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
