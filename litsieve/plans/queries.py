@@ -431,12 +431,18 @@ SELECT records, n AS requests, u AS user_tokens, n * 80 AS output_tokens, round_
 
 
 def decision_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations side by side: the role that speaks in each of the first eight turns."""
-    turns = _table(spark, sf_dir, "conversations")
-    return turns.groupBy("conv_id").agg(*(F.min(F.when(F.col("turn") == t, F.col("role"))).alias(f"t{t}") for t in range(8)))
-
-
-SQL["decision_pivot"] = "SELECT conv_id, " + ", ".join(f"min(role) FILTER (turn = {t}) AS t{t}" for t in range(8)) + " FROM conversations GROUP BY 1"
+    """Conversations side by side: the role that speaks in each of the first eight turns, and the later turns as ``turn:role``."""
+    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
+    later = F.sort_array(F.collect_list(F.when(F.col("turn") > 7, F.struct("turn", "role"))))
+    told = F.array_join(F.transform(later, lambda x: F.concat_ws(":", x["turn"].cast("string"), x["role"])), ",")
+    return turns.groupBy("conv_id").agg(*(F.min(F.when(F.col("turn") == t, F.col("role"))).alias(f"t{t}") for t in range(8)), F.nullif(told, F.lit("")).alias("later"))
+
+
+SQL["decision_pivot"] = (
+    "WITH t AS (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY 1, 2) SELECT conv_id, "
+    + ", ".join(f"min(role) FILTER (turn = {t}) AS t{t}" for t in range(8))
+    + ", string_agg(concat_ws(':', turn, role), ',' ORDER BY turn) FILTER (turn > 7) AS later FROM t GROUP BY 1"
+)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
