@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litsieve.llm import embeddings, media, packing, pieces, preferences, sharding, simhash, suffix_dedup, toxicity, url_filters
+from litsieve.llm import clustering, embeddings, media, packing, pieces, preferences, sharding, simhash, suffix_dedup, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_label_propagation_sharding": sharding.op8_label_propagation_sharding,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_media_columns": media.op10_media_columns,
+    "op13_centroid_clustering": clustering.op13_centroid_clustering,
 }
 
 ORACLES: dict[str, str] = {
     "op4_embedding_neardup": embeddings.ORACLE,
     "op6_preference_formatting": preferences.ORACLE,
     "op9_url_filters": url_filters.ORACLE,
+    "op13_centroid_clustering": clustering.ORACLE,
 }
