@@ -5,10 +5,11 @@ Two empty strings count as equal (100).  Thresholds compare whole numbers, so no
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import BinaryType, IntegerType
 
 
 def sorted_tokens(title: Column) -> Column:
@@ -44,6 +45,37 @@ def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="int32")
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+#: The place of each byte's count; what is no small letter or digit counts as one kind.
+_PLACE = np.array([_LETTERS.find(chr(b)) if chr(b) in _LETTERS else len(_LETTERS) for b in range(256)])
+
+
+@F.pandas_udf(BinaryType())
+def letter_counts(text: pd.Series) -> pd.Series:
+    """How often each letter and digit is there, and all else, as 32-bit numbers; see ``lcs_reaching``."""
+    count = lambda t: np.bincount(_PLACE[np.frombuffer(t.encode("latin-1", "replace"), dtype=np.uint8)], minlength=len(_LETTERS) + 1)
+    return pd.Series([count(t).astype("<u4").tobytes() for t in text], dtype=object)
+
+
+def lcs_reaching(threshold: float):
+    """A function of two texts and their ``letter_counts``: LCS lengths, or 0 where the letters alone rule ``threshold`` out."""
+
+    @F.pandas_udf(IntegerType())
+    def reaching(a: pd.Series, b: pd.Series, in_a: pd.Series, in_b: pd.Series) -> pd.Series:
+        counts = [np.frombuffer(b"".join(x), dtype="<u4").reshape(-1, len(_LETTERS) + 1).astype(np.int64) for x in (in_a, in_b)]
+        may = 200 * np.minimum(*counts).sum(axis=1) >= threshold * (counts[0].sum(axis=1) + counts[1].sum(axis=1))
+        out = np.zeros(len(a), dtype=np.int32)
+        known: dict[tuple[str, str], int] = {}
+        for i in np.flatnonzero(may).tolist():
+            pair = a.iat[i], b.iat[i]
+            if pair not in known:
+                known[pair] = lcs_length(*pair)
+            out[i] = known[pair]
+        return pd.Series(out)
+
+    return reaching
+
+
 def lcs_native(a: Column, b: Column) -> Column:
     """The same by higher-order functions alone, for short strings or where Python is unwelcome."""
     start = F.array_repeat(F.lit(0), F.length(b) + 1)

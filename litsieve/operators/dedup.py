@@ -18,7 +18,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,6 +30,10 @@ from litsieve.schema import COLUMNS
 
 #: Scores that merge and that are reviewed, years apart, score of first authors.
 THRESHOLD, REVIEW, YEARS, AUTHOR = 90.0, 83.0, 1, 80.0
+#: Letters of the grams that titles are joined by; how many titles of like length are held against one in the time of a row looked up.
+GRAMS, LOOKED_UP = (1, 2, 3), 4
+#: Rows of a component that one task replays.
+STRETCH = 20_000
 
 REMOVED = ["match_type", "duplicate_of", "kept_title", "similarity"]
 
@@ -67,23 +71,85 @@ def year_pairs(left: DataFrame, right: DataFrame, years: int) -> DataFrame:
     return known.unionByName(wild).unionByName(other).drop("__block")
 
 
+def with_grams(titles: DataFrame, title: str, name: str) -> DataFrame:
+    """Add ``name``: the runs of one, two and three letters of a title, each as its number of letters, the letters and how
+    often they stand before in order, so that none is there twice.  An empty title has one of its own.
+    """
+    rest = F.when(F.length(title) == 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    sorted_ = lambda q: F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(F.length(title) - q + 1, F.lit(1))), lambda i: F.substr(F.col(title), i, F.lit(q))))
+    # sorted once, in a column of its own: the lambda below looks places up in it
+    runs = titles.withColumns({f"__runs{q}": F.when(F.length(title) >= q, sorted_(q)).otherwise(F.array().cast("array<string>")) for q in GRAMS})
+    named = lambda q: lambda g, i: F.concat(F.lit(f"{q}"), g, (i + 1 - F.array_position(F.col(f"__runs{q}"), g)).cast("string"))
+    told = [F.transform(f"__runs{q}", named(q)) for q in GRAMS]
+    return runs.withColumn(name, F.concat(rest, *told)).drop(*(f"__runs{q}" for q in GRAMS))
+
+
+def probes_needed(length: Column, q: int, threshold: float) -> Column:
+    """How many of a title's grams have to be looked up so that no title at ``threshold`` is missed; null where grams do not tell.
+
+    With a subsequence of L letters, ``length`` - L letters of this title and r - L of one of r letters stand outside
+    it.  A letter outside takes ``q`` grams of its own title and parts ``q`` - 1 of the other's, so the rest is shared.
+    That is linear in r, and least where r is as short or as long as the threshold lets it be.
+    """
+    least = threshold / (200.0 - threshold)
+
+    def shared(r: Column) -> Column:
+        common = threshold * (length + r) / 200.0
+        return length - q + 1 - q * (length - common) - (q - 1) * (r - common)
+
+    worst = F.ceil(F.least(shared(length * least), shared(length / least)) - 1e-9)
+    return F.when(worst >= 1, length - q + 1 - worst + 1)
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, years: int) -> DataFrame:
-    """Pairs of ``left`` (l_ord, l_title, l_year) and ``right`` (r_ord, r_title, r_year) whose token-sorted
-    normalised titles reach ``threshold``, with ``common`` (LCS) and ``score``.
+    """l_id, r_id, common (LCS) and score of the pairs of ``left`` (l_id, l_title, l_year) and ``right`` (r_id, r_title,
+    r_year) of fitting years whose titles, normalised and with their words in order, reach ``threshold``.  Ids are distinct.
 
-    Titles are joined by their year and by a band of their length; letters rule out most pairs before
-    the subsequence is computed.
+    A left title looks up its rarest grams, as many as make sure that no similar title is missed, among the grams of
+    all right titles: of one, two or three letters, whichever bring the fewest rows.  Where even those would bring more
+    than a part of the titles of like length (short titles, low thresholds), it is held against these instead; a band of
+    lengths is one third longer than the one before at most.  Letters rule out most pairs before the subsequence is computed.
     """
     step = threshold / (200.0 - threshold)  # the shorter length over the longer one, at least
-    band = lambda c: F.floor(F.log(F.length(c) + 1.0) / -float(math.log(step))).cast("int")
-    titled = lambda df, t: df.withColumn(t, S.sorted_tokens(T.normalize_title(F.col(t))))
-    left, right = titled(left, "l_title"), titled(right, "r_title")
-    left = left.withColumn("__block", F.explode(F.array(*(band("l_title") + i for i in (-1, 0, 1)))))
-    right = right.withColumn("__block", band("r_title"))
-    pairs = year_pairs(left, right, years)
-    pairs = pairs.where(S.may_reach(F.col("l_title"), F.col("r_title"), threshold)).withColumn("common", S.lcs("l_title", "r_title"))
+    band = lambda size: F.floor(F.log(F.col(size) + 1.0) / -float(math.log(step))).cast("int")
+    sized = lambda df, p: df.select(f"{p}_id", f"{p}_year", S.sorted_tokens(T.normalize_title(F.col(f"{p}_title"))).alias(f"{p}_title")).withColumns({f"{p}_size": F.length(f"{p}_title"), f"{p}_letters": S.letter_counts(f"{p}_title")})
+    left, right = _cut(sized(left, "l")), _cut(sized(right, "r"))
+    bands = left.withColumn("__block", F.explode(F.array(*(band("l_size") + i for i in (-1, 0, 1)))))
+    like = bands.join(right.groupBy(band("r_size").alias("__block")).agg(F.count("*").alias("rows")), "__block").groupBy("l_id").agg(F.sum("rows").alias("like"))
+    chosen = left.join(rarest(left, right, threshold), "l_id", "left").join(like, "l_id", "left").withColumn("looks", F.coalesce(F.col("c.cost") * LOOKED_UP < F.coalesce("like", F.lit(0)), F.lit(False)))
+    chosen = _cut(chosen)
+    # rows that are looked up
+    index = with_grams(right, "r_title", "__grams").select("r_id", "r_year", "r_size", F.explode("__grams").alias("__block"))
+    probes = chosen.where("looks").select("l_id", "l_year", "l_size", F.explode("c.held.gram").alias("__block"))
+    fits = F.least("l_size", "r_size") * 200 >= threshold * (F.col("l_size") + F.col("r_size"))
+    met = year_pairs(probes, index, years).where(fits).select("l_id", "r_id").distinct()
+    looked = met.join(left.select("l_id", "l_title", "l_letters"), "l_id").join(right.select("r_id", "r_title", "r_letters"), "r_id")
+    # rows of like length
+    scanned = bands.join(chosen.where("not looks").select("l_id"), "l_id", "left_semi")
+    near = year_pairs(scanned, right.withColumn("__block", band("r_size")), years).where(fits)
+    pairs = looked.unionByName(near.select(looked.columns))
+    pairs = pairs.withColumn("common", S.lcs_reaching(threshold)("l_title", "r_title", "l_letters", "r_letters"))
     pairs = pairs.where(S.at_least(F.col("common"), F.col("l_title"), F.col("r_title"), threshold))
-    return pairs.withColumn("score", S.ratio(F.col("common"), F.col("l_title"), F.col("r_title")))
+    return pairs.select("l_id", "r_id", "common", S.ratio(F.col("common"), F.col("l_title"), F.col("r_title")).alias("score"))
+
+
+def rarest(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """l_id and c (cost, held): the grams that a left title has to look up, and how many rows of ``right`` they bring.
+
+    Any choice of so many grams will do, so the rarest are taken; those that no right title has bring nothing and go.
+    """
+    of = with_grams(right, "r_title", "__grams").select(F.explode("__grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("rows"))
+    asked = with_grams(left, "l_title", "__grams").select("l_id", "l_size", F.explode("__grams").alias("gram")).join(of, "gram", "left")
+    kind = F.coalesce(F.substr("gram", F.lit(1), F.lit(1)).try_cast("int"), F.lit(0))  # an empty title's is of none
+    held = F.sort_array(F.collect_list(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "gram")))
+    counted = asked.groupBy("l_id", "l_size", kind.alias("q")).agg(held.alias("held"))
+    needed = F.when(F.col("q") == 0, F.lit(1))
+    for q in GRAMS:
+        needed = needed.when(F.col("q") == q, probes_needed(F.col("l_size"), q, threshold).cast("int"))
+    counted = counted.withColumn("held", F.slice("held", F.lit(1), needed)).where("held is not null")
+    counted = counted.withColumn("cost", F.aggregate("held", F.lit(0).cast("long"), lambda all_, x: all_ + x["rows"]))
+    counted = counted.withColumn("held", F.filter("held", lambda x: x["rows"] > 0))
+    return counted.groupBy("l_id").agg(F.min_by(F.struct("cost", "held"), F.struct("cost", "q")).alias("c"))
 
 
 class _Kept:
@@ -166,9 +232,11 @@ def deduplicate(records: DataFrame, threshold: float = THRESHOLD, review: float
     # titles of a year that are alike up to the order of words are one class, named by its first record
     classes = slim.groupBy("key", "y").agg(F.min("place").alias("first"), F.max(F.when(~F.col("has_doi"), F.col("place"))).alias("last"), F.min("year").alias("year"))
     classes = _cut(classes.withColumn("cls", F.col("first.ord")))
-    side = lambda p: [F.col(c).alias(f"{p}_{d}") for c, d in (("cls", "cls"), ("key", "title"), ("year", "year"), ("first", "first"), ("last", "last"))]
-    pairs = similar_pairs(classes.where("last is not null").select(side("l")), classes.select(side("r")), min(threshold, review), years)
-    pairs = _cut(pairs.where("l_cls <> r_cls and r_first < l_last").select("l_cls", "r_cls", "score"))
+    side = lambda p: [F.col(c).alias(f"{p}_{d}") for c, d in (("cls", "id"), ("key", "title"), ("year", "year"))]
+    pairs = similar_pairs(classes.where("last is not null").select(side("l")), classes.select(side("r")), min(threshold, review), years).where("l_id <> r_id")
+    ends = lambda c, p: classes.select(F.col("cls").alias(f"{p}_id"), c)
+    pairs = pairs.join(ends("last", "l"), "l_id").join(ends("first", "r"), "r_id").where("first < last")
+    pairs = _cut(pairs.select(F.col("l_id").alias("l_cls"), F.col("r_id").alias("r_cls"), "score"))
     groups = components(pairs.select(F.col("l_cls").alias("a"), F.col("r_cls").alias("b")))
     similar = pairs.groupBy(F.col("l_cls").alias("cls")).agg(F.collect_list(F.struct(F.col("r_cls").alias("cls"), "score")).alias("similar"))
     named = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").where("component is not null or first < last").join(similar, "cls", "left")

@@ -57,11 +57,14 @@ def remove_prior(records: DataFrame, prior: DataFrame, threshold: float = THRESH
     asked = rest.select("ord", key.alias("key"), "year", y.alias("y"), F.col("first_author").alias("l_author"))
     titled = prior.withColumn("title", F.col("prior_title")).select("ord", key.alias("key"), "year", y.alias("y"), F.struct("prior_record_id", "prior_title", "prior_decision").alias("p"), F.col("first_author").alias("r_author")).where("key <> ''")
     first = titled.groupBy("key", "y").agg(F.min_by(F.struct("p", "r_author", "ord"), "ord").alias("r"), F.min("year").alias("year"))
-    left = asked.groupBy("key", "y").agg(F.min("year").alias("l_year")).withColumnsRenamed({"key": "l_title", "y": "l_y"}).withColumn("l_key", F.col("l_title"))
-    right = first.select("r", F.col("key").alias("r_title"), F.col("year").alias("r_year"))
+    # a title of a year goes by the first record that has it, on both sides
+    titles = asked.groupBy("key", "y").agg(F.min("year").alias("year"), F.min("ord").alias("id"))
+    left = titles.select(F.col("id").alias("l_id"), F.col("key").alias("l_title"), F.col("year").alias("l_year"))
+    right = first.select(F.col("r.ord").alias("r_id"), F.col("key").alias("r_title"), F.col("year").alias("r_year"))
     pairs = similar_pairs(left, right, threshold, years)
-    nearest = pairs.groupBy("l_key", "l_y").agg(F.max_by(F.struct("r", "score"), F.struct("score", -F.col("r.ord"))).alias("n"))
-    best = asked.join(nearest, (F.col("key") == F.col("l_key")) & (F.col("y") == F.col("l_y"))).select(F.col("ord").alias("l_ord"), "l_author", F.struct(F.col("n.r.p").alias("p"), F.col("n.r.r_author").alias("r_author"), F.col("n.score").alias("score")).alias("b"))
+    nearest = pairs.groupBy("l_id").agg(F.max_by(F.struct("r_id", "score"), F.struct("score", -F.col("r_id"))).alias("n"))
+    named = nearest.join(titles, F.col("l_id") == F.col("id")).join(first.select("r", F.col("r.ord").alias("r_ord")), F.col("n.r_id") == F.col("r_ord"))
+    best = asked.join(named.select("key", "y", F.struct("r", "n.score").alias("n")), ["key", "y"]).select(F.col("ord").alias("l_ord"), "l_author", F.struct(F.col("n.r.p").alias("p"), F.col("n.r.r_author").alias("r_author"), F.col("n.score").alias("score")).alias("b"))
     a, b = F.coalesce("l_author", F.lit("")), F.coalesce("b.r_author", F.lit(""))
     same = (a == "") | (b == "") | S.at_least(S.lcs_native(a, b), a, b, author)
     hits = best.where(same).select(F.col("l_ord").alias("ord"), F.col("b.p").alias("p"), F.col("b.score").alias("score"))
