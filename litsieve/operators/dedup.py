@@ -13,6 +13,7 @@ rows pass sorted through one task, which holds the kept ones and the scores of t
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 from collections.abc import Iterator
@@ -216,15 +217,91 @@ def replay(threshold: float, review: float, years: int, author: float):
     return run
 
 
-def deduplicate(records: DataFrame, threshold: float = THRESHOLD, review: float = REVIEW, years: int = YEARS, author: float = AUTHOR) -> tuple[DataFrame, DataFrame, DataFrame]:
+def behind(late: Column, ord: Column) -> Column:
+    """One number for the order of records: those with a DOI by their ord, the others behind all of them."""
+    far = F.lit(str(1 << 64)).cast("decimal(20,0)")
+    return (ord.cast("decimal(20,0)") + F.when(late, far).otherwise(0)).cast("decimal(38,0)")
+
+
+def settle(rows: DataFrame, pairs: DataFrame, threshold: float, review: float, years: int, author: float) -> DataFrame:
+    """The sequential rule by rounds of joins, for chains too long for one task: what ``replay`` tells, but for keep_source.
+
+    ``rows`` are ord, pos (the order, decimal), cls, year, first_author, has_doi; ``pairs`` l_cls, r_cls, score, similar classes
+    in each direction that may matter.  A row is settled once no open row before it can change what becomes of it:
+    none that would be a better or earlier match if it were kept, and none that could give the best match a year.
+    So all later rows of a title are settled in the round after its first one, and the earliest open row always is.
+    """
+    same = pairs.select("l_cls").union(pairs.select("r_cls")).union(rows.select("cls")).distinct().select(F.col("l_cls"), F.col("l_cls").alias("r_cls"), F.lit(100.0).alias("score"))
+    edges = _cut(pairs.unionByName(same))
+    none = lambda kind: F.lit(None).cast(kind)
+    kept = rows.where("has_doi").select("ord", "pos", "cls", "first_author", "year", none("decimal(38,0)").alias("dated"))
+    open_ = _cut(rows.where("not has_doi").select("ord", "pos", "cls", "first_author", "year"))
+    fits = lambda a, b: a.isNull() | b.isNull() | (F.abs(a - b) <= years)
+    told = []
+    while open_.limit(1).count():
+        # of the kept rows of a class and year only the earliest can be a best match; the year may be one gained at ``dated``
+        first = kept.groupBy(F.col("cls").alias("r_cls"), "year").agg(F.min("pos").alias("pos"), F.min_by(F.struct("ord", "first_author", "dated"), "pos").alias("k"))
+        waiting = open_.groupBy("cls").agg(F.min("pos").alias("pos"), F.min("year").alias("year"))
+        # the earliest open row that could give a kept row of a class its year
+        dates = edges.where(F.col("score") >= threshold).join(waiting.where("year is not null").withColumnRenamed("cls", "l_cls"), "l_cls").groupBy("r_cls").agg(F.min("pos").alias("soon"))
+        near = edges.join(waiting.select(F.col("cls").alias("l_cls")), "l_cls", "left_semi")
+        offers = near.join(first, "r_cls").join(dates, "r_cls", "left").groupBy("l_cls").agg(F.collect_list(F.struct("score", (-F.col("pos")).alias("late"), "year", "k", "soon")).alias("offers"))
+        rivals = near.join(waiting.withColumnRenamed("cls", "r_cls"), "r_cls").groupBy("l_cls").agg(F.collect_list(F.struct("score", "pos", "year")).alias("rivals"))
+        seen = open_.join(offers, open_["cls"] == offers["l_cls"], "left").drop("l_cls").join(rivals, F.col("cls") == rivals["l_cls"], "left").drop("l_cls")
+        able = F.filter("offers", lambda o: fits(o["year"], F.col("year")) & (-o["late"] < F.col("pos")))
+        seen = seen.withColumn("best", F.array_max(able))
+        b = F.col("best")
+        ahead = lambda v: b.isNull() | (v["score"] > b["score"]) | ((v["score"] == b["score"]) & (v["pos"] < -b["late"]))
+        blocked = F.exists("rivals", lambda v: (v["pos"] < F.col("pos")) & fits(v["year"], F.col("year")) & ahead(v))
+        moving = b["year"].isNull() & F.col("year").isNotNull() & (b["soon"] < F.col("pos"))
+        mine, theirs = F.coalesce("first_author", F.lit("")), F.coalesce(b["k"]["first_author"], F.lit(""))
+        alike = (mine == "") | (theirs == "") | S.at_least(S.lcs_native(mine, theirs), mine, theirs, author)
+        verdict = F.when(b.isNull(), "kept").when((b["score"] >= threshold) & alike, "removed").when((b["score"] >= review) & (b["score"] < threshold), "possible").otherwise("kept")
+        # the year that the match had when this row came by
+        then = F.when(b["k"]["dated"].isNull() | (b["k"]["dated"] < F.col("pos")), b["year"])
+        seen = seen.select(
+            "ord", "pos", "cls", "first_author", "year",
+            (~F.coalesce(blocked, F.lit(False)) & ~F.coalesce(moving, F.lit(False))).alias("settled"),
+            verdict.alias("verdict"), b["k"]["ord"].alias("kept_ord"), b["score"].alias("score"), then.alias("keep_year"), b["year"].alias("now"),
+        )
+        seen = _cut(seen)
+        done = seen.where("settled")
+        told.append(done.where("verdict <> 'kept'").select("ord", "pos", "verdict", "kept_ord", "score", "keep_year"))
+        gained = done.where("verdict = 'removed' and now is null and year is not null").select(F.col("kept_ord").alias("ord"), F.col("year").alias("gained"), F.col("pos").alias("at"))
+        kept = kept.join(gained, "ord", "left").select("ord", "pos", "cls", "first_author", F.coalesce("year", "gained").alias("year"), F.coalesce("dated", "at").alias("dated"))
+        kept = _cut(kept.unionByName(done.where("verdict <> 'removed'").select("ord", "pos", "cls", "first_author", "year", none("decimal(38,0)").alias("dated"))))
+        open_ = seen.where("not settled").select("ord", "pos", "cls", "first_author", "year")
+        if len(told) == 16:
+            told = [_cut(functools.reduce(DataFrame.unionByName, told))]
+    out = rows.where("false").select("ord", "pos", F.lit("").alias("verdict"), F.col("ord").alias("kept_ord"), F.lit(0.0).alias("score"), F.col("year").alias("keep_year"))
+    return functools.reduce(DataFrame.unionByName, told, out)
+
+
+def sources_then(told: DataFrame, rows: DataFrame) -> DataFrame:
+    """``told`` of ``settle`` with keep_source: the sources of the match, and of what had been merged into it, when a row came by.
+
+    Of each source of a kept row only the place where it first came counts, so what meets is small.
+    """
+    name = F.explode(F.split("source_db", ",")).alias("source")
+    own = rows.select(F.col("ord").alias("kept_ord"), name).withColumn("since", F.lit(None).cast("decimal(38,0)"))
+    merged = told.where("verdict = 'removed'").join(rows.select("ord", "source_db"), "ord").select("kept_ord", name, F.col("pos").alias("since"))
+    near = told.where("verdict = 'possible'")
+    held = own.join(near.select("kept_ord").distinct(), "kept_ord", "left_semi").unionByName(merged).where("source <> ''")
+    held = held.groupBy("kept_ord", "source").agg(F.min(F.coalesce("since", F.lit(str(-1 << 65)).cast("decimal(38,0)"))).alias("since"))
+    then = near.join(held, "kept_ord").where("since < pos").groupBy("ord").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("keep_source"))
+    return told.join(then, "ord", "left").select("ord", "verdict", "kept_ord", "score", F.when(F.col("verdict") == "possible", F.col("keep_year")).alias("keep_year"), F.when(F.col("verdict") == "possible", F.coalesce("keep_source", F.lit(""))).alias("keep_source"))
+
+
+def deduplicate(records: DataFrame, threshold: float = THRESHOLD, review: float = REVIEW, years: int = YEARS, author: float = AUTHOR, stretch: int = STRETCH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(unique, removed, possible) of ``records`` (the record columns and ord, a distinct whole number).
 
     ``unique`` keeps ord; merged records have their sources joined and blanks filled from their
-    duplicates in order.  ``removed`` tells match_type, duplicate_of, kept_title and similarity;
+    duplicates in order.  Components of up to ``stretch`` records are replayed, many to a task; larger ones, such as a
+    title that a third of the records share, are settled by rounds of joins.  ``removed`` tells match_type, duplicate_of, kept_title and similarity;
     ``possible`` pairs a kept candidate with the record it resembles.
     """
     kept, removed_doi = exact(records)
-    kept = kept.withColumn("has_doi", F.col("doi").isNotNull())
+    kept = _cut(kept).withColumn("has_doi", F.col("doi").isNotNull())
     # records with a DOI all come first, then the others, each in order
     key = S.sorted_tokens(T.normalize_title(F.col("title")))
     place = F.struct((~F.col("has_doi")).alias("late"), "ord")
@@ -241,9 +318,15 @@ def deduplicate(records: DataFrame, threshold: float = THRESHOLD, review: float
     similar = pairs.groupBy(F.col("l_cls").alias("cls")).agg(F.collect_list(F.struct(F.col("r_cls").alias("cls"), "score")).alias("similar"))
     named = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").where("component is not null or first < last").join(similar, "cls", "left")
     nodes = slim.join(named.select("key", "y", "cls", F.coalesce("component", "cls").alias("component"), "similar"), ["key", "y"])
-    nodes = nodes.select("component", "late", "ord", "cls", "year", "first_author", "source_db", "has_doi", F.when(F.col("ord") == F.col("cls"), F.col("similar")).alias("similar"))
-    ordered = nodes.repartition("component").sortWithinPartitions("component", "late", "ord")
-    told = _cut(ordered.mapInPandas(replay(threshold, review, years, author), "ord long, verdict string, kept_ord long, score double, keep_year int, keep_source string"))
+    nodes = _cut(nodes.select("component", "late", "ord", "cls", "year", "first_author", "source_db", "has_doi", F.when(F.col("ord") == F.col("cls"), F.col("similar")).alias("similar")))
+    large = nodes.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > stretch).select("component")
+    ordered = nodes.join(large, "component", "left_anti").repartition("component").sortWithinPartitions("component", "late", "ord")
+    told = ordered.mapInPandas(replay(threshold, review, years, author), "ord long, verdict string, kept_ord long, score double, keep_year int, keep_source string")
+    rest = _cut(nodes.join(large, "component", "left_semi").withColumn("pos", behind(F.col("late"), F.col("ord"))))
+    if rest.limit(1).count():
+        hot = pairs.join(rest.select(F.col("cls").alias("l_cls")).distinct(), "l_cls", "left_semi")
+        told = told.unionByName(sources_then(_cut(settle(rest, hot, threshold, review, years, author)), rest))
+    told = _cut(told)
 
     gone = told.where("verdict = 'removed'").select("ord", "kept_ord", "score")
     keeper = kept.select(F.col("ord").alias("kept_ord"), F.col("record_id").alias("duplicate_of"), F.col("title").alias("kept_title"))

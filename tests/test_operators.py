@@ -69,8 +69,9 @@ def plain_dedup(rows, threshold=90, band=83, years=1, author=80):
     return kept, removed, possible
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_dedup_is_sequential(spark, seed):
+@pytest.mark.parametrize(("seed", "stretch"), [(1, 1000), (2, 1000), (1, 0), (3, 0), (4, 6)])
+def test_dedup_is_sequential(spark, seed, stretch):
+    """Replayed in tasks, settled by rounds, and both."""
     rnd = random.Random(seed)
     words = "alpha beta gamma delta takeover loop reentry study".split()
     rows = []
@@ -90,7 +91,7 @@ def test_dedup_is_sequential(spark, seed):
             }
         )
     kept, removed, possible = plain_dedup(rows)
-    got, gone, near = dedup.deduplicate(records(spark, rows).repartition(3))
+    got, gone, near = dedup.deduplicate(records(spark, rows).repartition(3), stretch=stretch)
     got = {r.ord: r for r in got.collect()}
     assert sorted(got) == sorted(k["ord"] for k in kept)
     assert sorted((r.ord, int(r.duplicate_of[1:])) for r in gone.collect()) == sorted(removed)
