@@ -27,8 +27,8 @@ STAGES = ("ingest", "dedup", "prior", "enrich", "clean", "apply", "ask", "screen
 
 
 class Screening:
-    """One search's run.  ``lookups`` are (name, table of doi and text); responses are a table
-    ``record_id, sample_idx, temperature, raw`` that whatever asks the model has written."""
+    """One search's run.  ``lookups`` are (name, table of doi and text); responses are a table (``screening.RESPONSE``) that
+    whatever asks the model has written, partitioned by the job that asked."""
 
     def __init__(self, spark: SparkSession, workspace: Workspace, lookups: list[tuple[str, DataFrame]] | None = None):
         self.spark, self.ws, self.lookups = spark, workspace, lookups or []
@@ -107,14 +107,21 @@ class Screening:
         self._count(unique_after_dedup=n, **told)
         self._enriched(self._records("02_deduplicated"))
 
+    def _answers(self, folder: str, job: str) -> DataFrame:
+        """What the responses in ``folder`` say to ``job``; only its partition is read."""
+        path = self.ws.path(folder, "responses")
+        there = os.path.isdir(path)
+        told = self.spark.read.schema(screening.RESPONSE).parquet(path) if there else self.spark.createDataFrame([], screening.RESPONSE)
+        return screening.answers(told, job, self.ws.config["screening"]["samples"])
+
     def _asked(self, records: DataFrame, folder: str) -> DataFrame:
-        """What to ask of ``records`` that the responses in ``folder`` do not answer yet."""
+        """What to ask of ``records`` that the job's responses in ``folder`` do not answer yet; each request names the job."""
         settings = self.ws.config["screening"]
         asked = screening.expand(records, settings["temperatures"], settings["samples"], settings["chunk"])
         content = T.user_content(F.col("authors"), F.col("year"), F.col("title"), F.col("abstract"))
-        asked = asked.select("record_id", "sample_idx", "temperature", "chunk", content.alias("content"))
-        path = self.ws.path(folder, "responses")
-        return screening.outstanding(asked, self.spark.read.parquet(path)) if os.path.isdir(path) else asked
+        job = self.fingerprint(records)
+        asked = asked.select(F.lit(job).alias("job"), "record_id", "sample_idx", "temperature", "chunk", content.alias("content"))
+        return screening.outstanding(asked, self._answers(folder, job))
 
     def _askable(self) -> DataFrame:
         records = self._records("03_enriched")
@@ -140,12 +147,12 @@ class Screening:
         prompt = max(1, len(system_prompt(*self.ws.criteria())) // 4)
         return screening.cost_estimate(rows.select(content), prompt, s["samples"], config["rates"], s["chunk"], caching=cache["enabled"], floor=cache["floor"]).first().asDict()
 
-    def fingerprint(self) -> str:
-        """Changes with the model, the temperatures, the prompt or the records asked about."""
+    def fingerprint(self, records: DataFrame | None = None) -> str:
+        """Names a job: changes with the model, the temperatures, the prompt or the records asked about (default: those of a screening)."""
         s = self.ws.config["screening"]
         hashes = (F.xxhash64("record_id"), F.xxhash64(F.lit("again"), "record_id"))
-        ids = self._records("03_enriched").agg(F.count("*"), *(F.bit_xor(h) for h in hashes), *(F.sum(h.cast("decimal(38,0)")) for h in hashes)).first()
-        parts = [self.ws.config["model"], repr(s["temperatures"][: s["samples"]]), system_prompt(*self.ws.criteria()), repr([str(v) for v in ids])]
+        ids = (self._askable() if records is None else records).agg(F.count("*"), *(F.bit_xor(h) for h in hashes), *(F.sum(h.cast("decimal(38,0)")) for h in hashes)).first()
+        parts = [self.ws.config["model"], repr([(s["temperatures"] or [0.0])[i % len(s["temperatures"] or [0.0])] for i in range(s["samples"])]), system_prompt(*self.ws.criteria()), repr([str(v) for v in ids])]
         return hashlib.sha256("\0".join(parts).encode()).hexdigest()
 
     def _votes(self, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -160,7 +167,7 @@ class Screening:
             return self.estimate()
         config = self.ws.config
         s = config["screening"]
-        samples, votes = self._votes(self.spark.read.parquet(self.ws.path("work", "responses")))
+        samples, votes = self._votes(self._answers("work", self.fingerprint()))
         made = screening.assemble(self._records("03_enriched"), votes, s["insufficient"], (config["audit"]["size"], config["audit"]["seed"]), s["missing_abstract"])
         tables.write_table(made, self.ws.path("work", "04_screening_results"))
         results = self._records("04_screening_results")
@@ -180,14 +187,15 @@ class Screening:
     def validate(self, labels: str | None = None, second: str | None = None, dry_run: bool = False) -> dict:
         """The labelled records' own verdicts against their labels, and kappa if a second rater's are given.
 
-        Responses are those of ``validate/responses``; where there are none, those of the screening.
+        Responses are those of ``validate/responses`` to this job; where there are none, those of the screening's job.
         """
         labelled = self.labelled(labels)
         if dry_run:
             return self.estimate(labelled)
         s = self.ws.config["screening"]
-        own = self.ws.path("validate", "responses")
-        raw = self.spark.read.parquet(own if os.path.isdir(own) else self.ws.path("work", "responses"))
+        raw = self._answers("validate", self.fingerprint(labelled.drop("human_label")))
+        if not raw.limit(1).count():
+            raw = self._answers("work", self.fingerprint())
         samples, votes = self._votes(raw.join(labelled.select("record_id"), "record_id", "left_semi"))
         path = self.ws.path("validate", "results")
         tables.write_table(validation.validated(labelled, votes, s["insufficient"]), path)
@@ -204,7 +212,7 @@ class Screening:
         return out
 
     def ask(self) -> dict:
-        """Write the open requests as JSON lines to ``work/requests``; how many there are, and the fingerprint."""
+        """Write the open requests as JSON lines to ``work/requests``; how many there are, and the job's fingerprint, which every reply has to carry."""
         path = self.ws.path("work", "requests")
         self.requests().write.mode("overwrite").json(path)
         asked = self.spark.read.schema("record_id string, sample_idx int").json(path).count()
@@ -243,6 +251,8 @@ def main(args: list[str] | None = None) -> None:
         return
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     run = Screening(spark, Workspace(given.root, given.search))
+    if spark.sparkContext.getCheckpointDir() is None:  # the session names none: beside the tables, which executors share too
+        spark.sparkContext.setCheckpointDir(run.ws.path("work", "checkpoints"))
     stage = "apply" if given.stage == "restore" else given.stage
     options = {"screen": {"archive": not given.no_archive, "dry_run": given.dry_run}, "validate": {"labels": given.labels, "second": given.labels2, "dry_run": given.dry_run}}
     print(getattr(run, stage)(**options.get(stage, {})) or "")

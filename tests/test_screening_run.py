@@ -3,6 +3,7 @@ import json
 
 import pytest
 
+from litsieve.operators import screening
 from litsieve.plans.screen import Screening, main
 from litsieve.plans.workspace import Workspace, parse_criteria, system_prompt
 from litsieve.streaming.responses import collect_responses
@@ -51,7 +52,7 @@ def test_whole_run(spark, tmp_path):
     assert {r.sample_idx for r in asked} == {0, 1, 2, 3, 4} and len(run.fingerprint()) == 64
     (tmp_path / "arrivals").mkdir()
     say = {"wos-00000": "T", "wos-00002": "F", "wos-00004": "T"}
-    lines = [json.dumps({"record_id": r.record_id, "sample_idx": r.sample_idx, "temperature": r.temperature, "raw": json.dumps({"eligible": say.get(r.record_id, "F"), "reason": "Off topic"})}) for r in asked]
+    lines = [json.dumps({"job": r.job, "record_id": r.record_id, "sample_idx": r.sample_idx, "temperature": r.temperature, "raw": json.dumps({"eligible": say.get(r.record_id, "F"), "reason": "Off topic"})}) for r in asked]
     (tmp_path / "arrivals/a.json").write_text("\n".join(lines[:7] + lines[:2]))
     for name, part in (("b", lines[5:]), ("c", lines[:3])):
         collect_responses(spark, str(tmp_path / "arrivals"), f"{work}/responses", str(tmp_path / "state")).awaitTermination()
@@ -73,8 +74,9 @@ def test_whole_run(spark, tmp_path):
     more.write_text("record_id,human_label,title,abstract\nx1,t,Alpha,\nx2,F,Beta,Some text\nx2,T,again,\nx3,?,none,\nx4,F,Gamma,y\n", encoding="utf-8")
     asked = run.validation_requests(str(more))
     assert {r.record_id for r in asked.collect()} == {"x1", "x2", "x4"}
-    answers = [("x1", i, 0.0, '{"eligible": "T"}') for i in range(5)] + [("x2", i, 0.0, '{"eligible": "T"}') for i in range(5)]
-    spark.createDataFrame(answers, "record_id string, sample_idx int, temperature double, raw string").write.parquet(ws.path("validate", "responses"))
+    job = asked.first().job
+    answers = [(j, x, i, 0.0, '{"eligible": "%s"}' % e) for j, e in ((job, "T"), ("another", "F")) for x in ("x1", "x2") for i in range(5)]
+    spark.createDataFrame(answers, screening.RESPONSE).write.partitionBy("job").parquet(ws.path("validate", "responses"))
     told = run.validate(str(more))
     assert (told["tp"], told["fp"], told["no_verdict"]) == (1, 1, 1)
     full = rows(ws.path("validate", "validate_results.csv"))
@@ -83,6 +85,41 @@ def test_whole_run(spark, tmp_path):
     assert run.validate(str(more), dry_run=True)["records"] == 3 and run.screen(dry_run=True)["requests"] == 15
     assert run.ask()["requests"] == 0
 
+    # another prompt is another job: everything is asked again and no old reply counts
+    before = run.fingerprint()
+    (tmp_path / "searches/one/criteria.md").write_text(CRITERIA.replace("Include", "Only include"))
+    assert run.fingerprint() != before
+    again = run.ask()
+    assert again == {"requests": 15, "fingerprint": run.fingerprint()}
+    run.screen(archive=False)
+    full = rows(f"{out}/screening_results_full.csv")
+    assert len(full) == 4 and {(r["eligible"], r["total_samples"]) for r in full} == {("", "0")}
+    assert sorted(r["needs_human_review"] for r in full) == ["missing abstract (not screened)", *["no parseable verdict"] * 3]
+    (tmp_path / "searches/one/criteria.md").write_text(CRITERIA)
+    assert run.ask()["requests"] == 0  # and the old job's replies are still there
+
+
+def test_one_reply_a_sample(spark):
+    said = [("j", "a", 0, 0.3, "x"), ("j", "a", 0, 0.3, "x"), ("j", "a", 0, 0.3, "b"), ("j", "a", 5, 0.0, "beyond"), ("j", "a", 1, None, None), ("k", "a", 2, 0.0, "other"), (None, "a", 2, 0.0, "none"), ("j", None, 0, 0.0, "who")]
+    got = screening.answers(spark.createDataFrame(said, screening.RESPONSE), "j", 5)
+    assert sorted((r.record_id, r.sample_idx, r.raw) for r in got.collect()) == [("a", 0, "b"), ("a", 1, None)]
+    assert screening.answers(spark.createDataFrame([], screening.RESPONSE), "j", 5).count() == 0
+
+
+def test_replies_again_after_a_restart(spark, tmp_path):
+    """Deliveries that repeat, in one file, in a later file and after a restart, are told by the stream's state."""
+    table, state, arrivals = str(tmp_path / "table"), str(tmp_path / "state"), tmp_path / "in"
+    arrivals.mkdir()
+    line = lambda j, r, i, raw: json.dumps({"job": j, "record_id": r, "sample_idx": i, "temperature": 0.0, "raw": raw})
+    collect = lambda: collect_responses(spark, str(arrivals), table, state).awaitTermination()
+    (arrivals / "a.json").write_text("\n".join([line("j", "a", 0, "1"), line("j", "a", 0, "1"), line("k", "a", 0, "2"), "{broken", line(None, "a", 0, "3")]))
+    collect()
+    (arrivals / "b.json").write_text("\n".join([line("j", "a", 0, "late"), line("j", "a", 1, "4")]))
+    collect()
+    collect()
+    got = sorted((r.job, r.record_id, r.sample_idx, r.raw) for r in spark.read.parquet(table).collect())
+    assert got == [("j", "a", 0, "1"), ("j", "a", 1, "4"), ("k", "a", 0, "2")]
+
 
 def test_workspace(tmp_path, capsys):
     root = str(tmp_path)
