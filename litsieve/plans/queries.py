@@ -272,6 +272,49 @@ def event_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dirty_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as replies in eight forms, told by their number: well-formed, with prose, with other quotes, with a rest
+    behind, with a key twice, with other types, without an object, with escapes."""
+    k = screening.parse_strict(F.col("props"), "k int")["k"].cast("string")
+    forms = [
+        F.concat(F.lit('{"rationale": "r'), k, F.lit('", "eligible": "T", "reason": ""}')),
+        F.lit('Sure.\n{"eligible": " f ", "reason": "Off topic"} Done.'),
+        F.lit("{'eligible': 'T'}"),
+        F.lit('{"eligible": "T"} x }'),
+        F.concat(F.lit('{"eligible": "T", "eligible": "F", "reason": "k'), k, F.lit('"}')),
+        F.concat(F.lit('{"eligible": true, "reason": 0, "rationale": '), k, F.lit("}")),
+        F.lit("T"),
+        F.lit('{"eligible": "F", "reason": "line\\u0020two", "rationale": null}'),
+    ]
+    raw = F.element_at(F.array(*forms), (F.col("event_id") % 8 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "events").select(F.col("event_id").alias("record_id"), raw.alias("raw"))
+    return screening.parse_replies(rows, ["Off topic"]).drop("raw")
+
+
+SQL["dirty_replies"] = """
+WITH e AS (SELECT event_id, event_id % 8 AS i, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events)
+SELECT event_id AS record_id, CASE i WHEN 0 THEN 'T' WHEN 1 THEN 'F' WHEN 4 THEN 'F' WHEN 7 THEN 'F' ELSE '' END AS eligible,
+  CASE i WHEN 1 THEN 'Off topic' WHEN 4 THEN 'k' || k WHEN 7 THEN 'line two' ELSE '' END AS reason,
+  CASE i WHEN 0 THEN 'r' || k WHEN 5 THEN CASE WHEN k = '0' THEN '' ELSE k END ELSE '' END AS rationale, i IN (2, 3, 6) AS parse_error, i IN (4, 7) AS off_vocab_reason FROM e"""
+
+
+def job_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as replies of users to jobs, named by their type: what counts for the job ``click`` of four samples, and what is still open."""
+    replies = _table(spark, sf_dir, "events").select(F.col("event_type").alias("job"), F.col("user_id").cast("string").alias("record_id"), (F.col("event_id") % 6).cast("int").alias("sample_idx"), F.col("value").alias("temperature"), F.col("props").alias("raw"))
+    said = screening.answers(replies, "click", 4)
+    asked = replies.select("record_id").distinct().withColumn("sample_idx", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    left = screening.outstanding(asked, said)
+    blank = {"temperature": F.lit(None).cast("double"), "raw": F.lit(None).cast("string")}
+    return said.withColumn("open", F.lit(False)).unionByName(left.withColumns(blank | {"open": F.lit(True)}))
+
+
+SQL["job_answers"] = """
+WITH e AS (SELECT event_type AS job, CAST(user_id AS VARCHAR) AS record_id, CAST(event_id % 6 AS INTEGER) AS sample_idx, value AS temperature, props AS raw FROM events),
+said AS (SELECT record_id, sample_idx, min({'t': temperature, 'r': raw}) AS m FROM e WHERE job = 'click' AND sample_idx < 4 GROUP BY 1, 2),
+asked AS (SELECT DISTINCT record_id, CAST(i AS INTEGER) AS sample_idx FROM e, range(4) AS r(i))
+SELECT a.record_id, a.sample_idx, m.t AS temperature, m.r AS raw, m IS NULL AS open FROM asked a LEFT JOIN said s ON s.record_id = a.record_id AND s.sample_idx = a.sample_idx"""
+
+
 def vote_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.vote(event_verdicts(spark, sf_dir), threshold=0.66)
 
@@ -320,20 +363,19 @@ def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.audit_sample(results).select("ord", "draw")
 
 
-def _audit_sql() -> str:
-    """The draw depends on the number of exclusions alone: its places for the pools of the given tables (rows of
-    ``documents`` in German), as literals."""
-    pools = (31, 129, 1486)  # fixed values
-    drawn = ", ".join(f"({n}, {p}, {i})" for n in pools for i, p in enumerate(screening.audit_places(n, 50, 20260628)))
-    return f"""
+#: What Python's ``random.Random(20260628).sample`` draws from the pools of the given tables, rows of ``documents`` in German (fixed values).
+_DRAWS = {
+    31: "14 1 11 30 25 2 16 13 21 4 9 12 17 0 18 7 22 20 26 8 28 5 15 27 6 19 24 3 29 10 23",
+    129: "113 8 45 57 102 9 66 101 53 86 115 19 39 49 68 97 0 112 31 34 76 23 67 69 40 59 33 126 2 63 55 74 10 27 4 93 26 120 5 99 83 29 20 123 82 12 17 14 60 92",
+    1486: "904 68 735 914 152 1070 853 1380 309 624 797 1098 7 2 497 548 1224 370 1078 1112 641 954 540 731 35 1009 887 1198 163 442 64 428 854 92 1015 1461 1328 468 329 147 1321 192 282 230 963 419 46 575 245 690",
+}
+_DRAWN = ", ".join(f"({n}, {p}, {i})" for n, draw in _DRAWS.items() for i, p in enumerate(draw.split()))
+SQL["audit_sample"] = f"""
 WITH pool AS (SELECT doc_id AS ord, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents WHERE lang = 'de'),
-drawn(n, place, draw) AS (VALUES {drawn})
+drawn(n, place, draw) AS (VALUES {_DRAWN})
 SELECT ord, CAST(draw AS INTEGER) AS draw FROM pool JOIN drawn USING (n, place)"""
 
 
-SQL["audit_sample"] = _audit_sql()
-
-
 def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels")
     mark = lambda c: F.when(F.col(c) == 1, "T").otherwise("F")
@@ -459,6 +501,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         prior_exact_anti,
         prior_fuzzy_anti,
         enrich_backfill,
+        dirty_replies,
+        job_answers,
         vote_aggregate,
         review_flags,
         reason_histogram,

@@ -34,7 +34,7 @@ class Screening:
         self.spark, self.ws, self.lookups = spark, workspace, lookups or []
 
     def _records(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.ws.path("work", name))
+        return tables.read_table(self.spark, self.ws.path("work", name))
 
     def _count(self, **counts: int) -> dict:
         return tables.merge_ledger(self.ws.path("work", "pipeline_counts.json"), counts)
@@ -74,7 +74,7 @@ class Screening:
 
     def _enriched(self, records: DataFrame) -> None:
         path = self.ws.path("work", "abstract_cache")
-        cache = self.spark.read.schema(CACHE).parquet(path) if os.path.isdir(path) else self.spark.createDataFrame([], CACHE)
+        cache = tables.read_table(self.spark, path, CACHE)
         out, grown = enrich.backfill(records, cache, self.lookups)
         tables.write_records(out, self.ws.path("work", "03_enriched"))
         tables.write_table(grown, path)
@@ -199,7 +199,7 @@ class Screening:
         samples, votes = self._votes(raw.join(labelled.select("record_id"), "record_id", "left_semi"))
         path = self.ws.path("validate", "results")
         tables.write_table(validation.validated(labelled, votes, s["insufficient"]), path)
-        rows = self.spark.read.parquet(path)
+        rows = tables.read_table(self.spark, path)
         for name, kind in (("validate_results", None), ("false_excludes", "FALSE EXCLUDE"), ("false_includes", "FALSE INCLUDE")):
             tables.write_csv(rows if kind is None else rows.where(F.col("outcome") == kind), self.ws.path("validate", f"{name}.csv"), validation.RESULT)
         tables.write_audit(samples, rows, self.ws.path("validate", "validate_raw_samples"), self.ws.config["model"], ("human_label",))

@@ -9,8 +9,9 @@ import os
 import re
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -20,21 +21,72 @@ from litsieve.schema import COLUMNS
 _QUOTING = {"quote": '"', "escape": '"'}
 
 
-def write_table(df: DataFrame, path: str) -> int:
-    """A Parquet table in place of an earlier one; the rows it has.
+class Table:
+    """A Parquet table on any file system that Spark reaches, replaced as a whole.
 
-    The new table is written in full beside the old one, which it may be read from, and takes its name then.
+    The folder holds versions and a small file that names the current one.  A version is written in full, from the
+    current one if need be, and then the file is renamed over the old name, which is one step: a reader finds the old or the
+    new table, and a run that dies before leaves the old one.  The version before stays for those that still read it.
     """
-    fresh = tempfile.mkdtemp(prefix="new-", dir=_folder(path))
-    df.write.mode("overwrite").parquet(fresh)
-    if os.path.exists(path):
-        old = tempfile.mkdtemp(prefix="old-", dir=_folder(path))
-        os.replace(path, os.path.join(old, "table"))
-        os.replace(fresh, path)
-        shutil.rmtree(old)
-    else:
-        os.replace(fresh, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).count()
+
+    NAME = "_current"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._spark, self._path = spark, path
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._at = lambda *parts: hadoop.Path("/".join((path, *parts)))
+        self._files = hadoop.Path(path).getFileSystem(self._conf)
+        self._hadoop = hadoop
+
+    def version(self) -> str | None:
+        """The current version's name; None if there is no table."""
+        if not self._files.exists(self._at(self.NAME)):
+            return None
+        stream = self._files.open(self._at(self.NAME))
+        try:
+            return self._spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+        finally:
+            stream.close()
+
+    def read(self, schema: StructType | str | None = None) -> DataFrame:
+        """The current version."""
+        name = self.version()
+        if name is None:
+            raise FileNotFoundError(f"no table at {self._path}")
+        reader = self._spark.read if schema is None else self._spark.read.schema(schema)
+        return reader.parquet(f"{self._path}/{name}")
+
+    def write(self, df: DataFrame) -> int:
+        """``df`` in place of what is there; the rows it has, counted as they are written."""
+        name, before, rows = f"version-{uuid.uuid4().hex}", self.version(), Observation()
+        df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(f"{self._path}/{name}")
+        self._point(name)
+        for found in self._files.listStatus(self._at()):
+            if found.isDirectory() and found.getPath().getName() not in (name, before):
+                self._files.delete(found.getPath(), True)
+        return rows.get["n"]
+
+    def _point(self, name: str) -> None:
+        fresh = self._at(f"{self.NAME}-{name}")
+        stream = self._files.create(fresh, True)
+        stream.write(bytearray(name.encode()))
+        stream.close()
+        over = getattr(self._hadoop, "Options$Rename")
+        how = self._spark.sparkContext._gateway.new_array(over, 1)
+        how[0] = over.OVERWRITE
+        self._hadoop.FileContext.getFileContext(self._files.getUri(), self._conf).rename(self._files.makeQualified(fresh), self._files.makeQualified(self._at(self.NAME)), how)
+
+
+def write_table(df: DataFrame, path: str) -> int:
+    """A table (see ``Table``) in place of an earlier one; the rows it has."""
+    return Table(df.sparkSession, path).write(df)
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """The table at ``path``; where there is none, an empty one of ``schema`` if that is given."""
+    table = Table(spark, path)
+    return spark.createDataFrame([], schema) if schema is not None and table.version() is None else table.read(schema)
 
 
 def write_records(df: DataFrame, path: str) -> int:

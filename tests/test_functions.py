@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,29 +73,61 @@ def test_prefilter_keeps_all(spark):
     assert df.where(reached & ~S.may_reach(F.col("a"), F.col("b"), 83.0)).count() == 0
 
 
-@pytest.mark.parametrize(
-    "raw, eligible, error",
-    [
-        ('{"rationale":"r","eligible":"T","reason":""}', "T", False),
-        ('well {"eligible":"f","reason":"No data"}', "F", False),
-        ('{"eligible":true}', "", False),
-        ('{"eligible":"T"} x }', "", True),
-        ("{'eligible':'T'}", "", True),
-        ("no json", "", True),
-        ("{bad}", "", True),
-        (None, "", False),
-        ('{"_api_error":"expired"}', "", False),
-        ('{"eligible":"T","eligible":"F"}', "F", False),
-    ],
-)
-def test_parse_reply(raw, eligible, error):
-    said = screening.parse_reply(raw, {"No data"})
-    assert (said["eligible"], said["parse_error"]) == (eligible, error)
-
-
-def test_off_vocabulary():
-    said = screening.parse_reply(json.dumps({"eligible": "F", "reason": "Other"}), {"No data"})
-    assert said["off_vocab_reason"] and said["reason"] == "Other"
+REPLIES = [
+    ('{"rationale":"r","eligible":"T","reason":""}', "T", False),
+    ('well {"eligible":"f","reason":"No data"}', "F", False),
+    ('{"eligible":true}', "", False),
+    ('{"eligible":"T"} x }', "", True),
+    ("{'eligible':'T'}", "", True),
+    ("no json", "", True),
+    ("{bad}", "", True),
+    (None, "", False),
+    ('{"_api_error":"expired"}', "", False),
+    ('{"eligible":"T","eligible":"F"}', "F", False),
+    ('{"eligible": NaN, "reason": "x"}', "", False),
+    ("}{", "", True),
+    ("{}", "", False),
+    ('{ }', "", False),
+    ('{"eligible":"T",}', "", True),
+    ('{"eligible":"T"}\n', "T", False),
+    ('{"eligible":null,"reason":null}', "", False),
+    ('{"eligible":"\\u0054","reason":0,"rationale":3}', "T", False),
+    ('{"eligible":"\xa0t\u3000","reason":" a\xa0"}', "T", False),
+    ('{"eligible":"T","x":{"eligible":"F"}}', "T", False),
+    ('{"eligible":"T","x":[1,{}]} {', "T", False),
+    ('[{"eligible":"T"}]', "T", False),
+    ('{"eligible":"T"}{"eligible":"F"}', "", True),
+    ('{"a":"tab\there"}', "", True),
+    ("{" * 3000 + "}", "", True),
+    ('{"a":' * 2000 + "1" + "}" * 2000, "", None),
+]
+
+
+def plain_reply(raw, allowed):
+    """The verdict as the rules say it, with Python's own parser."""
+    raw = "{}" if raw is None else raw
+    begin, end = raw.find("{"), raw.rfind("}")
+    try:
+        told = json.loads(raw[begin : end + 1]) if 0 <= begin < end else None
+    except (ValueError, RecursionError):
+        told = None
+    e, reason, why = ("" if not told or not told.get(k) else str(told[k]).strip() for k in ("eligible", "reason", "rationale"))
+    e = e.upper() if e.upper() in ("T", "F") else ""
+    return e, reason, why, told is None, e == "F" and reason not in ("", *allowed), raw[:500]
+
+
+def test_parse_replies(spark):
+    rnd = random.Random(4)
+    bits = ['"eligible"', '"reason"', '"T"', '"f"', '"No data"', '"x y"', ":", ":", ",", "{", "}", " ", "null", "1", "true", '"\\n"', "'", "\n"]
+    given = [r for r, _, _ in REPLIES] + ["{" + "".join(rnd.choice(bits) for _ in range(rnd.randrange(9))) + "}" for _ in range(400)]
+    given += ["{" + ", ".join(f"{rnd.choice(bits[:2])}: {rnd.choice(bits[2:6] + bits[12:15])}" for _ in range(rnd.randrange(1, 4))) + "}" for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(given)), "record_id long, raw string")
+    got = {r.record_id: tuple(r)[1:] for r in screening.parse_replies(df, ["No data"]).collect()}
+    for i, raw in enumerate(given):
+        assert got[i] == plain_reply(raw, ["No data"]), raw
+    for i, (raw, eligible, error) in enumerate(REPLIES):
+        assert got[i][0] == eligible and error in (None, got[i][3]), raw
+    assert {r.off_vocab_reason for r in screening.parse_replies(df.where("record_id = 1"), []).collect()} == {True}
 
 
 RIS = """TY  - JOUR

@@ -240,11 +240,11 @@ def test_files(spark, tmp_path):
     mine = records(spark, [{"title": 'a "quoted", one', "year": 2001, "abstract": "x\ny"}, {"doi": "10.1/é"}])
     path = str(tmp_path / "work/01")
     assert tables.write_records(mine, path) == 2
-    back = spark.read.parquet(path)
+    back = tables.read_table(spark, path)
     assert [r.asDict() for r in back.orderBy("ord").collect()] == [r.asDict() for r in mine.select(back.columns).orderBy("ord").collect()]
     assert tables.write_records(back.where("year = 2001"), path) == 1  # over the table it is read from
     assert tables.write_records(mine.where("false"), path) == 0
-    assert spark.read.parquet(path).count() == 0 and os.listdir(tmp_path / "work") == ["01"]
+    assert tables.read_table(spark, path).count() == 0 and os.listdir(tmp_path / "work") == ["01"]
 
     cells = ['a "q", \\ one', "x\ny", " pad ", "", None, "c\rd", "é", "'"]
     odd = spark.createDataFrame([(9 - i, c, i) for i, c in enumerate(cells)], "ord long, a string, b int")

@@ -6,6 +6,7 @@ import pytest
 from litsieve.operators import screening
 from litsieve.plans.screen import Screening, main
 from litsieve.plans.workspace import Workspace, parse_criteria, system_prompt
+from litsieve.sources import tables
 from litsieve.streaming.responses import collect_responses
 
 CRITERIA = "Include studies.\n<!-- no -->\n## ALLOWED EXCLUSION REASONS\n- Off topic\n- Insufficient information\n"
@@ -29,7 +30,7 @@ def test_whole_run(spark, tmp_path):
     run = Screening(spark, ws, [("lookup", look)])
     run.clean()
     work, out = ws.path("work"), ws.path("outputs")
-    enriched = lambda: [r.asDict() for r in spark.read.parquet(f"{work}/03_enriched").orderBy("ord").collect()]
+    enriched = lambda: [r.asDict() for r in tables.read_table(spark, f"{work}/03_enriched").orderBy("ord").collect()]
     assert [r["record_id"] for r in enriched()] == ["wos-00000", "wos-00002", "wos-00004"]
     assert {r["record_id"]: r["match_type"] for r in rows(f"{out}/dedup_removed.csv")} == {"wos-00001": "doi_exact", "wos-00003": "fuzzy_title"}
     assert [r["record_id"] for r in rows(f"{out}/prior_screened_removed.csv")] == ["wos-00005"]
@@ -136,3 +137,28 @@ def test_workspace(tmp_path, capsys):
     assert "- Off topic" in system_prompt(told, reasons)
     with pytest.raises(ValueError):
         parse_criteria("nothing")
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_tables_are_replaced_in_one_step(spark, tmp_path, monkeypatch, scheme):
+    path = f"{scheme}{tmp_path}/deep/table"
+    assert tables.read_table(spark, path, "a long").count() == 0
+    with pytest.raises(FileNotFoundError):
+        tables.read_table(spark, path)
+    assert tables.write_table(spark.range(5).toDF("a"), path) == 5
+    old = tables.read_table(spark, path)
+    assert tables.write_table(old.where("a > 2"), path) == 2  # from what it replaces
+    assert sorted(r.a for r in tables.read_table(spark, path).collect()) == [3, 4] and old.count() == 5
+
+    def dies(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(tables.Table, "_point", dies)  # written in full, not named yet
+        with pytest.raises(OSError, match="lost"):
+            tables.write_table(spark.range(9).toDF("a"), path)
+    assert tables.read_table(spark, path).count() == 2
+    assert tables.write_table(spark.range(3).toDF("a").where("false"), path) == 0
+    assert tables.read_table(spark, path, "a long").count() == 0
+    versions = [f for f in (tmp_path / "deep/table").iterdir() if f.is_dir()]
+    assert len(versions) == 2  # the current one and the one before
