@@ -5,6 +5,7 @@ The tables are not bibliographic; each query names what stands for what.  All re
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from litsieve.functions import text as T
 from litsieve.operators import dedup, enrich, prior, review, screening, summary, validation
 from litsieve.schema import COLUMNS
+from litsieve.sources import exports
+from litsieve.sources.tables import shared_dir
 
 #: White space as the engine's column functions take it, for the SQL side.
 _WS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -90,6 +93,22 @@ SELECT doc_id, CAST(len(list_distinct(string_split({_clean('text')}, ' '))) AS B
 FROM documents"""
 
 
+def ris_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as RIS files, which are then read as exports: number, DOI, title, year and abstract of each record."""
+    text = T.clean_text(F.col("text"))
+    tagged = {"TY": F.lit("JOUR"), "ID": F.concat(F.lit("d"), F.col("doc_id").cast("string")), "T1": F.concat(F.lit("About "), F.col("source")), "DO": F.concat(F.lit("https://doi.org/10.1/"), F.upper(F.md5("text"))), "PY": F.concat((1990 + F.col("n_chars") % 30).cast("string"), F.lit("/05")), "AB": F.concat(F.lit("On "), text), "ER": F.lit("")}
+    record = F.concat_ws("\n", *(F.concat(F.lit(f"{tag}  - "), F.coalesce(value, F.lit(""))) for tag, value in tagged.items()), F.lit(""))
+    folder = f"{shared_dir(spark)}/ris-{uuid.uuid4().hex}"
+    _table(spark, sf_dir, "documents").select(record.alias("value")).write.text(folder)
+    read = exports.read_exports(spark, folder)
+    return read.select("raw_id", "doi", "title", "year", F.md5("abstract").alias("abstract_md5"), "abstract_source")
+
+
+SQL["ris_round_trip"] = f"""
+SELECT 'd' || doc_id AS raw_id, '10.1/' || md5(text) AS doi, 'About ' || source AS title, CAST(1990 + n_chars % 30 AS INTEGER) AS year,
+  md5(trim('On ' || {_clean('text')})) AS abstract_md5, 'export' AS abstract_source FROM documents"""
+
+
 def parse_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = screening.parse_strict(F.col("props"), "k int")
     return _table(spark, sf_dir, "events").groupBy(said["k"].alias("k")).agg(F.count("*").alias("n"), F.bround(F.sum("value"), 2).alias("total"))
@@ -493,6 +512,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         normalize_text,
         strip_markup,
         inverted_index_rebuild,
+        ris_round_trip,
         parse_props,
         exact_dedup,
         removed_rows,

@@ -1,18 +1,23 @@
 """Exports of literature databases as one record table.
 
-Files are read whole by Spark, parsed where they lie and cleaned by column functions.
+Tagged files (RIS, MEDLINE) are read a record a row: Spark cuts them at what ends a record, so a large one is many byte
+ranges on any file system, each read by a task of its own.  Files of other kinds are read whole.  Entries are
+parsed where they lie and cleaned by column functions.
 """
 
 from __future__ import annotations
 
 import csv
+import functools
 import io
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from litsieve.functions import text as T
 from litsieve.schema import COLUMNS
@@ -30,6 +35,8 @@ CSV_HEADERS = {
     "abstract": ["Abstract", "AB"],
 }
 FIELDS = ["doi", "title", "authors", "year", "abstract", "raw_id"]
+#: Fixed value: what ends a RIS record.
+RIS_END = "ER  -"
 KINDS = {".nbib": "medline", ".ris": "ris", ".txt": "ris", ".bib": "bibtex", ".csv": "csv", ".tsv": "tsv"}
 RAW = "file string, idx long, doi string, title string, authors string, year string, abstract string, raw_id string"
 
@@ -58,7 +65,7 @@ def _tagged(entry: formats.Entry, kind: str) -> dict[str, str]:
 
 
 def parse_file(name: str, content: bytes) -> list[dict[str, str]]:
-    """The raw fields of each entry of one export; a file of an unknown kind has none."""
+    """The raw fields of each entry of one export that is read whole; a file of another kind has none."""
     kind = KINDS.get(os.path.splitext(name)[1].lower())
     if kind in ("csv", "tsv"):
         rows = csv.reader(io.StringIO(formats.decode(content, "mac_roman"), newline=""), delimiter="\t" if kind == "tsv" else ",")
@@ -71,10 +78,6 @@ def parse_file(name: str, content: bytes) -> list[dict[str, str]]:
         return out
     if kind == "bibtex":
         return [_tagged(e, kind) for e in formats.bibtex(content.decode("utf-8", "replace"))]
-    if kind in ("ris", "medline"):
-        text = formats.decode(content)
-        kind = "medline" if kind == "medline" or name.lower().endswith(".txt") and formats.is_medline(text) else "ris"
-        return [_tagged(e, kind) for e in (formats.medline if kind == "medline" else formats.ris)(text)]
     return []
 
 
@@ -86,6 +89,53 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame([{"file": name, "idx": i} | r for i, r in enumerate(rows)], columns=["file", "idx", *FIELDS])
 
 
+def _parse_ranges(kind: str):
+    """Entries of the records of byte ranges (file, block, content, in the order of the file), numbered within their range."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, n = None, 0
+        for frame in frames:
+            out = []
+            for file, block, content in zip(frame["file"], frame["block"], frame["content"], strict=True):
+                begins = (file, block) != here and block == 0
+                if (file, block) != here:
+                    here, n = (file, block), 0
+                text = formats.decode(bytes(content)) if begins else bytes(content).decode("utf-8", "replace")
+                if kind == "ris" and not begins:
+                    text = RIS_END + text  # the rest of the line that ended the record before
+                for entry in (formats.ris if kind == "ris" else formats.medline)(text):
+                    out.append({"file": file, "block": block, "n": n} | _tagged(entry, kind))
+                    n += 1
+            yield pd.DataFrame(out, columns=["file", "block", "n", *FIELDS])
+
+    return run
+
+
+def read_tagged(spark: SparkSession, paths: list[str], kind: str, end: str) -> DataFrame:
+    """file, idx and the raw fields of tagged files whose records are parted by ``end``, whatever ranges they are cut into.
+
+    Where ``end`` is not found, as at a line end of another kind, records come together in one row and are parted by the parser.
+    """
+    # a file's name comes encoded as in an address
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
+    rows = spark.read.option("lineSep", end).text(literal).select(name.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("content"))
+    fields = ", ".join(f"{f} string" for f in FIELDS)
+    entries = rows.mapInPandas(_parse_ranges(kind), f"file string, block long, n long, {fields}")
+    # of each range only its number of entries meets those of the file's other ranges
+    sizes = entries.groupBy("file", "block").agg(F.count("*").alias("many"))
+    before = F.coalesce(F.sum("many").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = entries.join(sizes.select("file", "block", before.alias("before")), ["file", "block"])
+    return placed.select("file", (F.col("before") + F.col("n")).alias("idx"), *FIELDS)
+
+
+def _head(spark: SparkSession, path: str) -> str:
+    """The first lines of a file, with their line ends."""
+    literal = re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+    lines = spark.read.option("lineSep", "\n").text(literal).where("_metadata.file_block_start = 0").select(F.col("value").cast("binary")).limit(formats.LOOKED_AT).collect()
+    return formats.decode(b"\n".join(bytes(r[0]) for r in lines))
+
+
 def build_records(raw: DataFrame) -> DataFrame:
     """Records out of raw fields (file, idx and the fields): cleaned, with ids ``<source>-<idx>`` and ord."""
     stem = F.lower(F.regexp_extract("file", r"^(.*?)(\.[^.]*)?$", 1))
@@ -112,14 +162,25 @@ def read_exports(spark: SparkSession, folder: str) -> DataFrame:
     would share ids, is an error.
     """
     files = spark.read.format("binaryFile").load(folder)
-    names = sorted(r[0] for r in files.select(F.element_at(F.split("path", "/"), -1)).collect())
-    names = [n for n in names if os.path.splitext(n)[1].lower() in KINDS]
+    paths = {p.rpartition("/")[2]: p for (p,) in files.select("path").collect()}
+    names = sorted(n for n in paths if os.path.splitext(n)[1].lower() in KINDS)
     if not names:
         raise FileNotFoundError(f"no exports in {folder}")
     stems = [os.path.splitext(n)[0].lower() for n in names]
     if len(set(stems)) < len(stems):
         raise ValueError("exports whose names differ in the ending only would share record ids: " + ", ".join(names))
     known = spark.createDataFrame(list(enumerate(names)), "rank long, file string")
-    # one file a task, so that large exports are parsed side by side
-    raw = files.select("path", "content").repartition(len(names), "path").mapInPandas(_parse, RAW)
+    tagged: dict[tuple[str, str], list[str]] = {}
+    for name in names:
+        kind = KINDS[os.path.splitext(name)[1].lower()]
+        if kind in ("ris", "medline"):
+            head = _head(spark, paths[name])
+            kind = "medline" if kind == "medline" or name.lower().endswith(".txt") and formats.is_medline(head) else "ris"
+            blank = "\r\n\r\n" if "\r\n" in head else "\n\n"
+            tagged.setdefault((kind, blank if kind == "medline" else f"\n{RIS_END}"), []).append(paths[name])
+    # files that are read whole, one a task
+    others = F.lower(F.regexp_extract("path", r"(\.[^.]*)$", 1)).isin([e for e, k in KINDS.items() if k not in ("ris", "medline")])
+    whole = files.where(others).select("path", "content").repartition(len(names), "path").mapInPandas(_parse, RAW)
+    parts = [whole, *(read_tagged(spark, found, kind, end) for (kind, end), found in sorted(tagged.items()))]
+    raw = functools.reduce(DataFrame.unionByName, parts)
     return build_records(raw.join(F.broadcast(known), "file"))

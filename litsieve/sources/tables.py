@@ -21,6 +21,17 @@ from litsieve.schema import COLUMNS
 _QUOTING = {"quote": '"', "escape": '"'}
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names for what executors share; on one machine, where it names none, a temporary one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tables-"))
+    return sc.getCheckpointDir()
+
+
 class Table:
     """A Parquet table on any file system that Spark reaches, replaced as a whole.
 

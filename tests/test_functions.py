@@ -197,3 +197,31 @@ def test_read_exports(spark, tmp_path):
         exports.read_exports(spark, str(tmp_path / "none"))
 
 
+
+
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+def test_large_exports_are_cut_at_records(spark, tmp_path, line_end):
+    """However small the byte ranges, the records and their numbers are those of the whole file."""
+    rnd = random.Random(8)
+    ris, medline = ["Provider: x", ""], []
+    for i in range(90):
+        ris += ["TY  - JOUR", f"T1  - Title {i} é日", "  goes on", f"AU  - Smith{i}, J", f"PY  - {1990 + i % 30}", f"AB  - {'word ' * rnd.randrange(40)}\x0bER  - no", *rnd.choice([["ER  - "], ["ER -"], ["ER  -", ""], ["ER  - rest"]])]
+        medline += [f"PMID- {i}", f"TI  - Title {i}", "      goes on", f"AB  - {'word ' * rnd.randrange(40)}", *rnd.choice([[""], ["", ""], ["  "]])]
+    ris += ["TY  - JOUR", "T1  - not ended"]
+    (tmp_path / "a b%+é[1].ris").write_bytes(("﻿" + line_end.join(ris)).encode() + b"\nN1  - \xff\xfe")
+    (tmp_path / "m.txt").write_bytes(line_end.join(medline).encode())
+    whole = sorted(tuple(r) for r in exports.read_exports(spark, str(tmp_path)).collect())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        many = exports.read_tagged(spark, [str(tmp_path / "m.txt")], "medline", "\n\n").select("file")
+        assert spark.read.text(str(tmp_path / "m.txt")).rdd.getNumPartitions() >= 7 and many.count() == 90
+        cut = sorted(tuple(r) for r in exports.read_exports(spark, str(tmp_path)).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert cut == whole
+    entries = {"a b%+é[1]": formats.ris(formats.decode((tmp_path / "a b%+é[1].ris").read_bytes())), "m": formats.medline((tmp_path / "m.txt").read_text(encoding="utf-8", newline=""))}
+    for stem, found in entries.items():
+        assert [r[4] for r in whole if r[2] == stem] == [" ".join(" ".join(v for k, v in e if k in ("T1", "TI")).split()) for e in found]
