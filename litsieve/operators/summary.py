@@ -21,6 +21,32 @@ def reasons(results: DataFrame) -> DataFrame:
     return said.groupBy(F.col("reason_for_exclusion").alias("reason")).agg(F.count("*").alias("n"), F.min("ord").alias("first"))
 
 
+def consolidate(records: DataFrame) -> DataFrame:
+    """The flow of several runs and of all together: strand (null: all), identified, within_run, across_runs, unique, excluded,
+    eligible, held.
+
+    ``records`` are strand, rank (the runs' order), ord, doi, eligible, flag.  Records of one DOI are one paper: it counts
+    for the earliest run that has it, by that run's first record; later ones of the run are duplicates within it, those of other
+    runs across.  A record without a DOI is a paper of its own.  Flagged papers are held, whatever their verdict; null strands are no run.
+    """
+    known = records.where("strand is not null").withColumn("paper", F.when(F.col("doi").isNotNull(), F.struct(F.col("doi"), F.lit(None).cast("long").alias("rank"), F.lit(None).cast("long").alias("ord"))).otherwise(F.struct(F.lit(None).cast("string").alias("doi"), F.col("rank").cast("long").alias("rank"), F.col("ord").cast("long").alias("ord"))))
+    runs = known.groupBy("paper", "strand", "rank").agg(F.count("*").alias("copies"), F.min_by(F.struct("eligible", "flag"), "ord").alias("first"))
+    papers = runs.groupBy("paper").agg(F.min("rank").alias("rank"), F.lit(True).alias("kept"))
+    # each run of a paper meets the paper's earliest by a key that no two rows share
+    tied = runs.join(papers, (runs["paper"] == papers["paper"]) & (runs["rank"] == papers["rank"]), "left").select(runs["strand"], "copies", "first", F.coalesce("kept", F.lit(False)).alias("kept"))
+    flagged = F.coalesce(F.col("first.flag"), F.lit("")) != ""
+    counts = [
+        F.sum("copies").alias("identified"),
+        F.sum(F.col("copies") - 1).alias("within_run"),
+        F.count_if(~F.col("kept")).alias("across_runs"),
+        F.count_if("kept").alias("unique"),
+        F.count_if(F.col("kept") & ~flagged & (F.col("first.eligible") == "F")).alias("excluded"),
+        F.count_if(F.col("kept") & ~flagged & (F.col("first.eligible") == "T")).alias("eligible"),
+        F.count_if(F.col("kept") & flagged).alias("held"),
+    ]
+    return tied.groupingSets([["strand"], []], "strand").agg(*counts)
+
+
 def screened(results: DataFrame) -> DataFrame:
     """One row of the counts behind the report; exclusions include flagged and audited ones."""
     flagged = F.col("needs_human_review") != ""

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsieve.functions import text as T
+from litsieve.functions.search import Search, term_counts
 from litsieve.operators import dedup, enrich, prior, review, screening, summary, validation
 from litsieve.schema import COLUMNS
 from litsieve.sources import exports
@@ -464,6 +465,59 @@ def source_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["source_rollup"] = "SELECT regexp_extract(source, '^[a-z]+') AS database, count(*) AS n FROM documents GROUP BY 1"
 
 
+_SEARCH = Search([["thanedble", '"ingre onanshat"', "eswh*", "entz*", '"stung-ein"'], ["the", "de*", "une[ab]"]], ["ofonrereer"], (1995, 2020))
+
+
+def search_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that two blocks of terms and years find; a document's source is its title."""
+    docs = _table(spark, sf_dir, "documents").withColumn("year", (1990 + F.col("n_chars") % 40).cast("int"))
+    return docs.where(_SEARCH.met(F.col("source"), F.col("text"), F.col("year"))).select("doc_id", "year")
+
+
+_PLAIN = "' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) || ' '"
+SQL["search_strings"] = f"""
+WITH d AS (SELECT doc_id, CAST(1990 + n_chars % 40 AS INTEGER) AS year, {_PLAIN} AS t FROM documents)
+SELECT doc_id, year FROM d WHERE (t LIKE '% thanedble %' OR t LIKE '% ingre onanshat %' OR t LIKE '% eswh%' OR t LIKE '% entz%' OR t LIKE '% stung ein %')
+  AND (t LIKE '% the %' OR t LIKE '% de%' OR t LIKE '% une %') AND t NOT LIKE '% ofonrereer %' AND year BETWEEN 1995 AND 2020"""
+
+
+def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each term finds."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("source").alias("title"), F.col("text").alias("abstract"))
+    return term_counts(docs, _SEARCH)
+
+
+SQL["search_terms"] = f"""
+WITH d AS (SELECT {_PLAIN} AS t FROM documents),
+terms(block, term, shown) AS (VALUES (0, 'thanedble', '% thanedble %'), (0, '"ingre onanshat"', '% ingre onanshat %'), (0, 'eswh*', '% eswh%'), (0, 'entz*', '% entz%'),
+  (0, '"stung-ein"', '% stung ein %'), (1, 'the', '% the %'), (1, 'de*', '% de%'), (1, 'une[ab]', '% une %'))
+SELECT CAST(block AS INTEGER) AS block, term, count(*) FILTER (t LIKE shown) AS n FROM d, terms GROUP BY ALL"""
+
+
+def strand_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records of eight runs, told by language and the last bit of the number, earliest by name: equal texts are
+    one paper, short texts have no DOI, toxic ones are excluded, low quality is flagged."""
+    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    docs = _table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    rank = F.element_at(F.create_map(*(F.lit(x) for i, lang in enumerate(("de", "en", "es", "fr")) for x in (lang, i))), F.col("lang"))
+    doi = F.when(F.col("n_chars") >= 100, F.md5("text"))
+    eligible = F.when(F.col("toxic") == 1, "F").otherwise("T")
+    flag = F.when(F.col("quality") == 0, "low quality").otherwise("")
+    strand = F.concat("lang", F.lit("-"), (F.col("doc_id") % 2).cast("string"))
+    return summary.consolidate(docs.select(strand.alias("strand"), (rank * 2 + F.col("doc_id") % 2).alias("rank"), F.col("doc_id").alias("ord"), doi.alias("doi"), eligible.alias("eligible"), flag.alias("flag")))
+
+
+SQL["strand_flow"] = """
+WITH l AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY 1),
+r AS (SELECT lang || '-' || doc_id % 2 AS strand, doc_id AS ord, CASE WHEN n_chars >= 100 THEN md5(text) ELSE CAST(doc_id AS VARCHAR) END AS paper,
+  coalesce(toxic = 1, false) AS bad, coalesce(quality = 0, false) AS low FROM documents LEFT JOIN l USING (doc_id)),
+c AS (SELECT paper, strand, count(*) AS copies, arg_min(bad, ord) AS bad, arg_min(low, ord) AS low FROM r GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY strand) = 1 AS kept FROM c)
+SELECT strand, CAST(sum(copies) AS BIGINT) AS identified, CAST(sum(copies - 1) AS BIGINT) AS within_run, count(*) FILTER (NOT kept) AS across_runs, count(*) FILTER (kept) AS "unique",
+  count(*) FILTER (kept AND NOT low AND bad) AS excluded, count(*) FILTER (kept AND NOT low AND NOT bad) AS eligible, count(*) FILTER (kept AND low) AS held
+FROM k GROUP BY GROUPING SETS ((strand), ())"""
+
+
 def flow_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of documents: identified, unique, removed, without abstract."""
     records = document_records(spark, sf_dir)
@@ -532,6 +586,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         apply_decisions,
         source_counts,
         source_rollup,
+        search_strings,
+        search_terms,
+        strand_flow,
         flow_counts,
         cost_estimate,
         decision_pivot,
