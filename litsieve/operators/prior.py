@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from litsieve.functions import similarity as S
 from litsieve.functions import text as T
+from litsieve.operators.components import cut
 from litsieve.operators.dedup import AUTHOR, THRESHOLD, YEARS, similar_pairs
 from litsieve.schema import COLUMNS
 
@@ -56,7 +57,9 @@ def remove_prior(records: DataFrame, prior: DataFrame, threshold: float = THRESH
     key, y = S.sorted_tokens(T.normalize_title(F.col("title"))), F.coalesce("year", F.lit(-1))
     asked = rest.select("ord", key.alias("key"), "year", y.alias("y"), F.col("first_author").alias("l_author"))
     titled = prior.withColumn("title", F.col("prior_title")).select("ord", key.alias("key"), "year", y.alias("y"), F.struct("prior_record_id", "prior_title", "prior_decision").alias("p"), F.col("first_author").alias("r_author")).where("key <> ''")
-    first = titled.groupBy("key", "y").agg(F.min_by(F.struct("p", "r_author", "ord"), "ord").alias("r"), F.min("year").alias("year"))
+    first = cut(titled.groupBy("key", "y").agg(F.min_by(F.struct("p", "r_author", "ord"), "ord").alias("r"), F.min("year").alias("year")))
+    if not first.limit(1).count():  # no earlier title to be held against
+        return rest.select("ord", *COLUMNS), exact
     # a title of a year goes by the first record that has it, on both sides
     titles = asked.groupBy("key", "y").agg(F.min("year").alias("year"), F.min("ord").alias("id"))
     left = titles.select(F.col("id").alias("l_id"), F.col("key").alias("l_title"), F.col("year").alias("l_year"))

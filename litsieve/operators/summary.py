@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,22 +47,23 @@ def consolidate(records: DataFrame) -> DataFrame:
     return tied.groupingSets([["strand"], []], "strand").agg(*counts)
 
 
-def screened(results: DataFrame) -> DataFrame:
-    """One row of the counts behind the report; exclusions include flagged and audited ones."""
+def screened() -> list[Column]:
+    """The counts of result rows behind the report, as aggregates to take while they are written; exclusions include flagged and audited ones."""
     flagged = F.col("needs_human_review") != ""
     split = F.startswith("needs_human_review", F.lit("samples not consistent"))
     t = F.col("eligible") == "T"
-    row = results.agg(
+    split_n, tentative = F.count_if(split), F.count_if(t & flagged)
+    return [
         F.count_if(F.col("eligible") == "F").alias("excluded"),
         F.count_if(t & ~flagged).alias("eligible"),
-        F.count_if(t & flagged).alias("tentative"),
-        F.count_if(split).alias("inconsistent"),
+        tentative.alias("tentative"),
+        split_n.alias("inconsistent"),
         F.count_if(flagged).alias("flagged_for_review"),
         F.count_if(F.col("total_samples") > 0).alias("screened"),
         F.count_if(F.col("total_samples") == 0).alias("not_screened"),
         F.count_if(F.col("needs_human_review") == "random audit of exclusions").alias("audited"),
-    )
-    return row.withColumn("leaning_exclude", F.col("inconsistent") - F.col("tentative"))
+        (split_n - tentative).alias("leaning_exclude"),
+    ]
 
 
 def report(counts: dict, sources: list[tuple[str, int]], histogram: list[tuple[str, int]]) -> str:

@@ -8,14 +8,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsieve.functions import text as T
 from litsieve.functions.search import Search, term_counts
 from litsieve.operators import dedup, enrich, prior, review, screening, summary, validation
 from litsieve.schema import COLUMNS
-from litsieve.sources import exports
+from litsieve.sources import exports, tables
 from litsieve.sources.tables import shared_dir
 
 #: White space as the engine's column functions take it, for the SQL side.
@@ -149,13 +149,19 @@ SELECT r.record_id, 'doi_exact' AS match_type, k.record_id AS duplicate_of, CAST
 FROM records r JOIN kept k USING (doi) WHERE r.ord <> k.ord"""
 
 
+def part_titles(spark: SparkSession, sf_dir: str, year: Column, author: Column) -> DataFrame:
+    """Names of all parts, as they are and in the plural, as titles of records without a DOI; ``year`` and ``author`` are a part's."""
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), "p_name", year.cast("int").alias("year"), author.alias("first_author"))
+    titles = part.select((F.col("key") * 2).alias("ord"), F.col("p_name").alias("title"), "year", "first_author").unionByName(part.select((F.col("key") * 2 + 1).alias("ord"), F.concat("p_name", F.lit("s")).alias("title"), "year", "first_author"))
+    none = F.lit(None).cast("string")
+    cells = {c: F.lit("") for c in COLUMNS} | {"record_id": F.concat(F.lit("part-"), F.col("ord").cast("string")), "source_db": F.lit("part"), "doi": none, "abstract": none}
+    cells |= {c: F.col(c) for c in ("title", "year", "first_author")}
+    return titles.select("ord", *(cells[c].alias(c) for c in COLUMNS))
+
+
 def fuzzy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of all parts, as they are and in the plural, as titles without a DOI: who is merged into whom."""
-    names = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), "p_name")
-    titles = names.select((F.col("key") * 2).alias("ord"), F.col("p_name").alias("title")).unionByName(names.select((F.col("key") * 2 + 1).alias("ord"), F.concat("p_name", F.lit("s")).alias("title")))
-    blank = {c: F.lit("") for c in COLUMNS} | {"record_id": F.concat(F.lit("part-"), F.col("ord").cast("string")), "source_db": F.lit("part"), "title": F.col("title")}
-    blank |= {"doi": F.lit(None).cast("string"), "abstract": F.lit(None).cast("string"), "year": F.lit(None).cast("int")}
-    unique, removed, possible = dedup.deduplicate(titles.select("ord", *(blank[c].alias(c) for c in COLUMNS)))
+    unique, removed, possible = dedup.deduplicate(part_titles(spark, sf_dir, F.lit(None), F.lit("")))
     return (
         unique.select("record_id", F.lit("kept").alias("verdict"), F.lit(None).cast("string").alias("other"), F.lit(None).cast("double").alias("similarity"))
         .unionByName(removed.select("record_id", F.lit("removed").alias("verdict"), F.col("duplicate_of").alias("other"), "similarity"))
@@ -163,6 +169,18 @@ def fuzzy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fuzzy_dedup_dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with years for the parts of even size and makers as authors for most: the window, the author's guard, years gained, rounds of joins."""
+    year = F.when(F.col("p_size") % 2 == 0, 1990 + F.col("p_size") % 7)
+    author = F.when(F.col("p_size") % 5 == 0, "").otherwise(F.lower("p_type"))
+    unique, removed, possible = dedup.deduplicate(part_titles(spark, sf_dir, year, author), stretch=500)
+    return (
+        unique.select("record_id", F.lit("kept").alias("verdict"), F.lit(None).cast("string").alias("other"), F.lit(None).cast("double").alias("similarity"), "year")
+        .unionByName(removed.select("record_id", F.lit("removed").alias("verdict"), F.col("duplicate_of").alias("other"), "similarity", "year"))
+        .unionByName(possible.select(F.col("drop_if_merged_id").alias("record_id"), F.lit("possible").alias("verdict"), F.col("keep_id").alias("other"), "similarity", F.col("keep_year").alias("year")))
+    )
+
+
 def _lcs_sql(a: str, b: str) -> str:
     """LCS length of two SQL strings by one list fold inside another."""
     row = f"list_reduce(range(1, length({b}) + 1), lambda done, j: list_append(done, greatest(prev[j + 1], done[-1], CASE WHEN substr({b}, j, 1) = substr({a}, i, 1) THEN prev[j] + 1 ELSE 0 END)), [CAST(0 AS BIGINT)])"
@@ -187,6 +205,29 @@ SELECT 'part-' || ord AS record_id, verdict, CASE WHEN m IS NOT NULL THEN 'part-
 UNION ALL SELECT 'part-' || ord, 'kept', NULL, NULL FROM told WHERE verdict = 'possible'"""
 
 
+# Row after row with the kept ones as a list: for small tables.
+SQL["fuzzy_dedup_dated"] = f"""
+WITH RECURSIVE rec AS (SELECT p_partkey * 2 + i AS ord, p_name || CASE i WHEN 1 THEN 's' ELSE '' END AS title, CASE WHEN p_size % 2 = 0 THEN 1990 + p_size % 7 END AS year,
+  CASE WHEN p_size % 5 = 0 THEN '' ELSE lower(p_type) END AS author FROM part, range(2) AS r(i)),
+keyed AS (SELECT *, array_to_string(list_sort(string_split(trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g')), ' ')), ' ') AS k FROM rec),
+cls AS MATERIALIZED (SELECT k, row_number() OVER (ORDER BY k) AS c FROM (SELECT DISTINCT k FROM keyed)),
+sim AS MATERIALIZED (SELECT list(row_ ORDER BY c) AS s FROM (SELECT x.c, list(CASE WHEN x.c = y.c THEN 100.0 ELSE 200.0 * {_lcs_sql('x.k', 'y.k')} / (length(x.k) + length(y.k)) END ORDER BY y.c) AS row_ FROM cls x, cls y GROUP BY x.c)),
+names AS MATERIALIZED (SELECT author, row_number() OVER (ORDER BY author) AS a FROM (SELECT DISTINCT author FROM rec)),
+alike AS MATERIALIZED (SELECT list(row_ ORDER BY a) AS g FROM (SELECT x.a, list(x.author = '' OR y.author = '' OR 200 * {_lcs_sql('x.author', 'y.author')} >= 80 * (length(x.author) + length(y.author)) ORDER BY y.a) AS row_ FROM names x, names y GROUP BY x.a)),
+rows_ AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ord) AS n, ord, c, CAST(year AS INTEGER) AS year, a FROM keyed JOIN cls USING (k) JOIN names USING (author)),
+walk(n, kept, ord, verdict, b) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(ord BIGINT, c BIGINT, y INTEGER, a BIGINT)[]), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS STRUCT(s DOUBLE, o BIGINT, y INTEGER, a BIGINT))
+  UNION ALL
+  SELECT n, CASE WHEN verdict <> 'removed' THEN list_append(kept, {{'ord': ord, 'c': c, 'y': year, 'a': a}})
+    WHEN b.y IS NULL AND year IS NOT NULL THEN list_transform(kept, lambda x: CASE WHEN x.ord = -b.o THEN {{'ord': x.ord, 'c': x.c, 'y': year, 'a': x.a}} ELSE x END) ELSE kept END, ord, verdict, b
+  FROM (SELECT *, CASE WHEN b.s >= 90 AND g[a][b.a] THEN 'removed' WHEN b.s >= 83 AND b.s < 90 THEN 'possible' ELSE 'kept' END AS verdict
+    FROM (SELECT r.n, r.ord, r.c, r.year, r.a, w.kept, g, list_sort(list_transform(list_filter(w.kept, lambda x: s[r.c][x.c] >= 83 AND (x.y IS NULL OR r.year IS NULL OR abs(x.y - r.year) <= 1)),
+      lambda x: {{'s': CAST(s[r.c][x.c] AS DOUBLE), 'o': -x.ord, 'y': x.y, 'a': x.a}}), 'DESC')[1] AS b FROM walk w JOIN rows_ r ON r.n = w.n + 1, sim, alike))),
+told AS (SELECT w.ord, verdict, b, r.year FROM walk w JOIN rows_ r USING (n)),
+last AS (SELECT unnest(kept, recursive := true) FROM (SELECT arg_max(kept, n) AS kept FROM walk))
+SELECT 'part-' || ord AS record_id, 'kept' AS verdict, NULL AS other, CAST(NULL AS DOUBLE) AS similarity, y AS year FROM last
+UNION ALL SELECT 'part-' || ord, verdict, 'part-' || -b.o, round_even(b.s, 1), CASE verdict WHEN 'possible' THEN b.y ELSE year END FROM told WHERE verdict <> 'kept'"""
+
+
 def year_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of orders and of line items by year, missing for open orders, joined at most a year apart."""
     orders = _table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.when(F.col("o_orderstatus") != "P", F.year("o_orderdate")).alias("l_year")).agg(F.count("*").alias("orders"))
@@ -249,14 +290,20 @@ SELECT 'part-' || p_partkey AS record_id, CASE WHEN m IS NOT NULL THEN 'fuzzy_ti
 FROM part LEFT JOIN best USING (p_name)"""
 
 
+def document_lookups(spark: SparkSession, sf_dir: str) -> tuple[list[tuple[str, DataFrame]], DataFrame]:
+    """The lookups and the cache of ``enrich_backfill``."""
+    cache = _table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").cast("string").alias("doi"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("source"), F.lit("absent").alias("status"))
+    first = _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("doi"), "text")
+    second = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doi"), T.strip_markup(F.col("html")).alias("text"))
+    return [("benchmark", first), ("pages", second)], cache
+
+
 def enrich_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents under 1,000 characters lack an abstract; labels of low quality are known misses, benchmark
     items and then pages are looked up by number."""
     records = document_records(spark, sf_dir).withColumn("doi", F.col("raw_id"))
-    cache = _table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").cast("string").alias("doi"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("source"), F.lit("absent").alias("status"))
-    first = _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("doi"), "text")
-    second = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doi"), T.strip_markup(F.col("html")).alias("text"))
-    out, _ = enrich.backfill(records, cache, [("benchmark", first), ("pages", second)])
+    lookups, cache = document_lookups(spark, sf_dir)
+    out, _ = enrich.backfill(records, cache, lookups)
     return out.select("record_id", "abstract_source", F.md5("abstract").alias("abstract_md5"))
 
 
@@ -423,10 +470,8 @@ SELECT n, round_even(po, 9) AS agreement, round_even((po - pe) / (1 - pe), 9) AS
 # ---- review and reports --------------------------------------------------------------------------------
 
 
-def apply_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kept documents; toxic ones are merged away, low quality is kept apart; removed French copies come back;
-    benchmark items are abstracts typed in by number."""
-    kept, removed = dedup.exact(document_records(spark, sf_dir))
+def document_marks(spark: SparkSession, sf_dir: str, removed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The marks of ``apply_decisions``: possible duplicates, removed records, abstracts typed in."""
     labels = _table(spark, sf_dir, "labels")
     possible = labels.select(
         F.when(F.col("toxic") == 1, " Merge ").when(F.col("quality") == 0, "keep").otherwise("").alias("decision"),
@@ -438,6 +483,14 @@ def apply_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     langs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "lang")
     marked = removed.join(langs, "ord").withColumn("restore", F.when(F.col("lang") == "fr", "X").otherwise(""))
     typed = _table(spark, sf_dir, "benchmark").select(F.concat(F.lit("doc-"), F.col("item_id").cast("string")).alias("record_id"), F.col("text").alias("abstract"))
+    return possible, marked, typed
+
+
+def apply_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept documents; toxic ones are merged away, low quality is kept apart; removed French copies come back;
+    benchmark items are abstracts typed in by number."""
+    kept, removed = dedup.exact(document_records(spark, sf_dir))
+    possible, marked, typed = document_marks(spark, sf_dir, removed)
     done, _, _ = review.apply_decisions(kept, possible, marked, marked.where("false"), typed)
     return done.select("record_id", "rank", "abstract_source")
 
@@ -533,6 +586,71 @@ SELECT (SELECT count(*) FROM records) AS identified_total, count(*) AS unique_af
        count(*) FILTER (abstract IS NULL) AS missing_abstract FROM kept"""
 
 
+def flow_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All counts of a run over the documents, each taken as its stage's table is written.
+
+    Spanish texts are an earlier list; labels are marks and known misses, as in ``apply_decisions`` and ``enrich_backfill``;
+    the events of a user are the samples of the document of that number.
+    """
+    folder = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    told: dict[str, int] = {}
+
+    def stage(name: str, df: DataFrame, rows: str, *counts: Column) -> DataFrame:
+        found = tables.write_counted(df, f"{folder}/{name}", *counts)
+        told.update({rows: found.pop("n")} | found)
+        return tables.read_table(spark, f"{folder}/{name}", df.schema)
+
+    docs = _table(spark, sf_dir, "documents")
+    records = stage("01_ingested", document_records(spark, sf_dir), "identified_total")
+    sources = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "source_db", F.col("n").cast("string")))), ",")
+    kept, removed = dedup.exact(records)
+    removed = stage("dedup_removed", removed, "duplicates_removed")
+    kept = stage("02_deduplicated", kept, "unique_before_prior")
+    earlier = docs.where("lang = 'es'").select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.md5("text").alias("doi"))
+    listed = stage("prior_list", prior.prior_list(earlier), "prior_screened_list")
+    left, gone = prior.remove_prior(kept, listed)
+    stage("prior_screened_removed", gone, "prior_screened_removed")
+    left = stage("02_without_prior", left, "unique_after_dedup")
+    lookups, cache = document_lookups(spark, sf_dir)
+    enriched, _ = enrich.backfill(left.withColumn("doi", F.col("raw_id")), cache, lookups)
+    looked_up = F.count_if(F.col("abstract_source").isin(*(name for name, _ in lookups)))
+    enriched = stage("03_enriched", enriched, "rows", looked_up.alias("abstracts_backfilled"), F.count_if(F.col("abstract").isNull()).alias("missing_abstract"))
+    possible, marked, typed = document_marks(spark, sf_dir, removed)
+    done, audit, _ = review.apply_decisions(enriched, possible, marked, marked.where("false"), typed)
+    stage("merged", audit, "possible_duplicates_merged")
+    done = stage("03_applied", done, "rows", F.count_if(F.col("rank") == 1).alias("restored_from_dedup"), F.count_if(F.col("abstract_source") == "manual").alias("manual_abstracts"))
+    votes = vote_aggregate(spark, sf_dir).withColumn("record_id", F.concat(F.lit("doc-"), F.col("record_id").cast("string")))
+    stage("04_results", screening.assemble(done, votes), "rows", *summary.screened())
+    names = "identified_total duplicates_removed unique_after_dedup prior_screened_list prior_screened_removed abstracts_backfilled missing_abstract restored_from_dedup possible_duplicates_merged manual_abstracts screened eligible flagged_for_review excluded".split()
+    counts = [F.lit(told[n]).cast("long").alias(n) for n in names]
+    return summary.per_source(records).agg(sources.alias("identified_per_source")).select("identified_per_source", *counts, F.lit(possible.where("drop_if_merged_id <> ''").count()).cast("long").alias("dedup_possible_duplicates"))
+
+
+SQL["flow_ledger"] = f"""
+WITH {_RECORDS}, {_VOTES},
+flags AS (SELECT record_id, eligible, total_samples, CASE WHEN valid_samples = 0 OR NOT consistent OR off_vocab_reason OR insufficient THEN true ELSE false END AS flagged FROM votes),
+page AS (SELECT page_id, {_clean("regexp_replace(html, '<[^>]+>', ' ', 'g')")} AS text FROM pages),
+miss AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0), toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+old AS (SELECT md5(text) AS doi FROM documents WHERE lang = 'es'),
+rest AS (SELECT ord, abstract FROM kept WHERE doi NOT IN (SELECT doi FROM old)),
+found AS (SELECT r.ord, r.abstract, CASE WHEN r.abstract IS NULL AND m.doc_id IS NULL THEN coalesce(b.text, nullif(p.text, '')) END AS got
+  FROM rest r LEFT JOIN miss m ON m.doc_id = r.ord LEFT JOIN benchmark b ON b.item_id = r.ord LEFT JOIN page p ON p.page_id = r.ord),
+survivors AS (SELECT ord, 0 AS rank, coalesce(got, abstract) AS abstract FROM found WHERE ord NOT IN (SELECT doc_id FROM toxic)
+  UNION ALL SELECT r.ord, 1, r.abstract FROM records r JOIN kept k USING (doi) WHERE r.ord <> k.ord AND r.lang = 'fr'),
+typed AS (SELECT ord, rank, abstract IS NULL AND ord IN (SELECT item_id FROM benchmark) AS manual, abstract IS NULL AND ord NOT IN (SELECT item_id FROM benchmark) AS bare FROM survivors),
+results AS (SELECT t.*, CASE WHEN bare THEN '' ELSE coalesce(f.eligible, '') END AS eligible, bare OR coalesce(f.flagged, true) AS flagged, CASE WHEN bare THEN 0 ELSE coalesce(total_samples, 0) END AS n
+  FROM typed t LEFT JOIN flags f ON f.record_id = t.ord)
+SELECT (SELECT string_agg(source || '=' || n, ',' ORDER BY source || '=' || n) FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)) AS identified_per_source,
+  (SELECT count(*) FROM documents) AS identified_total, (SELECT count(*) FROM documents) - (SELECT count(*) FROM kept) AS duplicates_removed, (SELECT count(*) FROM rest) AS unique_after_dedup,
+  (SELECT count(*) FROM old) AS prior_screened_list, (SELECT count(*) FROM kept) - (SELECT count(*) FROM rest) AS prior_screened_removed,
+  (SELECT count(*) FROM found WHERE got IS NOT NULL) AS abstracts_backfilled, (SELECT count(*) FROM found WHERE got IS NULL AND abstract IS NULL) AS missing_abstract,
+  (SELECT count(*) FROM typed WHERE rank = 1) AS restored_from_dedup, (SELECT count(*) FROM found WHERE ord IN (SELECT doc_id FROM toxic)) AS possible_duplicates_merged,
+  (SELECT count(*) FROM typed WHERE manual) AS manual_abstracts, count(*) FILTER (n > 0) AS screened, count(*) FILTER (eligible = 'T' AND NOT flagged) AS eligible,
+  count(*) FILTER (flagged) + least(50, count(*) FILTER (eligible = 'F' AND NOT flagged)) AS flagged_for_review, count(*) FILTER (eligible = 'F') AS excluded,
+  (SELECT count(*) FROM labels) AS dedup_possible_duplicates
+FROM results"""
+
+
 def cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.cost_estimate(_table(spark, sf_dir, "documents").select(F.col("text").alias("content")), 1761, 5, {"input": 3.0, "output": 15.0}, floor=1024)
 
@@ -571,6 +689,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         exact_dedup,
         removed_rows,
         fuzzy_dedup,
+        fuzzy_dedup_dated,
         year_band_join,
         prior_exact_anti,
         prior_fuzzy_anti,
@@ -590,6 +709,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         search_terms,
         strand_flow,
         flow_counts,
+        flow_ledger,
         cost_estimate,
         decision_pivot,
     )

@@ -17,7 +17,7 @@ from litsieve.functions import text as T
 from litsieve.operators import dedup, enrich, order, prior, review, screening, summary, validation
 from litsieve.plans.workspace import Workspace, system_prompt
 from litsieve.schema import COLUMNS
-from litsieve.sources import exports, tables
+from litsieve.sources import exports, flow, tables
 
 POSSIBLE = ["decision", "similarity", "keep_id", "keep_title", "keep_year", "keep_source", "drop_if_merged_id", "drop_if_merged_title", "drop_if_merged_year", "drop_if_merged_source"]
 REMOVED = ["restore", *dedup.REMOVED, *COLUMNS]
@@ -169,18 +169,22 @@ class Screening:
         s = config["screening"]
         samples, votes = self._votes(self._answers("work", self.fingerprint()))
         made = screening.assemble(self._records("03_enriched"), votes, s["insufficient"], (config["audit"]["size"], config["audit"]["seed"]), s["missing_abstract"])
-        tables.write_table(made, self.ws.path("work", "04_screening_results"))
+        told = tables.write_counted(made, self.ws.path("work", "04_screening_results"), *summary.screened())
         results = self._records("04_screening_results")
         out = lambda name: self.ws.path("outputs", name)
         tables.write_csv(results, out("screening_results_full.csv"), screening.RESULT)
         tables.write_csv(results.where("eligible = 'T' and needs_human_review = ''"), out("eligible_for_fulltext.csv"), screening.RESULT)
         tables.write_csv(results.where("review_ord is not null"), out("needs_human_review.csv"), screening.RESULT, "review_ord")
         tables.write_audit(samples, results, self.ws.path("work", "04_raw_samples"), config["model"])
-        counts = self._count(**summary.screened(results).first().asDict())
+        counts = self._count(**{k: v for k, v in told.items() if k != "n"})
         histogram = [(r.reason, r.n) for r in summary.reasons(results).orderBy(F.desc("n"), "first").collect()]
         with open(out("prisma_summary.txt"), "w", encoding="utf-8") as f:
             told = counts | {"model": config["model"], "samples": s["samples"]}
             f.write(summary.report(told, list(counts.get("identified_per_source", {}).items()), histogram))
+        template = self.ws.path("flow_template.csv")
+        if os.path.exists(template):
+            by_source = self.spark.createDataFrame([*counts.get("identified_per_source", {}).items()], "name string, n long")
+            flow.write_flow(flow.fill(flow.read_template(self.spark, template), counts, by_source, summary.reasons(results)), out("flow.csv"))
         if archive:
             self.ws.archive(counts)
 

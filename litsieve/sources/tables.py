@@ -11,7 +11,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -68,15 +68,15 @@ class Table:
         reader = self._spark.read if schema is None else self._spark.read.schema(schema)
         return reader.parquet(f"{self._path}/{name}")
 
-    def write(self, df: DataFrame) -> int:
-        """``df`` in place of what is there; the rows it has, counted as they are written."""
-        name, before, rows = f"version-{uuid.uuid4().hex}", self.version(), Observation()
-        df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(f"{self._path}/{name}")
+    def write(self, df: DataFrame, *counts: Column) -> dict:
+        """``df`` in place of what is there; n, the rows it has, and the named aggregates ``counts``, all taken as it is written."""
+        name, before, told = f"version-{uuid.uuid4().hex}", self.version(), Observation()
+        df.observe(told, F.count(F.lit(1)).alias("n"), *counts).write.parquet(f"{self._path}/{name}")
         self._point(name)
         for found in self._files.listStatus(self._at()):
             if found.isDirectory() and found.getPath().getName() not in (name, before):
                 self._files.delete(found.getPath(), True)
-        return rows.get["n"]
+        return told.get
 
     def _point(self, name: str) -> None:
         fresh = self._at(f"{self.NAME}-{name}")
@@ -91,7 +91,12 @@ class Table:
 
 def write_table(df: DataFrame, path: str) -> int:
     """A table (see ``Table``) in place of an earlier one; the rows it has."""
-    return Table(df.sparkSession, path).write(df)
+    return Table(df.sparkSession, path).write(df)["n"]
+
+
+def write_counted(df: DataFrame, path: str, *counts: Column) -> dict:
+    """A table in place of an earlier one; its rows, n, and the named aggregates ``counts``, taken as it is written."""
+    return Table(df.sparkSession, path).write(df, *counts)
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:

@@ -182,7 +182,7 @@ def test_flags_and_assembly(spark):
     assert order_ == ["r2", "r3", "r4", "r5", "r6", "r7", "r1"]
     excluded = {r.record_id: r for r in screening.assemble(mine, voted, missing="exclude").collect()}
     assert excluded["r7"].eligible == "F"
-    row = summary.screened(made).first()
+    row = made.agg(*summary.screened()).first()
     assert (row.screened, row.excluded, row.tentative, row.inconsistent) == (7, 2, 3, 4)
     assert "Excluded: 2" in summary.report(row.asDict(), [("s", 8)], [("a", 2)])
 
