@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"(?U)[\s\x1c-\x1f]"
@@ -50,6 +50,20 @@ def strip_markup(text: Column) -> Column:
     return clean_text(F.regexp_replace(text, "<[^>]+>", " "))
 
 
+def word_index(rows: DataFrame, words: str, name: str) -> DataFrame:
+    """Add ``name``, the map from each word of the array ``words`` to its positions; null words are not allowed.
+
+    Words are sorted with their positions; a word's run begins where the one before differs and ends where the next begins.
+    """
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+    at = lambda i: F.get(F.col("__placed"), i)["w"]
+    starts = F.filter(F.sequence(F.lit(0), F.size("__placed") - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
+    run = lambda s, j: F.slice("__placed", s + 1, F.coalesce(F.get(F.col("__starts"), j + 1), F.size("__placed")) - s)
+    entry = lambda s, j: F.struct(at(s).alias("key"), F.transform(run(s, j), lambda x: x["p"]).alias("value"))
+    out = rows.withColumn("__placed", placed).withColumn("__starts", F.when(F.size("__placed") > 0, starts).otherwise(F.array().cast("array<int>")))
+    return out.withColumn(name, F.map_from_entries(F.transform("__starts", entry))).drop("__placed", "__starts")
+
+
 def rebuild_index(index: Column) -> Column:
     """The text of a map from word to positions: words by position, then by word."""
     entries = F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w"))))

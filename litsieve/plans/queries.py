@@ -82,10 +82,9 @@ SELECT page_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS chars FRO
 
 
 def inverted_index_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text taken apart into words and positions, and put together again."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(T.clean_text(F.col("text")), " ")).alias("p", "w"))
-    words = docs.groupBy("doc_id", "w").agg(F.collect_list("p").alias("at"))
-    index = words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("index"))
+    """Each text taken apart into words and positions, and put together again; no row leaves its place."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.split(T.clean_text(F.col("text")), " ").alias("words"))
+    index = T.word_index(docs, "words", "index")
     return index.select("doc_id", F.size("index").cast("long").alias("words"), F.md5(T.rebuild_index(F.col("index"))).alias("text_md5"))
 
 

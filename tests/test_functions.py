@@ -225,3 +225,14 @@ def test_large_exports_are_cut_at_records(spark, tmp_path, line_end):
     entries = {"a b%+é[1]": formats.ris(formats.decode((tmp_path / "a b%+é[1].ris").read_bytes())), "m": formats.medline((tmp_path / "m.txt").read_text(encoding="utf-8", newline=""))}
     for stem, found in entries.items():
         assert [r[4] for r in whole if r[2] == stem] == [" ".join(" ".join(v for k, v in e if k in ("T1", "TI")).split()) for e in found]
+
+
+def test_words_indexed_in_the_row(spark):
+    rnd = random.Random(1)
+    rows = [(i, [rnd.choice(["a", "b", "aa", "é", ""]) for _ in range(rnd.choice([0, 1, 5, 60]))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, words array<string>").withColumn("index_", F.lit(1))
+    made = T.word_index(df, "words", "index")
+    assert made.columns == ["id", "words", "index_", "index"]
+    for r in made.withColumn("text", T.rebuild_index(F.col("index"))).collect():
+        assert r["index"] == {w: [i for i, x in enumerate(r.words) if x == w] for w in r.words}
+        assert r.text == " ".join(r.words)
