@@ -651,6 +651,10 @@ def test_urls(spark):
         "http://a.com?x://y/": ("a.com", "", None, "allow"),
         "http://cheap-pills.net/de/": ("cheap-pills.net", "/de/", None, "block"),
         "http://x.net/pills/": ("x.net", "/pills/", None, "allow"),
+        "http://x.net/a/cart": ("x.net", "/a/cart", None, "block"),
+        "http://x.net//cart/2": ("x.net", "//cart/2", None, "block"),
+        "http://x.net/carts/a-cart": ("x.net", "/carts/a-cart", None, "allow"),
+        "http://a.org/login": ("a.org", "/login", "org/", "allow"),
         "no scheme.org/": ("", "", None, "allow"),
         "": ("", "", None, "allow"),
         None: ("", "", None, "allow"),
@@ -662,6 +666,31 @@ def test_urls(spark):
     assert url_filters.judge_pages(df.where("false")).count() == 0
 
 
+def test_many_url_rules(spark):
+    """A hundred thousand rules against every url one by one."""
+    rnd = random.Random(12)
+    name = lambda: "".join(rnd.choice("abcde") for _ in range(rnd.randrange(2, 5)))
+    rules = {}
+    while len(rules) < 100_000:
+        host = ".".join(name() for _ in range(rnd.randrange(1, 3))) + rnd.choice([".org", ".com", ""])
+        rule = f"{host}/{rnd.choice(['', name() + '/', name()])}{len(rules) % 7 or ''}"
+        rules.setdefault(rule, rnd.choice(["allow", "block"]))
+    urls = ["http://" + ".".join(name() for _ in range(rnd.randrange(1, 4))) + rnd.choice([".org", ".com", ""]) + "/" + "/".join(name() for _ in range(rnd.randrange(3))) for _ in range(400)]
+    urls += ["http://www." + rule + "x" for rule in rnd.sample(sorted(rules), 100)]
+    table = url_filters.rule_table(spark, [url_filters.site_rule(v, r) for r, v in rules.items()])
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in url_filters.judge_pages(df, table.union(table.limit(50))).collect():
+        host, _, path = urls[r.page_id].removeprefix("http://").partition("/")
+        labels = host.split(".")
+        fits = [f"{'.'.join(labels[i:])}/{path[:k]}" for i in range(len(labels)) for k in range(len(path) + 1)]
+        found = [f for f in fits if f in rules]
+        best = max(found, key=len, default=None)
+        same = [f for f in found if len(f) == len(best)]
+        best = min(same, key=lambda f: (rules[f] != "block", f), default=None)
+        assert (r.rule, r.verdict) == (best, rules.get(best, "allow"))
+    assert {r.verdict for r in url_filters.judge_pages(df, table.where("false"), "block").collect()} == {"block"}
+
+
 def test_media_round_trip(spark):
     texts = ODD + ["x" * n for n in (63, 64, 65, 64 * 64, 64 * 64 + 1, 300000)]
     got = {r.doc_id: r for r in media.media_features(media.encode_media(docs(spark, texts))).collect()}
