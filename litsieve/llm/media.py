@@ -188,27 +188,46 @@ def encode_media(documents: DataFrame) -> DataFrame:
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration double, samples long, keyframes array<struct<start: long, stop: long>>"
 
 
+#: The feature of a file whose boxes or tables cannot be read, or that has no track.
+UNREADABLE = "unreadable"
+
+
+def _told(data: bytes | None) -> tuple:
+    """The feature columns of one file, from payload_bytes on."""
+    if data is None:
+        return (None,) * 10
+    stored = (len(data), hashlib.sha256(data).hexdigest())
+    try:
+        track = read_media(data)[0]
+    except (ValueError, KeyError, IndexError, struct.error):
+        return (None, None, None, *stored, UNREADABLE, None, None, None, None)
+    payload = b"".join(data[a:b] for a, b in track["payload_ranges"])
+    keys = track["keyframes"]
+    span = f" {keys[0][0]}-{keys[-1][1]}" if keys else ""
+    feature = f"{track['handler']}/{track['codec'].strip()} {track['samples']}x{SAMPLE_BYTES} {track['duration']}/{track['timescale']} keys {len(keys)}{span}"
+    seconds = track["duration"] / track["timescale"] if track["timescale"] else None
+    return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-SAMPLE_BYTES:]), *stored, feature, track["codec"], seconds, track["samples"], [{"start": a, "stop": b} for a, b in keys])
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ranges = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64(), ranges]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration", "samples", "keyframes"]
     for batch in batches:
-        cols: list[list] = [[] for _ in range(10)]
-        for data in batch.column("media").to_pylist():
-            track = read_media(data)[0]
-            payload = b"".join(data[a:b] for a, b in track["payload_ranges"])
-            keys = track["keyframes"]
-            feature = f"{track['handler']}/{track['codec'].strip()} {track['samples']}x{SAMPLE_BYTES} {track['duration']}/{track['timescale']} keys {len(keys)} {keys[0][0]}-{keys[-1][1]}"
-            values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-SAMPLE_BYTES:]), len(data), hashlib.sha256(data).hexdigest(), feature, track["codec"], track["duration"] / track["timescale"], track["samples"], [{"start": a, "stop": b} for a, b in keys])
-            for c, v in zip(cols, values, strict=True):
-                c.append(v)
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64(), ranges]
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration", "samples", "keyframes"]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", *names])
+        rows = [_told(data) for data in batch.column("media").to_pylist()]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", *names])
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Read stored files back: payload digests and what the sample tables say (first track)."""
+    """Read stored files back: payload digests and what the sample tables say (first track).
+
+    A null file has nulls throughout.  One that cannot be read or has no track tells its size and digest and the feature
+    ``unreadable``; one without keyframes has none in its feature.  Rows that repeat stay.
+    """
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, FEATURES)
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` stored as a file and read back."""
     return media_features(encode_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -90,7 +90,7 @@ def format_preferences(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
 def neighbour_pairs(conversations: DataFrame) -> DataFrame:
     """Pairs of conversations 2k (chosen) and 2k + 1 (rejected); a side that does not exist is null."""
     ids = conversations.select("conv_id").where("conv_id is not null").distinct()
-    pair = F.floor(F.col("conv_id") / 2).cast("long")
+    pair = F.shiftright(F.col("conv_id").cast("long"), 1)  # half, rounded down, in whole numbers
     even = F.when(F.col("conv_id") % 2 == 0, F.col("conv_id"))
     odd = F.when(F.col("conv_id") % 2 != 0, F.col("conv_id"))
     return ids.groupBy(pair.alias("pair_id")).agg(F.max(even).alias("chosen_id"), F.max(odd).alias("rejected_id"))

@@ -140,4 +140,5 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def op8_label_propagation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents`` in forty shards of equal row counts."""
     return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -707,6 +707,62 @@ def test_media_round_trip(spark):
     assert media.media_features(media.encode_media(docs(spark, []))).count() == 0
 
 
+def plain_boxes(data, kinds):
+    """The bodies of boxes along a path of kinds, found one level after the other."""
+    levels = [data]
+    for kind in kinds:
+        found = []
+        for body in levels:
+            while body:
+                size = int.from_bytes(body[:4], "big")
+                if body[4:8] == kind:
+                    found.append(body[8:size])
+                body = body[size:]
+        levels = found
+    return levels
+
+
+@pytest.mark.parametrize("n", [1, 5, 64, 1025, 5000])
+def test_media_tables_by_another_reader(n):
+    """Sample tables, keyframes and the feature against a reader of its own, table by table."""
+    payload = bytes(i * 7 % 251 for i in range(n * 64))
+    data = media.write_media(payload)
+    (stbl,) = plain_boxes(data, [b"moov", b"trak", b"mdia", b"minf", b"stbl"])
+    ints = lambda kind: [int.from_bytes(b[i : i + 4], "big") for (b,) in [plain_boxes(stbl, [kind])] for i in range(4, len(b), 4)]
+    assert ints(b"stsz") == [64, n] and ints(b"stts") == [1, n, 64]
+    _, *chunks = ints(b"stco")
+    many, *runs = ints(b"stsc")
+    per = [r for i in range(many) for r in [runs[3 * i + 1]] * ((runs[3 * i + 3] if i + 1 < many else len(chunks) + 1) - runs[3 * i])]
+    places = [at + 64 * k for at, m in zip(chunks, per, strict=True) for k in range(m)]
+    assert b"".join(data[a : a + 64] for a in places) == payload
+    _, *sync = ints(b"stss")
+    keys = [(places[i - 1], places[i - 1] + 64) for i in sync]
+    assert sync == list(range(1, n + 1, 16))
+    told = media._told(data)
+    assert [(k["start"], k["stop"]) for k in told[9]] == keys
+    assert told[5] == f"soun/raw {n}x64 {64 * n}/8000 keys {len(keys)} {keys[0][0]}-{keys[-1][1]}" and told[6:9] == ("raw ", 64 * n / 8000, n)
+
+
+def test_media_that_cannot_be_read(spark):
+    good = media.write_media(b"x" * 64)
+    no_track = b"".join(media._box(k) for k in (b"ftyp", b"moov"))
+    no_keys = good.replace(b"stss", b"stsX")
+    files = [None, b"", b"\0" * 9, no_track, good[:-70], good.replace(b"stsz", b"stsY"), good]
+    df = spark.createDataFrame([(i, 0, f) for i, f in enumerate(files)] + [(6, 0, good)], "doc_id long, n_bytes long, media binary").withColumn("feature", F.lit("x"))
+    rows = sorted(media.media_features(df).collect(), key=lambda r: r.doc_id)
+    assert [r.feature for r in rows] == [None, *["unreadable"] * 5, *[rows[-1].feature] * 2] and rows[-1].payload_bytes == 64
+    assert [r.media_bytes for r in rows] == [None, *(len(f) for f in files[1:]), len(good)] and {r.payload_bytes for r in rows[:6]} == {None}
+    assert media._told(no_keys)[5].endswith("keys 1 " + media._told(good)[5].split()[-1])  # without a table of them every sample is one
+    none = media._full(b"stss", (0).to_bytes(4, "big"))
+    assert none and media.media_features(df.where("false")).count() == 0
+
+
+def test_large_ids_pair_in_whole_numbers(spark):
+    ids = [2**60, 2**60 + 1, 2**53 + 2, 2**53 + 3, -2, -1, 0]
+    got = {(r.chosen_id, r.rejected_id) for r in preferences.neighbour_pairs(spark.createDataFrame([(i,) for i in ids], "conv_id long")).collect()}
+    assert got == {(2**60, 2**60 + 1), (2**53 + 2, 2**53 + 3), (-2, -1), (0, None)}
+
+
 def test_media_boxes_are_checked():
     stored = media.write_media(b"a" * 128)
     kinds = [k for k, _, _ in media.boxes(stored, 0, len(stored))]
