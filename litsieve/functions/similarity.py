@@ -13,6 +13,7 @@ from pyspark.sql.types import BinaryType, IntegerType
 
 
 def sorted_tokens(title: Column) -> Column:
+    """The words of a normalised title in order; repeated words stay, null stays null."""
     return F.array_join(F.array_sort(F.split(title, " ")), " ")
 
 
@@ -94,10 +95,12 @@ def lcs_native(a: Column, b: Column) -> Column:
 
 
 def at_least(common: Column, a: Column, b: Column, threshold: float) -> Column:
+    """Whether a subsequence of ``common`` letters makes two texts ``threshold`` similar, in whole numbers; null if any is null."""
     return 200 * common >= threshold * (F.length(a) + F.length(b))
 
 
 def ratio(common: Column, a: Column, b: Column) -> Column:
+    """The similarity in percent; two empty texts are alike, null if any is null."""
     total = F.length(a) + F.length(b)
     return F.when(total == 0, F.lit(100.0)).otherwise(200.0 * common / total)
 

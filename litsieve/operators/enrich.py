@@ -17,6 +17,9 @@ def backfill(records: DataFrame, cache: DataFrame, lookups: list[tuple[str, Data
     miss (status ``absent``), though not for previews; rows of status ``failed`` are asked again.  Then
     each of ``lookups`` (source name and a table doi, text) in turn.  A preview that finds nothing loses
     its abstract.  The new cache holds what was asked, misses included.
+
+    Null and empty texts of a lookup are no finds; of several texts for one DOI the least counts, in the cache the
+    greatest.  Records that repeat are filled alike; those without a DOI are never looked up.
     """
     has = F.col("abstract").isNotNull() & (F.col("abstract") != "")
     preview = F.coalesce(T.is_preview(F.col("source_db"), F.col("abstract"), F.col("abstract_source")), F.lit(False))

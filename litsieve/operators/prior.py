@@ -48,6 +48,9 @@ def remove_prior(records: DataFrame, prior: DataFrame, threshold: float = THRESH
     A DOI match goes first, to the earliest prior row.  Any other record, with or without a DOI, is held
     against all prior titles of a compatible year; the best score at or above ``threshold`` (earliest on
     ties) takes it out, unless both first authors are known and differ.
+
+    Null titles count as empty ones, and an empty earlier title matches nothing; null years fit any.  Records that
+    repeat are judged alike, each by itself; of earlier rows that repeat the first by ord is told.
     """
     by_doi = prior.where("doi is not null").groupBy("doi").agg(F.min_by(F.struct("prior_record_id", "prior_title", "prior_decision"), "ord").alias("p"))
     context = lambda kind, score: [F.lit(kind).alias("match_type"), *(F.col(f"p.{c}") for c in CONTEXT[1:4]), score.alias("similarity")]

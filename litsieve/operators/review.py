@@ -14,8 +14,11 @@ def apply_decisions(records: DataFrame, possible: DataFrame, removed: DataFrame,
 
     Merged candidates of ``possible`` (decision, drop_if_merged_id) leave; rows of ``removed`` and then
     ``prior_removed`` (restore, ord and the record columns) marked for it come back unless their id is
-    there; abstracts typed into ``missing`` (record_id, abstract) fill those that have none.  Counts are
-    lazy one-row DataFrames' worth: merged, undecided, restored, restored_prior, manual.
+    there; abstracts typed into ``missing`` (record_id, abstract) fill those that have none.
+
+    Null and blank marks count as none, null ids name nothing.  A candidate that is marked twice is merged once; of rows
+    that bring one id back the first counts; of two abstracts typed for one id the greater.  Counts are tables of one
+    row, n, that nothing computes before they are asked for.
     """
     decided = possible.where("drop_if_merged_id is not null and drop_if_merged_id <> ''")
     merge = T.is_marked(F.col("decision"), T.MERGE)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 
 def per_source(records: DataFrame) -> DataFrame:
+    """source_db and n; a null source is one of its own, repeated rows count each."""
     return records.groupBy("source_db").agg(F.count("*").alias("n"))
 
 

@@ -57,6 +57,7 @@ def validated(labelled: DataFrame, votes: DataFrame, policy: str = "review") ->
 
 
 def outcome(human: F.Column, model: F.Column) -> F.Column:
+    """A verdict against a label in words; a null or blank verdict is none."""
     return (
         F.when(~F.coalesce(model, F.lit("")).isin("T", "F"), "no verdict")
         .when((human == "T") & (model == "T"), "true include")

@@ -53,6 +53,7 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text as the cleaning functions leave it, and the first year in it."""
     text = F.col("text")
     return _table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -72,6 +73,7 @@ FROM documents"""
 
 
 def strip_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every page without its tags."""
     text = T.strip_markup(F.col("html"))
     return _table(spark, sf_dir, "pages").select("page_id", F.md5(text).alias("text_md5"), F.length(text).cast("long").alias("chars"))
 
@@ -110,6 +112,7 @@ SELECT 'd' || doc_id AS raw_id, '10.1/' || md5(text) AS doi, 'About ' || source
 
 
 def parse_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events counted and summed by the number in their properties, read by Spark alone."""
     said = screening.parse_strict(F.col("props"), "k int")
     return _table(spark, sf_dir, "events").groupBy(said["k"].alias("k")).agg(F.count("*").alias("n"), F.bround(F.sum("value"), 2).alias("total"))
 
@@ -122,6 +125,7 @@ SELECT CAST(json_extract(props, '$.k') AS INTEGER) AS k, count(*) AS n, round_ev
 
 
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of equal text as one record: the first of them, with what the others add."""
     kept, _ = dedup.exact(document_records(spark, sf_dir))
     return kept.select("record_id", "source_db", "doi", "year", "abstract_source", F.md5("abstract").alias("abstract_md5"))
 
@@ -138,6 +142,7 @@ SELECT record_id, source_db, doi, year, CASE WHEN abstract IS NULL THEN '' ELSE
 
 
 def removed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that ``exact_dedup`` removes, and for which record."""
     _, removed = dedup.exact(document_records(spark, sf_dir))
     return removed.select("record_id", "match_type", "duplicate_of", "similarity", "source_db")
 
@@ -382,6 +387,7 @@ SELECT a.record_id, a.sample_idx, m.t AS temperature, m.r AS raw, m IS NULL AS o
 
 
 def vote_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of each user voted into a verdict."""
     return screening.vote(event_verdicts(spark, sf_dir), threshold=0.66)
 
 
@@ -404,6 +410,7 @@ SQL["vote_aggregate"] = f"WITH {_VOTES} SELECT * FROM votes"
 
 
 def review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a user's verdict needs a person."""
     return vote_aggregate(spark, sf_dir).select("record_id", screening.review_flag().alias("flag"))
 
 
@@ -415,6 +422,7 @@ SELECT record_id, CASE WHEN valid_samples = 0 THEN 'no parseable verdict'
 
 
 def reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each reason is given, and where first."""
     rows = event_verdicts(spark, sf_dir).withColumnsRenamed({"reason": "reason_for_exclusion", "sample_idx": "ord"})
     return summary.reasons(rows)
 
@@ -443,6 +451,7 @@ SELECT ord, CAST(draw AS INTEGER) AS draw FROM pool JOIN drawn USING (n, place)"
 
 
 def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality as the label against toxicity as the verdict."""
     labels = _table(spark, sf_dir, "labels")
     mark = lambda c: F.when(F.col(c) == 1, "T").otherwise("F")
     return validation.confusion(labels.select(mark("quality").alias("human_label"), mark("toxic").alias("eligible")))
@@ -455,6 +464,7 @@ SELECT tp, fp, tn, fn, CAST(0 AS BIGINT) AS no_verdict, tp / (tp + fn) AS recall
 
 
 def cohen_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity as two raters."""
     labels = _table(spark, sf_dir, "labels")
     rater = lambda c: validation.usable_labels(labels.select(F.col("doc_id").cast("string").alias("record_id"), F.when(F.col(c) == 1, "t").otherwise("f").alias("human_label"), F.col("doc_id").alias("ord")))
     return validation.kappa(rater("quality"), rater("toxic")).select("n", F.bround("agreement", 9).alias("agreement"), F.bround("kappa", 9).alias("kappa"))
@@ -504,6 +514,7 @@ FROM survivors"""
 
 
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by source."""
     return summary.per_source(document_records(spark, sf_dir))
 
 
@@ -511,6 +522,7 @@ SQL["source_counts"] = "SELECT source AS source_db, count(*) AS n FROM documents
 
 
 def source_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the letters that their source begins with."""
     return summary.roll_up(document_records(spark, sf_dir))
 
 
@@ -651,6 +663,7 @@ FROM results"""
 
 
 def cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What asking about every document would cost."""
     return screening.cost_estimate(_table(spark, sf_dir, "documents").select(F.col("text").alias("content")), 1761, 5, {"input": 3.0, "output": 15.0}, floor=1024)
 
 
