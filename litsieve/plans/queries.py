@@ -562,13 +562,14 @@ def strand_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records of eight runs, told by language and the last bit of the number, earliest by name: equal texts are
     one paper, short texts have no DOI, toxic ones are excluded, low quality is flagged."""
     labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    docs = _table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
-    rank = F.element_at(F.create_map(*(F.lit(x) for i, lang in enumerate(("de", "en", "es", "fr")) for x in (lang, i))), F.col("lang"))
+    # texts stay where they are, only their digests meet the labels
     doi = F.when(F.col("n_chars") >= 100, F.md5("text"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", doi.alias("doi")).join(labels, "doc_id", "left")
+    rank = F.element_at(F.create_map(*(F.lit(x) for i, lang in enumerate(("de", "en", "es", "fr")) for x in (lang, i))), F.col("lang"))
     eligible = F.when(F.col("toxic") == 1, "F").otherwise("T")
     flag = F.when(F.col("quality") == 0, "low quality").otherwise("")
     strand = F.concat("lang", F.lit("-"), (F.col("doc_id") % 2).cast("string"))
-    return summary.consolidate(docs.select(strand.alias("strand"), (rank * 2 + F.col("doc_id") % 2).alias("rank"), F.col("doc_id").alias("ord"), doi.alias("doi"), eligible.alias("eligible"), flag.alias("flag")))
+    return summary.consolidate(docs.select(strand.alias("strand"), (rank * 2 + F.col("doc_id") % 2).alias("rank"), F.col("doc_id").alias("ord"), "doi", eligible.alias("eligible"), flag.alias("flag")))
 
 
 SQL["strand_flow"] = """
