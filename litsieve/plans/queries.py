@@ -602,8 +602,9 @@ def flow_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All counts of a run over the documents, each taken as its stage's table is written.
 
     Spanish texts are an earlier list; labels are marks and known misses, as in ``apply_decisions`` and ``enrich_backfill``;
-    the events of a user are the samples of the document of that number.
+    the events of a user are the samples of the document of that number.  Abstracts go by their digests: counts need no texts.
     """
+    digest = lambda c: F.when(F.col(c) != "", F.md5(c))
     folder = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
     told: dict[str, int] = {}
 
@@ -613,7 +614,7 @@ def flow_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         return tables.read_table(spark, f"{folder}/{name}", df.schema)
 
     docs = _table(spark, sf_dir, "documents")
-    records = stage("01_ingested", document_records(spark, sf_dir), "identified_total")
+    records = stage("01_ingested", document_records(spark, sf_dir).withColumn("abstract", digest("abstract")), "identified_total")
     sources = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "source_db", F.col("n").cast("string")))), ",")
     kept, removed = dedup.exact(records)
     removed = stage("dedup_removed", removed, "duplicates_removed")
@@ -624,6 +625,7 @@ def flow_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage("prior_screened_removed", gone, "prior_screened_removed")
     left = stage("02_without_prior", left, "unique_after_dedup")
     lookups, cache = document_lookups(spark, sf_dir)
+    lookups = [(name, table.withColumn("text", digest("text"))) for name, table in lookups]
     enriched, _ = enrich.backfill(left.withColumn("doi", F.col("raw_id")), cache, lookups)
     looked_up = F.count_if(F.col("abstract_source").isin(*(name for name, _ in lookups)))
     enriched = stage("03_enriched", enriched, "rows", looked_up.alias("abstracts_backfilled"), F.count_if(F.col("abstract").isNull()).alias("missing_abstract"))
@@ -634,8 +636,10 @@ def flow_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = vote_aggregate(spark, sf_dir).withColumn("record_id", F.concat(F.lit("doc-"), F.col("record_id").cast("string")))
     stage("04_results", screening.assemble(done, votes), "rows", *summary.screened())
     names = "identified_total duplicates_removed unique_after_dedup prior_screened_list prior_screened_removed abstracts_backfilled missing_abstract restored_from_dedup possible_duplicates_merged manual_abstracts screened eligible flagged_for_review excluded".split()
-    counts = [F.lit(told[n]).cast("long").alias(n) for n in names]
-    return summary.per_source(records).agg(sources.alias("identified_per_source")).select("identified_per_source", *counts, F.lit(possible.where("drop_if_merged_id <> ''").count()).cast("long").alias("dedup_possible_duplicates"))
+    told["dedup_possible_duplicates"] = possible.where("drop_if_merged_id <> ''").count()
+    by_source = summary.per_source(records).agg(sources.alias("n")).first().n
+    tables.drop(spark, folder)
+    return spark.range(1).select(F.lit(by_source).alias("identified_per_source"), *(F.lit(told[n]).cast("long").alias(n) for n in (*names, "dedup_possible_duplicates")))
 
 
 SQL["flow_ledger"] = f"""

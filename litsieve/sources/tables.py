@@ -105,6 +105,12 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     return spark.createDataFrame([], schema) if schema is not None and table.version() is None else table.read(schema)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all tables in it, if it is there."""
+    table = Table(spark, path)
+    table._files.delete(table._at(), True)
+
+
 def write_records(df: DataFrame, path: str) -> int:
     """Records and their ord as a table."""
     return write_table(df.select("ord", *COLUMNS), path)
