@@ -236,6 +236,21 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in edges for x in (a, b) if a != b}
 
 
+def test_cut_forgets_estimates(spark):
+    """A join's estimated size is the product of its sides'; in a loop it must not grow round by round."""
+    rows = spark.range(5).withColumn("x", F.lit(1))
+    held = components.Cuts()
+    for _ in range(6):
+        rows = held(rows.join(rows.select("id"), "id"))
+    assert rows.count() == 5
+    assert int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1 << 20
+    kept = components.cut(rows)
+    held.close()
+    assert kept.count() == 5
+    with pytest.raises(Exception):
+        rows.count()
+
+
 def test_files(spark, tmp_path):
     mine = records(spark, [{"title": 'a "quoted", one', "year": 2001, "abstract": "x\ny"}, {"doi": "10.1/é"}])
     path = str(tmp_path / "work/01")
