@@ -46,7 +46,8 @@ def propagate(nodes: DataFrame, shards: int = SHARDS) -> DataFrame:
     held = park(_balance(first.df, total, shards, buckets), "shards")
     first.drop()
     kept = together(held.df)
-    while True:  # ends: the linked pairs that are together rise each time
+    # ends: the linked pairs that are together rise each time; where no text has documents to move, a round changes nothing
+    while not _spread(held.df, total, shards)[0].where("not filled").isEmpty():
         moved = park(_gather(held.df, total, shards, buckets), "shards")
         after = park(_balance(moved.df, total, shards, buckets), "shards")
         moved.drop()
@@ -56,10 +57,11 @@ def propagate(nodes: DataFrame, shards: int = SHARDS) -> DataFrame:
             return held.df
         held.drop()
         held, kept = after, now
+    return held.df
 
 
-def _gather(held: DataFrame, total: int, shards: int, buckets: int) -> DataFrame:
-    """A round: ``held`` (node, link, shard) with the admitted documents moved."""
+def _spread(held: DataFrame, total: int, shards: int) -> tuple[DataFrame, DataFrame]:
+    """A text's count in each shard, where the shard stands in the order the text fills them, and whether it does; and the shards' quotas."""
     share = total // shards
     sizes = held.groupBy("shard").agg(F.count("link").alias("count"))  # ``shards`` rows
     # documents without links count for nothing here: they make room when the counts are balanced
@@ -68,8 +70,14 @@ def _gather(held: DataFrame, total: int, shards: int, buckets: int) -> DataFrame
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     spread = _per_shard(held).join(quota, "shard").withColumn("free", F.greatest(F.lit(0), F.least(F.col("quota"), F.lit(share) - F.col("n"))))
     spread = spread.withColumn("before", F.coalesce(F.sum(F.col("n") + F.col("free")).over(earlier), F.lit(0))).withColumn("from", F.coalesce(F.sum("free").over(earlier), F.lit(0)))
-    # the text fills its first shards; what stands in the others moves to the free places, by number
     spread = spread.withColumn("filled", F.col("before") < F.sum("n").over(Window.partitionBy("link"))).select("link", "shard", "n", "free", "from", "filled")
+    return spread, quota
+
+
+def _gather(held: DataFrame, total: int, shards: int, buckets: int) -> DataFrame:
+    """A round: ``held`` (node, link, shard) with the admitted documents moved."""
+    spread, quota = _spread(held, total, shards)
+    # the text fills its first shards; what stands in the others moves to the free places, by number
     aims = spread.where("filled and free > 0").groupBy("link").agg(F.array_sort(F.collect_list(F.struct("from", "shard", "n"))).alias("aims"))
     movers = held.join(spread.where("not filled").select("link", "shard", "n"), ["link", "shard"]).select("node", "link", (F.col("n") - 1).alias("here"))
     movers = ranked(movers, ["link"], [F.col("node")], "number", buckets, F.col("node")).join(aims, "link")

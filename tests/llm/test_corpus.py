@@ -634,6 +634,13 @@ def test_sharding_gathers_a_hot_text(spark):
         assert kept(1) >= 0.9 * 2 * pairs(60)
 
 
+def test_sharding_without_movers_takes_no_round(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "_gather", lambda *_: pytest.fail("a round"))
+    nodes = spark.createDataFrame([(i, None if i % 3 else 1000 + i) for i in range(90)], "node long, link long")
+    counts = [r["count"] for r in sharding.propagate(nodes).groupBy("shard").count().collect()]
+    assert len(counts) == 40 and sum(counts) == 90 and max(counts) - min(counts) == 1
+
+
 # ---- urls and media ---------------------------------------------------------------------------------------
 
 
