@@ -15,6 +15,9 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts anywhere else in
 What is shuffled per text is one row per anchor (a byte in 128 is one), the contexts of step 3, and
 the text itself twice.  Equal texts are known by 128 bits and their size; so are whole contexts and the
 windows of step 4.  Step 3 alone compares bytes.
+
+``removal_report`` looks for two lengths.  A byte under a long string that repeats is under short ones
+that repeat, so the search for the long ones reads only the stretches that short ones cover without a gap.
 """
 
 from __future__ import annotations
@@ -31,10 +34,12 @@ from pyspark.sql import functions as F
 
 from litsieve.llm.anchors import RangeHash, window_anchors
 from litsieve.llm.chunks import slices
-from litsieve.llm.common import fresh, hand_back, park, tidy
+from litsieve.llm.common import fresh, hand_back, park, tables_of, tidy
 
 #: Bytes of a repeated string; positions that a window's anchor is chosen from.
 LENGTH, WIDTH = 400, 256
+#: Bytes of a repeated passage, which is reported and stays: one of over 50 words is rarely shorter.
+PASSAGE = 200
 #: Different contexts of a core above which its windows are counted instead; contexts that one call sorts, about.
 HOT, SLOT_CONTEXTS = 4096, 4096
 #: Bytes worked on at once; bytes that the multikey quicksort looks at; groups it hands to plain sorting.
@@ -200,7 +205,7 @@ def _cut(length: int):
             out: list[list] = [[] for _ in range(8)]
             rows = zip(*(batch.column(c).to_pylist() for c in ("k", "n", "text", "need")), strict=True)
             for k, n, text, need in rows:
-                raw = text.encode("utf-8")
+                raw = text if isinstance(text, bytes) else text.encode("utf-8")
                 for x in need:
                     lo, m = x["lo"], x["m"]
                     context = raw[lo : lo + m - 1 + length]
@@ -286,7 +291,7 @@ def text_key(text: F.Column) -> tuple[F.Column, F.Column]:
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, width: int = WIDTH, hot: int = HOT) -> DataFrame:
     """k, n, spans (array of struct start, stop; windows' bytes, unsorted, overlapping) of each text
-    of ``texts`` (column text, not null) that holds a string of ``length`` bytes which repeats.
+    of ``texts`` (column text, string or binary, not null) that holds a string of ``length`` bytes which repeats.
 
     ``width``, less than ``length``: positions an anchor is chosen from.  It decides the work, not the result.
     """
@@ -350,30 +355,71 @@ def with_spans(documents: DataFrame, length: int = LENGTH, width: int | None = N
     return documents.withColumn(k, of_text).withColumn(n, size).join(found, [k, n], "left").drop(k, n), spans
 
 
+def _passages(length: int):
+    """The bytes and runs of passages of each text, and the runs that may hold a string of ``length`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in (whole.slice(at, 512) for at in range(0, len(whole), 512))):
+            found = [merged([(s["start"], s["stop"]) for s in spans or ()]) for spans in batch.column("spans").to_pylist()]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))]
+            cols = [
+                [sum(b - a for a, b in runs) for runs in found],
+                [len(runs) for runs in found],
+                [[{"start": a, "stop": b} for a, b in runs if b - a >= length] for runs in found],
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("doc_id", "text", "k", "n")), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
+                names=["doc_id", "text", "k", "n", "n_passage_bytes", "n_passages", "stretches"],
+            )
+
+    return run
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in (whole.slice(at, 512) for at in range(0, len(whole), 512))):
         rows: list[tuple] = []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            raw = (text or "").encode("utf-8")
+            raw = text or b""
             kept, runs = _kept(raw, spans)
             rows.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), batch.column("n_passage_bytes"), batch.column("n_passages")],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "n_passages"],
         )
 
 
-def removal_report(documents: DataFrame, length: int = LENGTH, width: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``documents`` (doc_id, text).
+def removal_report(documents: DataFrame, length: int = LENGTH, width: int | None = None, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes, n_passages of every row of ``documents`` (doc_id, text).
 
+    Strings of ``length`` bytes that repeat are removed.  Passages are strings of ``passage`` bytes, at most
+    ``length``, that start anywhere else, too: their bytes and maximal runs are counted, and they stay.
     Null texts count as empty; rows that repeat stay, and their texts, being copies, go as far as
     they have ``length`` bytes.
     """
+    if not 1 < passage <= length:
+        raise ValueError("passage must be at least 2 and at most length")
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found, _ = with_spans(slim, length, width)
-    return found.mapInArrow(tidy(_digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    with tables_of() as made:
+        found, spans = with_spans(slim, passage)
+        found = found.select("doc_id", F.col("text").cast("binary").alias("text"), *text_key(F.col("text")), F.col(spans).alias("spans"))
+        kinds = "doc_id long, text binary, k binary, n int, n_passage_bytes long, n_passages long, stretches array<struct<start:int,stop:int>>"
+        held = park(found.mapInArrow(tidy(_passages(length)), kinds), "held")
+    made.drop(but=held)
+    # a string of ``length`` bytes stands in stretches wherever it stands, so that its other places are all there
+    some = held.df.where("size(stretches) > 0")
+    pieces = some.select("k", "n", "text", F.explode("stretches").alias("x")).select("k", "n", "x.start", F.substring("text", F.col("x.start") + 1, F.col("x.stop") - F.col("x.start")).alias("text"))
+    pieces = park(pieces, "pieces")
+    again = repeated_spans(pieces.df.select("text"), length, width or length * WIDTH // LENGTH).withColumnsRenamed({"k": "of", "n": "size"})
+    of, size = text_key(F.col("text"))
+    moved = F.transform("spans", lambda s: F.struct((s.start + F.col("start")).alias("start"), (s.stop + F.col("start")).alias("stop")))
+    runs = pieces.df.select("k", "n", "start", of.alias("of"), size.alias("size")).distinct().join(again, ["of", "size"])
+    runs = runs.groupBy("k", "n").agg(F.flatten(F.collect_list(moved)).alias("spans"))
+    wanted = ["doc_id", "text", "spans", "n_passage_bytes", "n_passages"]
+    rest = held.df.where("size(stretches) = 0").withColumn("spans", F.lit(None).cast(runs.schema["spans"].dataType))
+    told = some.join(runs, ["k", "n"], "left").select(wanted).unionByName(rest.select(wanted))
+    return told.mapInArrow(tidy(_digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, n_passages long")
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, width: int | None = None) -> DataFrame:
@@ -401,5 +447,5 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, width: int | None
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``removal_report`` over all of ``documents``."""
+    """``removal_report`` over all of ``documents``: 400 bytes are removed, passages of 200 bytes are counted."""
     return removal_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -89,6 +89,25 @@ def test_repeats_report_and_odd_rows(spark):
     assert suffix_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_repeated_passages_are_counted_and_stay(spark):
+    rnd = random.Random(51)
+    passage = words(rnd, 52, 4)[:390]  # over 50 words, under 400 bytes
+    long = words(rnd, 130)
+    texts = [f"{words(rnd, 40)} {passage} {words(rnd, 30)}", f"{words(rnd, 9)} {passage}", words(rnd, 90)]
+    texts += [f"{words(rnd, 20)}é{long[i:]} {words(rnd, 20)} {passage} {long[: 300 + i]}" for i in range(3)]
+    texts += [long[:399], long[7:407], passage * 2, texts[0], f"{words(rnd, 5)} {texts[0]}", None, "", "x" * 199, "y" * 200, "z" * 201, "z" * 450]
+    got = suffix_dedup.removal_report(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == plain_removal(texts, 400)
+    assert [(r.n_bytes, r.n_passage_bytes, r.n_passages) for r in got] == [x[:3] for x in plain_removal(texts, 200)]
+    assert (got[1].n_removed, got[1].n_passages, got[2].n_passages) == (0, 1, 0)
+    # touching passages whose union is long enough, though no string of 400 bytes repeats
+    a, b = words(rnd, 80)[:250], words(rnd, 80)[:250]
+    got = suffix_dedup.removal_report(docs(spark, [a + b, f"{a}#", f"{b}#"])).orderBy("doc_id").first()
+    assert (got.n_removed, got.n_passage_bytes, got.n_passages) == (0, 500, 1)
+    with pytest.raises(ValueError):
+        suffix_dedup.removal_report(docs(spark, texts), 100)
+
+
 def test_deep_shallow_orders_suffixes():
     rnd = random.Random(1)
     base = ("ab" * 40 + words(rnd, 30) + "ab" * 40 + words(rnd, 5)).encode()
