@@ -356,20 +356,25 @@ def with_spans(documents: DataFrame, length: int = LENGTH, width: int | None = N
 
 
 def _passages(length: int):
-    """The bytes and runs of passages of each text, and the runs that may hold a string of ``length`` bytes."""
+    """The bytes and runs of passages of each text, and the runs that may hold a string of ``length`` bytes.
+
+    A text with such runs is handed on; of the others, which stay whole, the digest is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in (whole.slice(at, 512) for at in range(0, len(whole), 512))):
-            found = [merged([(s["start"], s["stop"]) for s in spans or ()]) for spans in batch.column("spans").to_pylist()]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))]
-            cols = [
-                [sum(b - a for a, b in runs) for runs in found],
-                [len(runs) for runs in found],
-                [[{"start": a, "stop": b} for a, b in runs if b - a >= length] for runs in found],
-            ]
+            rows: list[tuple] = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                raw = (text or "").encode("utf-8")
+                runs = merged([(s["start"], s["stop"]) for s in spans or ()])
+                stretches = [{"start": a, "stop": b} for a, b in runs if b - a >= length]
+                whole = (None, hashlib.sha256(raw).hexdigest()) if not stretches else (raw, None)
+                rows.append((len(raw), *whole, sum(b - a for a, b in runs), len(runs), stretches))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "text", "k", "n")), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
-                names=["doc_id", "text", "k", "n", "n_passage_bytes", "n_passages", "stretches"],
+                [*(batch.column(c) for c in ("doc_id", "k", "n")), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
+                names=["doc_id", "k", "n", "n_bytes", "text", "kept_sha256", "n_passage_bytes", "n_passages", "stretches"],
             )
 
     return run
@@ -378,8 +383,7 @@ def _passages(length: int):
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in (whole.slice(at, 512) for at in range(0, len(whole), 512))):
         rows: list[tuple] = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            raw = text or b""
+        for raw, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             kept, runs = _kept(raw, spans)
             rows.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
@@ -403,8 +407,8 @@ def removal_report(documents: DataFrame, length: int = LENGTH, width: int | None
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with tables_of() as made:
         found, spans = with_spans(slim, passage)
-        found = found.select("doc_id", F.col("text").cast("binary").alias("text"), *text_key(F.col("text")), F.col(spans).alias("spans"))
-        kinds = "doc_id long, text binary, k binary, n int, n_passage_bytes long, n_passages long, stretches array<struct<start:int,stop:int>>"
+        found = found.select("doc_id", "text", *text_key(F.col("text")), F.col(spans).alias("spans"))
+        kinds = "doc_id long, k binary, n int, n_bytes long, text binary, kept_sha256 string, n_passage_bytes long, n_passages long, stretches array<struct<start:int,stop:int>>"
         held = park(found.mapInArrow(tidy(_passages(length)), kinds), "held")
     made.drop(but=held)
     # a string of ``length`` bytes stands in stretches wherever it stands, so that its other places are all there
@@ -416,10 +420,11 @@ def removal_report(documents: DataFrame, length: int = LENGTH, width: int | None
     moved = F.transform("spans", lambda s: F.struct((s.start + F.col("start")).alias("start"), (s.stop + F.col("start")).alias("stop")))
     runs = pieces.df.select("k", "n", "start", of.alias("of"), size.alias("size")).distinct().join(again, ["of", "size"])
     runs = runs.groupBy("k", "n").agg(F.flatten(F.collect_list(moved)).alias("spans"))
-    wanted = ["doc_id", "text", "spans", "n_passage_bytes", "n_passages"]
-    rest = held.df.where("size(stretches) = 0").withColumn("spans", F.lit(None).cast(runs.schema["spans"].dataType))
-    told = some.join(runs, ["k", "n"], "left").select(wanted).unionByName(rest.select(wanted))
-    return told.mapInArrow(tidy(_digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, n_passages long")
+    told = some.drop("n_bytes", "kept_sha256").join(runs, ["k", "n"], "left").select("doc_id", "text", "spans", "n_passage_bytes", "n_passages")
+    told = told.mapInArrow(tidy(_digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, n_passages long")
+    none = F.lit(0).cast("long")
+    rest = held.df.where("size(stretches) = 0").withColumns({"n_removed": none, "n_spans": none})
+    return told.unionByName(rest.select(told.columns))
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, width: int | None = None) -> DataFrame:
