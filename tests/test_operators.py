@@ -101,6 +101,49 @@ def test_dedup_is_sequential(spark, seed, stretch):
         assert (r.year, r.abstract, r.source_db) == (k.get("year"), k.get("abstract"), ",".join(sorted(k["sources"])))
 
 
+def hot_rows(rnd, n):
+    """Few titles, years and authors, so that most rows are there again."""
+    titles = ["red bolt", "red bolts", "bolt red s", "old bolt", "cold bolt", "cold bolts", ""]
+    years, authors, weights = [None, 2001, 2002, 2003, 2004], ["", "smith", "smyth", "roe"], [rnd.random() ** 3 for _ in range(5)]
+    row = lambda i: {"title": rnd.choice(titles), "year": rnd.choices(years, weights)[0], "first_author": rnd.choice(authors), "source_db": rnd.choice(["s", "t", "u,v"]), "doi": rnd.choice([None] * 9 + [f"d{i}"])}
+    return [row(i) for i in range(n)]
+
+
+def told(result):
+    """What ``deduplicate`` returns, as rows in order."""
+    unique, removed, possible = result
+    return [
+        sorted((r.ord, r.year, r.source_db) for r in unique.collect()),
+        sorted((r.ord, int(r.duplicate_of[1:]), r.similarity) for r in removed.collect()),
+        sorted((r.ord, int(r.keep_id[1:]), r.similarity, r.keep_year, r.keep_source) for r in possible.collect()),
+    ]
+
+
+@pytest.mark.parametrize(("seed", "kinds", "ahead"), [(1, 1000, 1), (2, 1000, 2), (3, 1000, 32), (4, 0, 32), (5, 20, 1), (6, 1000, 1)])
+def test_dedup_of_hot_titles(spark, seed, kinds, ahead):
+    """Walked through by changes, settled by rounds, and replayed row after row give the same."""
+    rows = hot_rows(random.Random(seed), 400 if kinds == 1000 else 120)
+    kept, removed, possible = plain_dedup(rows)
+    got = told(dedup.deduplicate(records(spark, rows).repartition(3), stretch=0, kinds=kinds, ahead=ahead))
+    assert got[0] == sorted((k["ord"], k.get("year"), ",".join(sorted(",".join(k["sources"]).split(",")))) for k in kept)
+    assert [r[:2] for r in got[1]] == sorted(removed)
+    assert [(o, k, y, ",".join(sorted(s.split(",")))) for o, k, _, y, s in got[2]] == sorted((o, k, y, ",".join(sorted(s.split(",")))) for o, k, y, s in possible)
+
+
+def test_dedup_of_hot_titles_takes_few_rounds(spark):
+    """Rounds do not grow with the rows: years gained one after the other took one each."""
+    rows = hot_rows(random.Random(7), 3000)
+    df = records(spark, rows).repartition(3).localCheckpoint()
+    spark.sparkContext.setJobGroup("hot", "")
+    try:
+        got = dedup.deduplicate(df, stretch=500)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("hot"))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert jobs < 150
+    assert told(got) == told(dedup.deduplicate(df, stretch=10_000))
+
+
 def test_dedup_empty(spark):
     got, gone, near = dedup.deduplicate(records(spark, [{}]).where("false"))
     assert got.count() == gone.count() == near.count() == 0
