@@ -144,6 +144,14 @@ def test_dedup_of_hot_titles_takes_few_rounds(spark):
     assert told(got) == told(dedup.deduplicate(df, stretch=10_000))
 
 
+def test_dedup_of_hot_titles_far_ords(spark):
+    """Places beyond the whole numbers of a double."""
+    rows, far = hot_rows(random.Random(8), 200), 1 << 60
+    df = records(spark, rows)
+    walked = told(dedup.deduplicate(df.withColumn("ord", F.col("ord") + far), stretch=0, ahead=3))
+    assert [[(r[0] - far, *r[1:]) for r in part] for part in walked] == told(dedup.deduplicate(df))
+
+
 def test_dedup_empty(spark):
     got, gone, near = dedup.deduplicate(records(spark, [{}]).where("false"))
     assert got.count() == gone.count() == near.count() == 0
